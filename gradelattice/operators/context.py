@@ -141,11 +141,12 @@ def context_stats(ctx: Context) -> DataFrame:
         F.round(F.col("scaled_attrs") / F.lit(ctx.m), 6).alias("expansion"))
 
 
-def explain_scaling(ctx: Context, obj) -> DataFrame:
-    """For one object: each scaled attribute, the value it stands for, and whether it holds."""
-    row = ctx.frame.where(F.col("obj") == obj).select("obj", F.posexplode("grades").alias("fuzzy_attr", "q"))
-    return (scaling_map(ctx).join(F.broadcast(row), "fuzzy_attr")  # one object: m rows
-            .select("obj", "crisp_attr", "fuzzy_attr", "value", "q", (F.col("q") == F.col("value")).alias("held")))
+def explain_scaling(ctx: Context, obj=None) -> DataFrame:
+    """Per object (or for one): each scaled attribute, the value it stands for, and whether it holds."""
+    cells = ctx.long() if obj is None else Context(ctx.frame.where(F.col("obj") == obj), ctx.m, ctx.scale).long()
+    mapping = F.broadcast(scaling_map(ctx))  # <= m * scale rows
+    return cells.join(mapping, F.col("attr") == F.col("fuzzy_attr")).select(
+        "obj", "crisp_attr", "fuzzy_attr", "value", "q", (F.col("q") == F.col("value")).alias("held"))
 
 
 def object_sets(ctx: Context, level: int) -> DataFrame:

@@ -46,7 +46,7 @@ def _rounds(spark, seed: DataFrame, expand, key: list[str], first_budget: int, r
             break
         frontier = written.where("open").select(*key, "y").repartition(tasks, *key)
         budget, number = round_budget, number + 1
-    return reduce(DataFrame.unionByName, done).select(*key)
+    return reduce(DataFrame.unionByName, done).select(*key, "y")
 
 
 def _walk(batches, take, emit, step, budget: int):
@@ -103,6 +103,12 @@ def _modal_expander(closure: ModalClosure):
 def concepts(ctx: Context, closure: ModalClosure | None = None, first_budget: int = FIRST_BUDGET,
              round_budget: int = ROUND_BUDGET) -> DataFrame:
     """All closed attribute sets of the modal calculus, one mask each."""
+    return concept_tree(ctx, closure, first_budget, round_budget).drop("y")
+
+
+def concept_tree(ctx: Context, closure: ModalClosure | None = None, first_budget: int = FIRST_BUDGET,
+                 round_budget: int = ROUND_BUDGET) -> DataFrame:
+    """All concepts with ``y``, the attribute their one canonical generation step adds (-1 for the least)."""
     closure = closure or ModalClosure(ctx)
     spark = ctx.frame.sparkSession
     seed = spark.range(1).select(*[F.lit(0).cast("bigint").alias(c) for c in closure.cols], F.lit(RAW).alias("y"))
@@ -124,7 +130,7 @@ def modal_levels(closure: ModalClosure):
         *[F.col(c).alias(d) for c, d in zip(closed_cols, cols)], F.lit(ROOT).alias("y")), "level")
     below = (np.cumsum(masks.bit_words(m), axis=0) - masks.bit_words(m)).tolist()
     while not frontier.isEmpty():
-        yield frontier.select(*cols)
+        yield frontier
         old = masks.mask_cols(m, "base")
         base = frontier.select(*[F.col(c).alias(o) for c, o in zip(cols, old)], "y",
                                F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
@@ -200,7 +206,7 @@ def fuzzy_concepts(ctx: Context, kind: Implication = Implication.LUKASIEWICZ, cl
     spark = ctx.frame.sparkSession
     seed = spark.range(1).select(F.array_repeat(F.lit(0), ctx.m).alias("grades"), F.lit(RAW).alias("y"))
     if closure.broadcast is not None:
-        return _rounds(spark, seed, _fuzzy_expander(closure), ["grades"], first_budget, round_budget)
+        return _rounds(spark, seed, _fuzzy_expander(closure), ["grades"], first_budget, round_budget).select("grades")
     return reduce(DataFrame.unionByName, list(fuzzy_levels(closure)))
 
 

@@ -57,6 +57,12 @@ def supplier_month(spark: SparkSession, folder: str) -> Context:
     return grade_counts(table(spark, folder, "lineitem"), F.col("l_suppkey"), F.month("l_shipdate") - 1, 12)
 
 
+def nation_month(spark: SparkSession, folder: str) -> Context:
+    """Supplier nations x month of shipment."""
+    facts = table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return grade_counts(facts, F.col("s_nationkey"), F.month("l_shipdate") - 1, 12)
+
+
 def supplier_flag(spark: SparkSession, folder: str) -> Context:
     """Suppliers x return flag."""
     return grade_counts(table(spark, folder, "lineitem"), F.col("l_suppkey"), rank_of("l_returnflag", RETURN_FLAGS), 3)
