@@ -71,11 +71,11 @@ def pack_tenths(value: Column) -> Column:
 
 
 def intersection(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, F.least)
+    return F.zip_with(a, b, lambda x, y: F.least(x, y))
 
 
 def union(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, F.greatest)
+    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
 
 
 def equal(a: Column, b: Column, eps: float = 0.0) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from gradelattice.functions import kernels, masks
 from gradelattice.functions.fuzzy import Implication, Rounding
 from gradelattice.operators.context import Context
-from gradelattice.session import stage
+from gradelattice.session import ship_package, stage
 
 RESIDENT_BYTES = 64 << 20   # largest broadcast of shrunk rows
 BLOCK_ROWS = 1 << 15        # rows of either side in one fragment
@@ -46,6 +46,7 @@ def map_batches(frame: DataFrame, fn, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+    ship_package(frame.sparkSession)
     return frame.mapInArrow(run, schema)
 
 
@@ -63,6 +64,7 @@ def fragment_join(left: DataFrame, right: DataFrame, fn, schema: str, block_rows
         return df.withColumn(own, block).withColumn(other, copies)
     l = side(left, "frag_l", p, "frag_r", q).groupBy("frag_l", "frag_r")
     r = side(right, "frag_r", q, "frag_l", p).groupBy("frag_l", "frag_r")
+    ship_package(left.sparkSession)
     nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         return fn(a, b) if a.num_rows and b.num_rows else nothing

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gradelattice.functions import fuzzy, kernels, masks
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure, ddl, map_batches
-from gradelattice.session import stage
+from gradelattice.session import stage, stage_observed
 
 SEGMENT_ROWS = 1 << 21      # family members broadcast at a time
 SPLIT_SUPERSETS = 1 << 16   # a set with more supersets than this is split over tasks
@@ -99,6 +99,26 @@ def subset_counts(left: DataFrame, right: DataFrame, cols: list[str], label: str
     return out
 
 
+def level_counts(right: DataFrame, pools: dict[str, np.ndarray], cols: list[str]) -> DataFrame:
+    """Append, per named pool of sets, how many of them each row contains; one pass, pools broadcast.
+
+    The caller vouches for the size of the pools.
+    """
+    keep, labels = list(right.columns), list(pools)
+    bc = right.sparkSession.sparkContext.broadcast(list(pools.values()))
+    def fn(batch):
+        sets = kernels.words_of(batch, cols)
+        counts = {}
+        for label, pool in zip(labels, bc.value):
+            n = np.zeros(len(sets), np.int64)
+            for part in kernels.chunks(len(sets), max(1, len(pool))):
+                n[part] = _contained(pool, sets[part]).sum(axis=0)
+            counts[label] = n
+        yield kernels.batch_of({c: batch.column(i) for i, c in enumerate(keep)} | counts)
+    schema = ", ".join([ddl(right, keep), *[f"{label} bigint" for label in labels]])
+    return map_batches(right, fn, schema)
+
+
 def _holds_any(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
     """For each row of ``outer``: does it contain some row of ``inner``?"""
     hit = np.zeros(len(outer), bool)
@@ -183,7 +203,7 @@ def minimal_supersets(sets: DataFrame, family: DataFrame, cols: list[str], segme
                 yield kernels.batch_of(kernels.word_dict(both[:, :len(cols)], cols)
                                        | kernels.word_dict(both[:, len(cols):], sups)
                                        | {"deferred": np.zeros(len(both), bool)})
-        first = stage(map_batches(state, fn, out_schema), "covers")
+        first, seen = stage_observed(map_batches(state, fn, out_schema), "covers", hot=F.count_if("deferred"))
         def sliced(batch, supersets=supersets):
             part = batch.column(len(cols)).to_numpy()
             lists = batch.column(len(cols) + 1).to_pylist()
@@ -195,7 +215,7 @@ def minimal_supersets(sets: DataFrame, family: DataFrame, cols: list[str], segme
                 yield emit(child, _minimal_among(mine, inside), False)
         hot = first.where("deferred").select(*cols)
         fresh = first.where("not deferred").drop("deferred")
-        if not hot.isEmpty():
+        if seen["hot"]:
             slices = hot.join(state, cols).select(
                 *cols, F.explode(F.sequence(F.lit(0), F.lit(split_parts - 1))).alias("part"), "above")
             spread = slices.repartition(split_parts, *cols, "part")

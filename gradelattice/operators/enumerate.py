@@ -16,14 +16,15 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gradelattice.functions import fuzzy, kernels, masks
 from gradelattice.functions.fuzzy import Implication, Rounding
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure, ddl
 from gradelattice.operators.context import Context
-from gradelattice.session import stage, stage_path
+from gradelattice.session import Pile, ship_package, stage
 
 FIRST_BUDGET = 3 * 10**8   # closure cells of the single-task first round
 ROUND_BUDGET = 4 * 10**9   # closure cells per task and later round
@@ -33,20 +34,16 @@ RAW, ROOT = -2, -1         # generating attribute of the seed before and after c
 
 def _rounds(spark, seed: DataFrame, expand, key: list[str], first_budget: int, round_budget: int) -> DataFrame:
     """Run expansion rounds until no node is open; returns every node once."""
+    ship_package(spark)
     schema = ddl(seed, [*key, "y"]) + ", open boolean"
     tasks = max(8, 4 * spark.sparkContext.defaultParallelism)
-    frontier, budget, done, number = seed.coalesce(1), first_budget, [], 0
+    pile, frontier, budget = Pile(spark, "closed-sets", StructType.fromDDL(schema)), seed.coalesce(1), first_budget
     while True:
-        path, seen = stage_path(spark, f"closed-sets-{number}"), Observation()
-        walked = frontier.mapInArrow(expand(budget), schema)
-        walked.observe(seen, F.count_if("open").alias("open")).write.parquet(path)
-        written = spark.read.schema(walked.schema).parquet(path)
-        done.append(written.where("not open"))
-        if not seen.get["open"]:
-            break
+        written, seen = pile.add(frontier.mapInArrow(expand(budget), schema), open=F.count_if("open"))
+        if not seen["open"]:
+            return pile.all.where("not open").select(*key, "y")
         frontier = written.where("open").select(*key, "y").repartition(tasks, *key)
-        budget, number = round_budget, number + 1
-    return reduce(DataFrame.unionByName, done).select(*key, "y")
+        budget = round_budget
 
 
 def _walk(batches, take, emit, step, budget: int):

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelattice.session import stage_path
+from gradelattice.session import Pile, stage_observed
 
 
 def edge_frame(covers: DataFrame, child: list[str], parent: list[str]) -> DataFrame:
@@ -23,9 +23,11 @@ def edge_frame(covers: DataFrame, child: list[str], parent: list[str]) -> DataFr
 
 
 def _stage_counted(frame: DataFrame, label: str) -> tuple[DataFrame, int]:
-    path, seen = stage_path(frame.sparkSession, label), Observation()
-    frame.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path), seen.get["n"]
+    written, seen = stage_observed(frame, label, n=F.count(F.lit(1)))
+    return written, seen["n"]
+
+
+HOPS = 3  # rounds of the level walk computed in one job
 
 
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,16 +36,21 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Round i holds the vertices some i-edge path ends at; a vertex keeps the last
     round it shows up in.  No level has to be compared or revised.
     """
-    edges, _ = _stage_counted(edges, "edges")
-    layers, layer = [], edges.select(F.col("child").alias("id")).distinct()
-    for depth in range(1, 1 << 30):
-        step = layer.join(edges, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
-        layer, n = _stage_counted(step, f"layer-{depth}")
-        if n == 0:
+    edges, _ = _stage_counted(edges.select("child", "parent"), "edges")
+    layer, depth = edges.select(F.col("child").alias("id")).distinct(), 0
+    walked = Pile(edges.sparkSession, "layers", layer.withColumn("level", F.lit(0)).schema)
+    while True:
+        steps = []
+        for i in range(1, HOPS + 1):
+            layer = layer.join(edges, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
+            steps.append(layer.withColumn("level", F.lit(depth + i)))
+        depth += HOPS
+        reached, seen = walked.add(reduce(DataFrame.unionByName, steps), last=F.max("level"))
+        if (seen["last"] or 0) < depth:
             break
-        layers.append(layer.withColumn("level", F.lit(depth)))
-    above = reduce(DataFrame.unionByName, layers, vertices.select("id").withColumn("level", F.lit(0)))
-    return above.groupBy("id").agg(F.max("level").alias("level"))
+        layer = reached.where(F.col("level") == depth).select("id")
+    ground = vertices.select("id").withColumn("level", F.lit(0))
+    return ground.unionByName(walked.all).groupBy("id").agg(F.max("level").alias("level"))
 
 
 def height(levels_: DataFrame) -> DataFrame:
@@ -102,84 +109,88 @@ def lattice_metrics(vertices: DataFrame, edges: DataFrame, levels_: DataFrame |
         F.max("n").alias("width_levels"))
 
 
-def width_exact(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def width_exact(vertices: DataFrame, edges: DataFrame, levels_: DataFrame | None = None) -> DataFrame:
     """Largest antichain: vertices minus a maximum matching of the strict order.
 
-    The order itself is never built.  A vertex is split into a left copy (as the
-    lower end of a chain link) and a right copy (as the upper end); a left copy
+    The order itself is never built.  A vertex is split into a left copy (the
+    lower end of a chain link) and a right copy (the upper end); a left copy
     reaches every right copy above it by walking cover edges.  Each phase grows
     disjoint search trees from all unmatched left copies, every right copy being
-    claimed by one tree; each tree that meets an unmatched right copy flips its
-    path.  When no tree does, the matching is maximum.
+    claimed by one tree, and flips the path of each tree that meets an unmatched
+    right copy.  The matching is maximum once no tree does, or once the bound it
+    gives meets the largest level, which is an antichain.
     """
-    size = vertices.count()
-    if size == 0:
-        return vertices.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("width_exact"))
-    edges, _ = _stage_counted(edges, "width-edges")
+    edges, _ = _stage_counted(edges.select("child", "parent"), "width-edges")
+    lv = levels_ if levels_ is not None else levels(vertices, edges)
+    known = level_sizes(lv).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("size"), F.coalesce(F.max("n"), F.lit(0)).alias("floor")).first()
     matched, pairs = _greedy_links(edges)
-    while True:
-        paths, gained = _augment(vertices, edges, matched)
+    while known["size"] - pairs > known["floor"]:
+        flipped, gained = _augment(vertices, edges, matched)
         if gained == 0:
             break
-        kept = matched.join(paths.select("lower"), "lower", "left_anti").join(paths.select("upper"), "upper", "left_anti")
-        matched, pairs = _stage_counted(kept.unionByName(paths.select(*kept.columns)), "matching")
-    return vertices.sparkSession.range(1).select(F.lit(size - pairs).cast("bigint").alias("width_exact"))
+        kept = matched.join(flipped.select("lower"), "lower", "left_anti").join(flipped.select("upper"), "upper", "left_anti")
+        matched, pairs = _stage_counted(kept.unionByName(flipped), "matching")
+    return vertices.sparkSession.range(1).select(F.lit(known["size"] - pairs).cast("bigint").alias("width_exact"))
 
 
 def _greedy_links(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Maximal matching along cover edges: repeated mutual proposals of the smallest neighbour."""
+    """Maximal matching along cover edges by mutual proposals, scarcest neighbours first."""
     free = edges.select(F.col("child").alias("lower"), F.col("parent").alias("upper"))
-    chosen, total = None, 0
+    links, total = Pile(edges.sparkSession, "links", free.schema), 0
     while True:
-        offer = free.groupBy("lower").agg(F.min("upper").alias("upper"))
-        taken, n = _stage_counted(offer.groupBy("upper").agg(F.min("lower").alias("lower")).select("lower", "upper"), "links")
-        if n == 0:
-            return (chosen if chosen is not None else taken), total
-        chosen, total = (taken if chosen is None else chosen.unionByName(taken)), total + n
-        free, _ = _stage_counted(free.join(taken.select("lower"), "lower", "left_anti")
-                                 .join(taken.select("upper"), "upper", "left_anti").select("lower", "upper"), "free")
+        rest = free
+        if links.paths:
+            rest = rest.join(links.all.select("lower"), "lower", "left_anti").join(links.all.select("upper"), "upper", "left_anti")
+        ups = rest.groupBy("upper").agg(F.count(F.lit(1)).alias("up_degree"))
+        downs = rest.groupBy("lower").agg(F.count(F.lit(1)).alias("low_degree"))
+        scored = rest.join(ups, "upper").join(downs, "lower")
+        spread = F.xxhash64("lower", "upper", F.lit(len(links.paths)))
+        offer = scored.groupBy("lower").agg(F.min(F.struct("up_degree", spread.alias("h"), "upper")).alias("o"), F.first("low_degree").alias("low_degree"))
+        taken = offer.select("lower", "low_degree", "o.upper", "o.h").groupBy("upper").agg(
+            F.min(F.struct("low_degree", "h", "lower")).alias("t"))
+        _, seen = links.add(taken.select(F.col("t.lower").alias("lower"), "upper"))
+        if seen["n"] == 0:
+            return links.all, total
+        total += seen["n"]
 
 
 def _augment(vertices: DataFrame, edges: DataFrame, matched: DataFrame) -> tuple[DataFrame, int]:
     """Links of the flipped paths of one phase, and how many paths there were.
 
-    ``reached`` rows are right copies: ``upper``, the left copy ``via`` they hang
-    on, the tree's ``root``, and the depth at which they were claimed.
+    Tree rows are right copies: ``upper``, the left copy ``via`` they hang on,
+    the tree's ``root`` and the matched left copy ``mate``, if any.  A tree stops
+    growing once it has met an unmatched right copy.
     """
-    roots = vertices.join(matched, vertices["id"] == matched["lower"], "left_anti").select("id")
+    spark = edges.sparkSession
+    roots = vertices.select("id").join(matched, F.col("id") == F.col("lower"), "left_anti").select("id")
     front = roots.select(F.col("id").alias("at"), F.col("id").alias("via"), F.col("id").alias("root"))
-    reached, ends, depth = None, None, 0
+    mates = matched.select("upper", F.col("lower").alias("mate"))
+    tree = None
     while True:
-        depth += 1
         steps = front.join(edges, F.col("at") == F.col("child")).select(F.col("parent").alias("upper"), "via", "root")
+        if tree is not None:
+            steps = steps.join(tree.all.select("upper"), "upper", "left_anti").join(
+                tree.all.where("mate is null").select("root"), "root", "left_anti")
         claim = steps.groupBy("upper").agg(F.min(F.struct("root", "via")).alias("c"))
-        fresh = claim.select("upper", "c.via", "c.root")
-        if reached is not None:
-            fresh = fresh.join(reached, "upper", "left_anti")
-        fresh = fresh.join(matched.select("upper", F.col("lower").alias("mate")), "upper", "left")
-        fresh, n = _stage_counted(fresh.select("upper", "via", "root", "mate", F.lit(depth).alias("depth")), "tree")
-        if n == 0:
+        fresh = claim.select("upper", "c.via", "c.root").join(mates, "upper", "left").select("upper", "via", "root", "mate")
+        if tree is None:
+            tree = Pile(spark, "tree", fresh.schema)
+        part, seen = tree.add(fresh)
+        if seen["n"] == 0:
             break
-        found = fresh.where("mate is null").groupBy("root").agg(F.min("upper").alias("upper"))
-        links = fresh if reached is None else tree.unionByName(fresh)
-        tree, reached = links, links.select("upper")
-        ends = found if ends is None else ends.unionByName(found)
         # on from a right copy: past it along covers (same left copy), or into its mate
-        onward = fresh.select(F.col("upper").alias("at"), "via", "root").unionByName(
-            fresh.where("mate is not null").select(F.col("mate").alias("at"), F.col("mate").alias("via"), "root"))
-        front = onward
-    if reached is None:
-        return matched, 0
-    # one end per tree; then walk back mate by mate to the root, in lock step
-    step, gained = _stage_counted(ends.groupBy("root").agg(F.min("upper").alias("upper")), "ends")
+        front = part.select(F.col("upper").alias("at"), "via", "root").unionByName(
+            part.where("mate is not null").select(F.col("mate").alias("at"), F.col("mate").alias("via"), "root"))
+    ends = tree.all.where("mate is null").groupBy("root").agg(F.min("upper").alias("upper"))
+    step, gained = _stage_counted(ends.select("root", "upper"), "ends")
     if gained == 0:
         return matched, 0
-    new = None
+    # walk all found paths back to their roots in lock step, mate by mate
+    flips = Pile(spark, "flips", matched.select(F.col("lower").alias("root"), "lower", "upper").schema)
     while True:
-        hop = step.join(tree, ["root", "upper"]).select("root", F.col("via").alias("lower"), "upper")
-        hop, _ = _stage_counted(hop, "path")
-        new = hop if new is None else new.unionByName(hop)
-        back = hop.where("lower != root").join(matched.select("lower", F.col("upper").alias("prev")), "lower")
-        step, n = _stage_counted(back.select("root", F.col("prev").alias("upper")), "back")
-        if n == 0:
-            return new.select("lower", "upper"), gained
+        hop = step.join(tree.all, ["root", "upper"]).select("root", F.col("via").alias("lower"), "upper")
+        part, seen = flips.add(hop, more=F.count_if(F.col("lower") != F.col("root")))
+        if not seen["more"]:
+            return flips.all.select("lower", "upper"), gained
+        back = part.where("lower != root").select("root", "lower").join(mates.withColumnRenamed("mate", "lower"), "lower")
+        step = back.select("root", "upper")

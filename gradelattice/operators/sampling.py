@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelattice.functions import masks
-from gradelattice.operators.containment import subset_counts
+from gradelattice.functions import kernels, masks
+from gradelattice.operators.containment import level_counts, subset_counts
 from gradelattice.session import stage
 
 # Defaults of the sampler and the widest parent pool.
@@ -21,6 +22,8 @@ DEFAULT_MAXN = 200_000
 DEFAULT_SEED = 42
 MAX_PARENT_LEVELS = 3
 
+POOL_ROWS = 1 << 20  # largest stratum whose selection is broadcast whole; others go in segments
+
 
 def card_histogram(sets: DataFrame, m: int) -> DataFrame:
     """(card, n) over mask columns."""
@@ -105,23 +108,33 @@ def quota_sample(sets: DataFrame, m: int, maxn: int = DEFAULT_MAXN, seed: int =
                               shuffle_key(m, seed).alias("ord")), "sample-input")
     quotas = sqrt_quota(keyed.groupBy("card").agg(F.count(F.lit(1)).alias("n")), maxn)
     chosen: dict[int, DataFrame] = {}
+    pools: dict[int, np.ndarray] = {}  # words of the nearest strata while they fit a broadcast
     last, total = -1, 0
     for card in sorted(c for c, q in quotas.items() if q > 0):
         stratum = keyed.where(F.col("card") == card)
-        tiers = []
-        if last >= 0 and card > 0:
-            for k in range(parent_levels, MAX_PARENT_LEVELS + 1):
-                near = [chosen[c] for c in range(last, last - k, -1) if c in chosen]
-                name = f"links{k}"
-                stratum = link_scores(stratum, reduce(DataFrame.unionByName, near), m, name, max_parents)
-                tiers.append(name)
-        tier, links = F.lit(len(tiers)), F.lit(0).cast("bigint")
-        for i in reversed(range(len(tiers))):
-            linked = F.col(tiers[i]) > 0
-            tier, links = F.when(linked, i).otherwise(tier), F.when(linked, F.col(tiers[i])).otherwise(links)
+        near = [c for c in range(last, last - MAX_PARENT_LEVELS, -1) if c in chosen] if card > 0 else []
+        if near:
+            if max_parents <= 0 and all(c in pools for c in near):
+                stratum = level_counts(stratum, {f"at{c}": pools[c] for c in near}, cols)
+                links = {c: F.col(f"at{c}") for c in near}
+                scores = [sum((links[c] for c in near if c > last - k), F.lit(0).cast("bigint"))
+                          for k in range(parent_levels, MAX_PARENT_LEVELS + 1)]
+            else:
+                for k in range(parent_levels, MAX_PARENT_LEVELS + 1):
+                    pool = reduce(DataFrame.unionByName, [chosen[c] for c in near if c > last - k])
+                    stratum = link_scores(stratum, pool, m, f"links{k}", max_parents)
+                scores = [F.col(f"links{k}") for k in range(parent_levels, MAX_PARENT_LEVELS + 1)]
+        else:
+            scores = []
+        tier, links = F.lit(len(scores)), F.lit(0).cast("bigint")
+        for i in reversed(range(len(scores))):
+            tier, links = F.when(scores[i] > 0, i).otherwise(tier), F.when(scores[i] > 0, scores[i]).otherwise(links)
         ranked = stratum.select(*cols, "card", "ord", links.alias("links"), tier.alias("tier"))
         best = ranked.orderBy("tier", F.desc("links"), "ord", *cols).limit(quotas[card])
         chosen[card] = stage(best, f"stratum-{card}")
+        if quotas[card] <= POOL_ROWS:
+            pools[card] = kernels.words_of(chosen[card].select(*cols).toArrow(), cols)
+        pools.pop(card - MAX_PARENT_LEVELS, None)
         last = card
         total += quotas[card]
         if total >= maxn:

@@ -10,10 +10,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(name: str = "gradelattice", cpus: str | int = "*", shuffle_partitions: int = 8,
@@ -55,6 +58,27 @@ def scratch_root(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    The archive is built on the driver and Spark distributes it, so jobs do not
+    depend on the working directory or on an installation on each machine.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="gradelattice-code-"), "gradelattice.zip")
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    bundle.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex[:12]}")
 
@@ -64,3 +88,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_observed(df: DataFrame, label: str, **values: Column) -> tuple[DataFrame, dict]:
+    """``stage``, with aggregates observed while writing, so no second pass is needed to decide what follows."""
+    path, seen = stage_path(df.sparkSession, label), Observation()
+    df.observe(seen, *[v.alias(k) for k, v in values.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+class Pile:
+    """A staged table that grows by parts and reads back as one scan, however many parts it has."""
+
+    def __init__(self, spark: SparkSession, label: str, schema):
+        self.spark, self.schema, self.base, self.paths = spark, schema, stage_path(spark, label), []
+
+    def add(self, part: DataFrame, **values: Column) -> tuple[DataFrame, dict]:
+        """Append ``part``; returns it read back, and what was observed while writing."""
+        path, seen = os.path.join(self.base, f"part-{len(self.paths)}"), Observation()
+        values = values or {"n": F.count(F.lit(1))}
+        part.observe(seen, *[v.alias(k) for k, v in values.items()]).write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path), seen.get
+
+    @property
+    def all(self) -> DataFrame:
+        if not self.paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*self.paths)

@@ -70,7 +70,7 @@ def scan_cells(spark: SparkSession, path: str, strict: bool = True, crisp: bool
     """
     n, m = context_header(spark, path)
     body = tokens(spark, path).where(f"ordinal >= 2 and ordinal < {2 + n * m}")
-    cells = body.select(F.expr(f"(ordinal - 2) div {m}").alias("obj"),
+    cells = body.select("ordinal", F.expr(f"(ordinal - 2) div {m}").alias("obj"),
                         F.expr(f"cast((ordinal - 2) % {m} as int)").alias("attr"), "token")
     value = F.expr("try_cast(token as double)")
     if not strict:
@@ -79,6 +79,7 @@ def scan_cells(spark: SparkSession, path: str, strict: bool = True, crisp: bool
     if crisp:
         bad = bad | ~value.isin(0.0, 1.0)
     where = F.format_string("bad value '%s' at I[%d][%d]", "token", "obj", "attr")
+    bad = bad & (F.col("ordinal") >= 2)  # never the header, wherever the optimizer puts the filter
     checked = cells.select("obj", "attr", F.when(bad, F.raise_error(where)).otherwise(value).alias("v"))
     found = body.count()
     if found != n * m:
@@ -103,7 +104,9 @@ def scan_aligned_context(spark: SparkSession, path: str, m: int, scale: int = 10
     parts = F.split(F.trim("value"), r"\s+")
     bad = F.size(parts) != m
     where = F.format_string("line %d: %d values, not %d", "line", F.size(parts), F.lit(m))
-    grades = F.transform(F.when(bad, F.raise_error(where)).otherwise(parts),
+    # the header line is excluded here too: the optimizer may move the filter past this expression
+    values = F.when(F.col("line") == 0, F.lit(None)).when(bad, F.raise_error(where)).otherwise(parts)
+    grades = F.transform(values,
                          lambda t: fuzzy.quantize(t.cast("double"), scale))
     return Context(numbered.select((F.col("line") - 1).alias("obj"), grades.alias("grades")), m, scale)
 
