@@ -176,15 +176,26 @@ def _fuzzy_expander(closure: FuzzyClosure):
                 if raw.any():
                     sets = np.where(raw[:, None], kernels.fuzzy_close(sets, rows, table), sets)
                     y = np.where(raw, ROOT, y).astype(np.int32)
-                higher = np.arange(1, scale + 1)[None, None, :] > sets[:, :, None]
-                row, attr, level = np.nonzero(higher & (np.arange(m)[None, :] > y[:, None])[:, :, None])
-                raised = sets[row]
-                raised[np.arange(len(row)), attr] = level + 1
-                closed = kernels.fuzzy_close(raised, rows, table)
-                changed = closed != sets[row]
-                first = changed.argmax(axis=1) if m else attr
-                own = (first == attr) & (closed[np.arange(len(row)), attr] == level + 1)
-                return sets, y, closed[own], attr[own].astype(np.int32), 2 * m * len(row) * max(1, len(rows))
+                row, attr = np.nonzero((sets < scale) & (np.arange(m)[None, :] > y[:, None]))
+                level = sets[row, attr] + 1
+                grown, grown_y, closures = [], [], 0
+                while len(row):
+                    # each closure is either the child of the level it reaches, or, when it
+                    # changes an earlier attribute, rules out every higher level as well
+                    raised = sets[row]
+                    raised[np.arange(len(row)), attr] = level
+                    closed = kernels.fuzzy_close(raised, rows, table)
+                    closures += len(row)
+                    own = (closed != sets[row]).argmax(axis=1) == attr
+                    row, attr, closed = row[own], attr[own], closed[own]
+                    grown.append(closed)
+                    grown_y.append(attr)
+                    level = closed[np.arange(len(row)), attr] + 1
+                    more = level <= scale
+                    row, attr, level = row[more], attr[more], level[more]
+                children = np.concatenate(grown) if grown else sets[:0]
+                child_y = np.concatenate(grown_y).astype(np.int32) if grown_y else y[:0]
+                return sets, y, children, child_y, 2 * m * closures * max(1, len(rows))
             yield from _walk(batches, take, emit, step, budget)
         return run
     return expand

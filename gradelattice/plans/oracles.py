@@ -28,6 +28,7 @@ FACTS = {
     "user_event": (5, f"SELECT user_id obj, {_case('event_type', ('click', 'error', 'purchase', 'signup', 'view'))} attr FROM events"),
     "nation_status": (3, f"SELECT c_nationkey obj, {_case('o_orderstatus', ('F', 'O', 'P'))} attr "
                          "FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "customer_status": (3, f"SELECT o_custkey obj, {_case('o_orderstatus', ('F', 'O', 'P'))} attr FROM orders"),
     "source_lang": (4, f"SELECT source obj, {_case('lang', ('de', 'en', 'es', 'fr'))} attr FROM documents"),
 }
 
@@ -114,15 +115,18 @@ def goguen_real(a: str, b: str) -> str:
 
 
 def fixpoints(name: str, imp) -> str:
-    """``fixed(y0, y1, y2)``: closed intents of a 3-attribute context, by testing every level vector."""
-    down = ", ".join(imp(f"y{j}", f"a{j}") for j in range(3))
-    up = ", ".join(f"min({imp('d', f'a{j}')}) u{j}" for j in range(3))
-    return f"""{ctx(name)}, rws AS (SELECT DISTINCT a0, a1, a2 FROM (SELECT obj, max(q) FILTER (attr = 0) a0,
-  max(q) FILTER (attr = 1) a1, max(q) FILTER (attr = 2) a2 FROM {name} GROUP BY obj)),
-grid AS (SELECT (range // 121)::INT y0, (range // 11 % 11)::INT y1, (range % 11)::INT y2 FROM range(1331)),
-dwn AS (SELECT y0, y1, y2, a0, a1, a2, least({down}) d FROM grid CROSS JOIN rws),
-ups AS (SELECT y0, y1, y2, {up} FROM dwn GROUP BY y0, y1, y2),
-fixed AS (SELECT y0, y1, y2 FROM ups WHERE u0 = y0 AND u1 = y1 AND u2 = y2)"""
+    """``fixed(y0, y1, ...)``: closed intents of a context with few attributes, by testing every level vector."""
+    m = FACTS[name][0]
+    def cols(fmt: str, sep: str = ", ") -> str:
+        return sep.join(fmt.format(j=j, p=11 ** (m - 1 - j)) for j in range(m))
+    down = ", ".join(imp(f"y{j}", f"a{j}") for j in range(m))
+    up = ", ".join(f"min({imp('d', f'a{j}')}) u{j}" for j in range(m))
+    return f"""{ctx(name)}, rws AS (SELECT DISTINCT {cols('a{j}')} FROM (SELECT obj, {cols('max(q) FILTER (attr = {j}) a{j}')}
+  FROM {name} GROUP BY obj)),
+grid AS (SELECT {cols('(range // {p} % 11)::INT y{j}')} FROM range({11 ** m})),
+dwn AS (SELECT {cols('y{j}')}, {cols('a{j}')}, least({down}) d FROM grid CROSS JOIN rws),
+ups AS (SELECT {cols('y{j}')}, {up} FROM dwn GROUP BY {cols('y{j}')}),
+fixed AS (SELECT {cols('y{j}')} FROM ups WHERE {cols('u{j} = y{j}', ' AND ')})"""
 
 
 JOINED3 = "y0 || ',' || y1 || ',' || y2"
@@ -312,8 +316,10 @@ closed AS (SELECT DISTINCT mask FROM (SELECT o, coalesce(sum(1::BIGINT << crisp_
                            "FROM closed, seg_month GROUP BY mask, obj",
         "card_histogram": f"WITH {SEG_CLOSED} SELECT {CARD} card, count(*) n FROM closed GROUP BY 1",
         "concept_order": f"WITH {SEG_CLOSED}, {ranked(12)} SELECT mask, rank FROM ranked",
-        "fuzzy_concepts_luk": f"WITH {fixpoints('supplier_flag', luk)} {grades3}",
-        "fuzzy_concepts_goguen": f"WITH {fixpoints('supplier_flag', goguen)} {grades3}",
+        "fuzzy_concepts_luk": f"WITH {fixpoints('customer_status', luk)} {grades3}",
+        "fuzzy_concepts_goguen": f"WITH {fixpoints('customer_status', goguen)} {grades3}",
+        "fuzzy_concepts_flags": f"WITH {fixpoints('supplier_flag', luk)} {grades3}",
+        "fuzzy_concepts_users": f"WITH {fixpoints('user_event', luk)} SELECT {JOINED3} || ',' || y3 || ',' || y4 grades FROM fixed",
         "fuzzy_fixpoints_nearest": f"WITH {fixpoints('nation_status', goguen_nearest)} {grades3}",
         "next_closure_order": f"WITH {fixpoints('nation_status', luk)} SELECT {JOINED3} grades, {FUZZY_ORDER} AS position FROM fixed",
         "forced_bounds": f"""WITH {fixpoints('supplier_flag', luk)} SELECT 'min_intent' bound, {JOINED3} grades FROM (

@@ -377,15 +377,26 @@ def concept_order(spark, sf):
 
 @query
 def fuzzy_concepts_luk(spark, sf):
-    return en.fuzzy_concepts(tables.supplier_flag(spark, sf)).select(joined("grades").alias("grades"))
+    return en.fuzzy_concepts(tables.customer_status(spark, sf)).select(joined("grades").alias("grades"))
 
 
 @query
 def fuzzy_concepts_goguen(spark, sf):
-    found = en.fuzzy_concepts(tables.supplier_flag(spark, sf), Implication.GOGUEN)
+    found = en.fuzzy_concepts(tables.customer_status(spark, sf), Implication.GOGUEN)
     return found.select(joined("grades").alias("grades"))
 
 
+@query
+def fuzzy_concepts_flags(spark, sf):
+    return en.fuzzy_concepts(tables.supplier_flag(spark, sf)).select(joined("grades").alias("grades"))
+
+
+@query
+def fuzzy_concepts_users(spark, sf):
+    """Five attributes at eleven levels."""
+    return en.fuzzy_concepts(tables.user_event(spark, sf)).select(joined("grades").alias("grades"))
+
+
 @query
 def fuzzy_fixpoints_nearest(spark, sf):
     found = en.fuzzy_fixpoints(tables.nation_status(spark, sf), Implication.GOGUEN, Rounding.NEAREST)

@@ -84,6 +84,11 @@ def nation_status(spark: SparkSession, folder: str) -> Context:
     return grade_counts(facts, F.col("c_nationkey"), rank_of("o_orderstatus", ORDER_STATUS), 3)
 
 
+def customer_status(spark: SparkSession, folder: str) -> Context:
+    """Customers x order status: a residuated context whose objects grow with the data."""
+    return grade_counts(table(spark, folder, "orders"), F.col("o_custkey"), rank_of("o_orderstatus", ORDER_STATUS), 3)
+
+
 def source_lang(spark: SparkSession, folder: str) -> Context:
     """Document sources x language."""
     return grade_counts(table(spark, folder, "documents"), F.col("source"), rank_of("lang", LANGUAGES), 4)
