@@ -27,17 +27,21 @@ from pyspark.sql.types import StructType
 from gradelattice.functions import kernels, masks
 from gradelattice.functions.fuzzy import Implication, Rounding
 from gradelattice.operators.context import Context
-from gradelattice.session import ship_package, stage
+from gradelattice.session import ship_package, stage, stage_observed
 
 RESIDENT_BYTES = 64 << 20   # largest broadcast of shrunk rows
 BLOCK_ROWS = 1 << 15        # rows of either side in one fragment
 PRUNE_PIVOTS = 2048         # smallest masks used to drop implied ones
 
 
-def fetch_bounded(frame: DataFrame, max_rows: int) -> pa.Table | None:
-    """The rows of ``frame``, or None when there are more than ``max_rows``."""
-    table = frame.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+def stage_bounded(frame: DataFrame, label: str, max_rows: int) -> tuple[DataFrame, pa.Table | None]:
+    """``frame`` staged, and its rows when there are at most ``max_rows``.
+
+    The rows are counted while they are written, so a frame that is too large
+    is never funnelled through one task or the driver to find that out.
+    """
+    rows, seen = stage_observed(frame, label, n=F.count(F.lit(1)))
+    return rows, rows.toArrow() if seen["n"] <= max_rows else None
 
 
 def map_batches(frame: DataFrame, fn, schema: str) -> DataFrame:
@@ -140,15 +144,13 @@ class ModalClosure:
     @cached_property
     def _prepared(self):
         need, attr = self._need_cols
-        rows = modal_rows(self.ctx)
         max_rows = self.resident_bytes // (16 * len(need))
-        table = fetch_bounded(rows, max_rows)
+        rows, table = stage_bounded(modal_rows(self.ctx), "modal-rows", max_rows)
         if table is not None and table.num_rows <= PRUNE_PIVOTS:
             pair = (kernels.words_of(table, need), kernels.words_of(table, attr))
             left = _prune(pair, pair)
         else:
-            rows = self._prune_on_cluster(rows)
-            table = fetch_bounded(rows, max_rows)
+            rows, table = stage_bounded(self._prune_on_cluster(rows), "modal-pruned", max_rows)
             if table is None:
                 return None, rows
             pair, left = (kernels.words_of(table, need),), kernels.words_of(table, attr)
@@ -159,7 +161,6 @@ class ModalClosure:
     def _prune_on_cluster(self, rows: DataFrame) -> DataFrame:
         """Drop implied rows against the smallest need masks (a bounded top-k); exact for any pivots."""
         need, attr = self._need_cols
-        rows = stage(rows, "modal-rows")
         size = masks.card([F.col(c) for c in need])
         top = rows.orderBy(size, *need).limit(PRUNE_PIVOTS).toArrow()
         pivots = self._spark.sparkContext.broadcast((kernels.words_of(top, need), kernels.words_of(top, attr)))
@@ -168,7 +169,7 @@ class ModalClosure:
             left = _prune(pair, pivots.value)
             keep = left.any(axis=1)
             yield kernels.batch_of(kernels.word_dict(pair[0][keep], need) | kernels.word_dict(left[keep], attr))
-        return stage(map_batches(rows, fn, ddl(rows, need + attr)), "modal-pruned")
+        return map_batches(rows, fn, ddl(rows, need + attr))
 
     @property
     def broadcast(self):
@@ -237,10 +238,10 @@ class FuzzyClosure:
 
     @cached_property
     def _prepared(self):
-        rows = self.ctx.frame.select("grades").distinct()
-        table = fetch_bounded(rows, self.resident_bytes // (2 * self.m))
+        distinct = self.ctx.frame.select("grades").distinct()
+        rows, table = stage_bounded(distinct, "grade-rows", self.resident_bytes // (2 * self.m))
         if table is None:
-            return None, stage(rows, "grade-rows")
+            return None, rows
         levels = kernels.grades_of(table, "grades", self.m)
         return self.ctx.frame.sparkSession.sparkContext.broadcast((levels, self.table)), None
 

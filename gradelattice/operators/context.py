@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelattice.functions import fuzzy, masks
+from gradelattice.session import stage
 
 UNROLL_LIMIT = 256
 
@@ -30,6 +31,10 @@ class Context:
         """One row per cell: obj, attr, q."""
         return self.frame.select("obj", F.posexplode("grades").alias("attr", "q"))
 
+    def staged(self) -> Context:
+        """The same context as a shared table, for use by several passes: the facts are then read once."""
+        return Context(stage(self.frame, "context"), self.m, self.scale)
+
     def clarified(self) -> DataFrame:
         """Distinct grade rows with the number of objects sharing each."""
         return self.frame.groupBy("grades").agg(F.count(F.lit(1)).alias("n_objects"))
@@ -106,16 +111,19 @@ def _mapping_rows(ctx: Context) -> list[tuple[int, int]]:
 
 def nominal_scaling(ctx: Context) -> Context:
     """One crisp attribute per distinct positive (attribute, value); held iff equal."""
+    ctx = ctx.staged()
     return _scaled(ctx, _mapping_rows(ctx), ordinal=False)
 
 
 def ordinal_scaling(ctx: Context) -> Context:
     """Same columns as nominal scaling; held iff the grade reaches the value."""
+    ctx = ctx.staged()
     return _scaled(ctx, _mapping_rows(ctx), ordinal=True)
 
 
 def scaled_cells(ctx: Context, ordinal: bool = False) -> DataFrame:
     """Sparse long form (obj, crisp_attr) of the ones; the map is broadcast (<= m * scale rows)."""
+    ctx = ctx.staged()
     mapping = F.broadcast(scaling_map(ctx))
     held = F.col("q") >= F.col("value") if ordinal else F.col("q") == F.col("value")
     return (ctx.long().join(mapping, (F.col("attr") == F.col("fuzzy_attr")) & held)
@@ -143,6 +151,7 @@ def context_stats(ctx: Context) -> DataFrame:
 
 def explain_scaling(ctx: Context, obj=None) -> DataFrame:
     """Per object (or for one): each scaled attribute, the value it stands for, and whether it holds."""
+    ctx = ctx.staged()
     cells = ctx.long() if obj is None else Context(ctx.frame.where(F.col("obj") == obj), ctx.m, ctx.scale).long()
     mapping = F.broadcast(scaling_map(ctx))  # <= m * scale rows
     return cells.join(mapping, F.col("attr") == F.col("fuzzy_attr")).select(

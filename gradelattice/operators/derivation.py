@@ -16,6 +16,7 @@ from gradelattice.functions import fuzzy, masks
 from gradelattice.functions.fuzzy import Implication, Rounding
 from gradelattice.operators.closure import ModalClosure
 from gradelattice.operators.context import Context
+from gradelattice.session import stage_observed
 
 BROADCAST_MEMBERS = 1 << 20  # (set, attribute) rows
 FLOOR_ATTR = -1              # stands for the grade 0 every extent starts from
@@ -23,7 +24,8 @@ FLOOR_ATTR = -1              # stands for the grade 0 every extent starts from
 
 def _on_attribute(cells: DataFrame, members: DataFrame, max_broadcast: int) -> DataFrame:
     """Equi-join cells (obj, attr, q) with members (set_id, attr, ...) on the attribute."""
-    if members.limit(max_broadcast + 1).count() <= max_broadcast:
+    members, seen = stage_observed(members, "set-members", n=F.count(F.lit(1)))
+    if seen["n"] <= max_broadcast:
         return cells.join(F.broadcast(members), "attr")
     salts = max(64, 4 * cells.sparkSession.sparkContext.defaultParallelism)
     salted = cells.withColumn("salt", F.pmod(F.xxhash64("obj"), F.lit(salts)).cast("int"))

@@ -29,6 +29,7 @@ from gradelattice.session import Pile, ship_package, stage
 FIRST_BUDGET = 3 * 10**8   # closure cells of the single-task first round
 ROUND_BUDGET = 4 * 10**9   # closure cells per task and later round
 NODE_BATCH = 2048
+TOP_ROWS = 10_000          # top-k sizes gathered by a single task
 RAW, ROOT = -2, -1         # generating attribute of the seed before and after closing it
 
 
@@ -251,9 +252,8 @@ def bounded_concepts(ctx: Context, quota: int, closure: FuzzyClosure | None = No
     closure = closure or FuzzyClosure(ctx, kind)
     taken, left = [], quota
     for level in fuzzy_levels(closure):
-        part = level.orderBy("grades").limit(left)
         size = level.count()
-        taken.append(part if size > left else level)
+        taken.append(first_rows(level, ["grades"], left) if size > left else level)
         left -= min(size, left)
         if left <= 0:
             break
@@ -271,6 +271,13 @@ def forced_bounds(ctx: Context, kind: Implication = Implication.LUKASIEWICZ) ->
     return smallest.unionByName(largest)
 
 
+def first_rows(frame: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows under a total order; a large ``k`` is cut by rank, without gathering the rows."""
+    if k <= TOP_ROWS:
+        return frame.orderBy(*by).limit(k)
+    return ordered_rank(frame, by, "_rank").where(F.col("_rank") < k).drop("_rank")
+
+
 def next_closure_order(intents: DataFrame, label: str = "position") -> DataFrame:
     """Rank intents as NextClosure lists them: lexicographic order of the grade arrays.
 

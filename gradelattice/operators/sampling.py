@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gradelattice.functions import kernels, masks
 from gradelattice.operators.containment import level_counts, subset_counts
+from gradelattice.operators.enumerate import first_rows
 from gradelattice.session import stage
 
 # Defaults of the sampler and the widest parent pool.
@@ -129,8 +130,8 @@ def quota_sample(sets: DataFrame, m: int, maxn: int = DEFAULT_MAXN, seed: int =
         tier, links = F.lit(len(scores)), F.lit(0).cast("bigint")
         for i in reversed(range(len(scores))):
             tier, links = F.when(scores[i] > 0, i).otherwise(tier), F.when(scores[i] > 0, scores[i]).otherwise(links)
-        ranked = stratum.select(*cols, "card", "ord", links.alias("links"), tier.alias("tier"))
-        best = ranked.orderBy("tier", F.desc("links"), "ord", *cols).limit(quotas[card])
+        ranked = stratum.select(*cols, "card", "ord", links.alias("links"), tier.alias("tier"), (-links).alias("fewest"))
+        best = first_rows(ranked, ["tier", "fewest", "ord", *cols], quotas[card]).drop("fewest")
         chosen[card] = stage(best, f"stratum-{card}")
         if quotas[card] <= POOL_ROWS:
             pools[card] = kernels.words_of(chosen[card].select(*cols).toArrow(), cols)

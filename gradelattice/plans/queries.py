@@ -209,19 +209,19 @@ def modal_extent(spark, sf):
 
 @query
 def modal_intent(spark, sf):
-    ctx = tables.supplier_month(spark, sf)
+    ctx = tables.supplier_month(spark, sf).staged()
     return derivation.modal_intents(derivation.modal_extents(_nation_masks(spark, sf), ctx), ctx)
 
 
 @query
 def modal_closure(spark, sf):
-    ctx = tables.seg_month(spark, sf)
+    ctx = tables.seg_month(spark, sf).staged()
     return ModalClosure(ctx).close(cx.object_sets(ctx, TOP_LEVEL))
 
 
 @query
 def modal_closure_suppliers(spark, sf):
-    ctx = tables.supplier_month(spark, sf)
+    ctx = tables.supplier_month(spark, sf).staged()
     return ModalClosure(ctx).close(cx.object_sets(ctx, TOP_LEVEL))
 
 
@@ -282,7 +282,7 @@ def derive_down_goguen_real(spark, sf):
 
 def _fuzzy_closures(spark, sf, kind) -> DataFrame:
     """Closure of each supplier's characteristic months, as a full-grade fuzzy set."""
-    ctx = tables.supplier_month(spark, sf)
+    ctx = tables.supplier_month(spark, sf).staged()
     sharp = ctx.map_cells(lambda g: F.when(g >= TOP_LEVEL, 10).otherwise(0), 10)
     return FuzzyClosure(ctx, kind).close(sharp.frame).select("obj", joined("closure").alias("closure"))
 
@@ -300,7 +300,7 @@ def closure_goguen(spark, sf):
 @query
 def concept_join(spark, sf):
     """Join of the closures of an object's top months and its wider months."""
-    ctx = tables.seg_month(spark, sf)
+    ctx = tables.seg_month(spark, sf).staged()
     closure = ModalClosure(ctx)
     a = closure.close(cx.object_sets(ctx, 10)).select("obj", F.col("closure").alias("a"))
     b = closure.close(cx.object_sets(ctx, 8)).select("obj", F.col("closure").alias("b"))
@@ -359,7 +359,7 @@ def canonical_generator(spark, sf):
 
 @query
 def concept_extents(spark, sf):
-    ctx = tables.seg_month(spark, sf)
+    ctx = tables.seg_month(spark, sf).staged()
     return derivation.concept_extents(en.concepts(ctx), ctx)
 
 
@@ -516,7 +516,7 @@ def width_exact(spark, sf):
 
 @query
 def join_closure(spark, sf):
-    ctx = tables.seg_month(spark, sf)
+    ctx = tables.seg_month(spark, sf).staged()
     closure = ModalClosure(ctx)
     gens = closure.close(cx.object_sets(ctx, TOP_LEVEL)).select(F.col("closure").alias("mask"))
     return containment.join_closure(gens, closure)
@@ -593,7 +593,8 @@ def hasse_input_lines(spark, sf):
 
 def _numbered_objects(ctx: Context) -> Context:
     """Objects renamed to their 0-based position."""
-    ranked = en.ordered_rank(ctx.frame, ["obj"], "position")
+    ctx = ctx.staged()
+    ranked = stage(en.ordered_rank(ctx.frame, ["obj"], "position"), "numbered")
     return Context(ranked.select(F.col("position").alias("obj"), "grades"), ctx.m, ctx.scale)
 
 

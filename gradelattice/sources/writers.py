@@ -47,6 +47,7 @@ def _grade(q: Column, scale: int) -> Column:
 
 def context_lines(ctx: Context) -> DataFrame:
     """Header ``n m`` and one row of values per object, in object order."""
+    ctx = ctx.staged()  # read by the count, the range sampling and the sort
     header = ctx.frame.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("pos"),
         F.concat_ws(" ", F.col("n").cast("string"), F.lit(str(ctx.m))).alias("value"))

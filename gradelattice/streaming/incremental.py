@@ -53,6 +53,9 @@ def insert_sets(vertices: DataFrame, edges: DataFrame, batch: DataFrame, m: int)
     return new, fresh, bypassed
 
 
+COMPACT_EVERY = 16  # epochs between merged snapshots, so a read opens a bounded number of deltas
+
+
 class IncrementalLattice:
     """Vertices and edges kept as deltas under a shared folder, fed by ``foreachBatch``."""
 
@@ -62,18 +65,32 @@ class IncrementalLattice:
         self.folder = folder or stage_path(spark, "incremental-lattice")
         self.version = -1
 
-    def _deltas(self, kind: str, version: int) -> DataFrame:
+    def _schema(self, kind: str) -> str:
         names = self.cols if kind == "vertices" else [*self.cols, *[f"sup_{c}" for c in self.cols]]
-        schema = ", ".join(f"{c} bigint" for c in names)
-        if version < 0:
+        return ", ".join(f"{c} bigint" for c in names)
+
+    def _deltas(self, kind: str, version: int) -> DataFrame:
+        schema = self._schema(kind)
+        start = (version + 1) // COMPACT_EVERY * COMPACT_EVERY
+        paths = [os.path.join(self.folder, kind, f"v{v}") for v in range(start, version + 1)]
+        if start and kind != "bypassed":
+            paths.append(os.path.join(self.folder, kind, f"upto{start - 1}"))
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        paths = [os.path.join(self.folder, kind, f"v{v}") for v in range(version + 1)]
         return self.spark.read.schema(schema).parquet(*paths)
 
     def _edges(self, version: int) -> DataFrame:
         added = self._deltas("added", version)
         return added.join(self._deltas("bypassed", version), added.columns, "left_anti")
 
+    def _read(self, kind: str, version: int) -> DataFrame:
+        return self.spark.read.schema(self._schema(kind)).parquet(os.path.join(self.folder, kind, f"v{version}"))
+
+    def _minus(self, edges: DataFrame, epoch: int) -> DataFrame:
+        """Edges before ``epoch`` with its delta applied."""
+        every = edges.unionByName(self._read("added", epoch))
+        return every.join(self._read("bypassed", epoch), every.columns, "left_anti")
+
     @property
     def vertices(self) -> DataFrame:
         return self._deltas("vertices", self.version)
@@ -87,6 +104,11 @@ class IncrementalLattice:
         old = self._deltas("vertices", epoch - 1), self._edges(epoch - 1)
         for kind, delta in zip(("vertices", "added", "bypassed"), insert_sets(*old, batch, self.m)):
             delta.write.mode("overwrite").parquet(os.path.join(self.folder, kind, f"v{epoch}"))
+        if (epoch + 1) % COMPACT_EVERY == 0:
+            # the deltas since the last compaction, merged; later versions start from these
+            merged = {"vertices": old[0].unionByName(self._read("vertices", epoch)), "added": self._minus(old[1], epoch)}
+            for kind, frame in merged.items():
+                frame.write.mode("overwrite").parquet(os.path.join(self.folder, kind, f"upto{epoch}"))
         self.version = epoch
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

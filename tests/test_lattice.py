@@ -6,6 +6,7 @@ from gradelattice.functions.fuzzy import Implication
 from gradelattice.operators import containment, metrics
 from gradelattice.operators import enumerate as en
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure
+from gradelattice.streaming import incremental
 from gradelattice.streaming.incremental import IncrementalLattice, batch_covers
 from tests import brute
 
@@ -136,7 +137,9 @@ def test_join_closure(spark, make):
     assert len(found) == len(set(found)) and set(found) == expected
 
 
-def test_incremental_equals_batch(spark):
+@pytest.mark.parametrize("every", [16, 2])
+def test_incremental_equals_batch(spark, monkeypatch, every):
+    monkeypatch.setattr(incremental, "COMPACT_EVERY", every)
     sets = sorted(random_family(12, 40, 7), key=lambda s: hash(frozenset(s)) % 7)
     lattice = IncrementalLattice(spark, 7)
     for epoch in range(4):

@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 
+from gradelattice.operators import enumerate as enumerate_
 from gradelattice.operators import sampling
 from tests import brute
 
@@ -92,6 +93,7 @@ def test_sample_through_segments(spark, monkeypatch):
     sets = random_sets(5, 80, 7)
     frame = spark.createDataFrame([(brute.mask(s),) for s in sets], "mask bigint")
     monkeypatch.setattr(sampling, "POOL_ROWS", 0)
+    monkeypatch.setattr(enumerate_, "TOP_ROWS", 2)
     got = {brute.members(r.mask) for r in sampling.quota_sample(frame, 7, 30).collect()}
     assert got == brute_sample(sets, 30, 42, 1)
 
