@@ -49,6 +49,22 @@ def mask_of(flags: list[Column], stem: str = "mask") -> list[Column]:
     return words
 
 
+UNROLL_ATTRS = 24  # beyond this, generated code outgrows what the JVM compiles well
+
+
+def mask_where(grades: Column, m: int, test, stem: str = "mask") -> list[Column]:
+    """Mask columns of the attributes whose grade passes ``test``."""
+    if m <= UNROLL_ATTRS:
+        return mask_of([test(grades[j]) for j in range(m)], stem)
+    zero, words = F.lit(0).cast("bigint"), []
+    for w, name in enumerate(mask_cols(m, stem)):
+        size = min(WORD_BITS, m - w * WORD_BITS)
+        bits = F.array(*[F.lit(1 << b).cast("bigint") for b in range(size)])
+        held = F.zip_with(F.slice(grades, w * WORD_BITS + 1, size), bits, lambda g, b: F.when(test(g), b).otherwise(zero))
+        words.append(F.aggregate(held, zero, lambda x, y: x.bitwiseOR(y)).alias(name))
+    return words
+
+
 def members(cols: list[Column], m: int) -> Column:
     """Ascending ARRAY<INT> of the attributes in a mask."""
     picks = []

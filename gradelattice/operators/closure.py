@@ -91,12 +91,11 @@ def modal_rows(ctx: Context) -> DataFrame:
     """
     m = ctx.m
     need, attr = masks.mask_cols(m, "need"), masks.mask_cols(m, "attrs")
-    def per_level(level):
-        grades = [F.col("grades")[j] for j in range(m)]
-        return F.struct(*masks.mask_of([g >= level for g in grades], "need"),
-                        *masks.mask_of([g == level for g in grades], "attrs"))
-    up_sets = F.transform(F.array_distinct(F.filter("grades", lambda g: g > 0)), per_level)
-    rows = ctx.frame.select(F.explode(up_sets).alias("u")).select("u.*")
+    positive = F.array_distinct(F.filter("grades", lambda g: g > 0))
+    per_level = ctx.frame.select("grades", F.explode(positive).alias("level"))
+    grades, level = F.col("grades"), F.col("level")
+    rows = per_level.select(*masks.mask_where(grades, m, lambda g: g >= level, "need"),
+                            *masks.mask_where(grades, m, lambda g: g == level, "attrs"))
     return rows.groupBy(*need).agg(*[F.bit_or(a).alias(a) for a in attr])
 
 

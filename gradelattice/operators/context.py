@@ -61,10 +61,10 @@ def grade_counts(facts: DataFrame, obj: Column, attr: Column, m: int, scale: int
 
 def grade_vectors(vectors: DataFrame, obj: Column, vector: Column, m: int, scale: int = 10) -> Context:
     """Grade each vector by min-max scaling within the row; row-local, no shuffle."""
-    rows = vectors.select(obj.alias("obj"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    rows = rows.select("obj", "v", F.array_min("v").alias("lo"), F.array_max("v").alias("hi"))
-    cells = [F.floor(scale * (F.col("v")[j] - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("int") for j in range(m)]
-    return Context(rows.select("obj", F.array(*cells).alias("grades")), m, scale)
+    rows = vectors.select(obj.alias("obj"), vector.alias("v"), F.array_min(vector).cast("double").alias("lo"),
+                          F.array_max(vector).cast("double").alias("hi"))
+    cells = F.transform("v", lambda x: F.floor(scale * (x.cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("int"))
+    return Context(rows.select("obj", cells.alias("grades")), m, scale)
 
 
 def from_long(cells: DataFrame, m: int, scale: int = 10) -> Context:
@@ -160,5 +160,4 @@ def explain_scaling(ctx: Context, obj=None) -> DataFrame:
 
 def object_sets(ctx: Context, level: int) -> DataFrame:
     """Per object, the mask of attributes graded at least ``level``."""
-    flags = [g >= level for g in fuzzy.levels(F.col("grades"), ctx.m)]
-    return ctx.frame.select("obj", *masks.mask_of(flags))
+    return ctx.frame.select("obj", *masks.mask_where(F.col("grades"), ctx.m, lambda g: g >= level))

@@ -55,7 +55,7 @@ def modal_intents(extents: DataFrame, ctx: Context) -> DataFrame:
     """
     cols = masks.mask_cols(ctx.m)
     rows = extents.join(ctx.frame, "obj")
-    above = masks.mask_of([g > F.col("ext") for g in fuzzy.levels(F.col("grades"), ctx.m)])
+    above = masks.mask_where(F.col("grades"), ctx.m, lambda g: g > F.col("ext"))
     broken = rows.select("set_id", *above).groupBy("set_id").agg(*[F.bit_or(c).alias(c) for c in cols])
     full = masks.full_words(ctx.m)
     return broken.select("set_id", *[F.lit(int(f)).bitwiseAND(F.bitwise_not(F.col(c))).alias(c) for f, c in zip(full, cols)])
