@@ -144,6 +144,21 @@ def modal_levels(closure: ModalClosure):
             *[F.col(c).alias(d) for c, d in zip(closed_cols, cols)], F.col("j").alias("y")), "level")
 
 
+def enumeration_counters(tree: DataFrame, m: int) -> DataFrame:
+    """Concepts, closures tried and closures rejected as not canonical, from the generation tree.
+
+    A concept tries every attribute after its own generating one that it does
+    not hold yet; all tries but one per further concept are rejected.
+    """
+    cols = [F.col(c) for c in masks.mask_cols(m)]
+    after = np.cumsum(masks.bit_words(m)[::-1], axis=0)[::-1] - masks.bit_words(m)  # after[j]: attributes beyond j
+    words = [F.element_at(F.array(*[F.lit(int(x)).cast("bigint") for x in [full, *after[:, w]]]), F.col("y") + 2)
+             for w, full in enumerate(masks.full_words(m))]
+    free = masks.card([w.bitwiseAND(F.bitwise_not(c)) for w, c in zip(words, cols)])
+    sums = tree.agg(F.count(F.lit(1)).alias("concepts"), F.coalesce(F.sum(free), F.lit(0)).cast("bigint").alias("closures"))
+    return sums.select("concepts", "closures", (F.col("closures") - F.col("concepts") + 1).alias("rejected"))
+
+
 def powerset_concepts(ctx: Context, closure: ModalClosure | None = None) -> DataFrame:
     """Closed sets by testing all ``2^m`` subsets; for small ``m`` and as a check."""
     if ctx.m > 30:

@@ -16,6 +16,7 @@ def _case(col: str, values: tuple[str, ...]) -> str:
 
 FACTS = {
     "brand_size": (10, "SELECT p_brand obj, (p_size - 1) // 5 attr FROM part"),
+    "type_size": (50, "SELECT p_type obj, p_size - 1 attr FROM part"),
     "seg_month": (12, "SELECT c_mktsegment || '|' || o_orderstatus obj, month(o_orderdate) - 1 attr "
                       "FROM orders JOIN customer ON o_custkey = c_custkey"),
     "region_bucket": (10, "SELECT n_regionkey obj, o_custkey % 10 attr FROM orders JOIN customer ON o_custkey = c_custkey "
@@ -186,10 +187,32 @@ USER_STEPS = f"""{ctx('user_event')}, steps AS (SELECT DISTINCT mask FROM (SELEC
 CARD = "bit_count(mask)::INT"
 
 
+def _six(fmt: str, sep: str = ", ") -> str:
+    return sep.join(fmt.format(i=i) for i in range(6))
+
+
+# Concepts by their extents: over six objects, every join of column extents is one concept.
+TYPE_CONCEPTS = f"""{ctx('type_size')}, numbered AS (SELECT dense_rank() OVER (ORDER BY obj) - 1 o, attr, q FROM type_size),
+cols AS (SELECT attr, {_six('coalesce(max(q) FILTER (o = {i}), 0) c{i}')} FROM numbered GROUP BY attr),
+exts({_six('e{i}')}) AS (SELECT {_six('0')} UNION SELECT {_six('greatest(e{i}, c{i})')} FROM exts, cols),
+closed AS (SELECT {_six('e{i}')}, sum(CASE WHEN {_six('c{i} <= e{i}', ' AND ')} THEN 1::BIGINT << attr ELSE 0 END)::BIGINT mask
+  FROM exts, cols GROUP BY {_six('e{i}')})"""
+TYPE_COVERS = f"""{TYPE_CONCEPTS}, steps AS (SELECT DISTINCT mask, {_six('greatest(e{i}, c{i}) s{i}')} FROM closed, cols
+  WHERE NOT ({_six('c{i} <= e{i}', ' AND ')})),
+least_steps AS (SELECT mask, {_six('s{i}')} FROM steps a WHERE NOT EXISTS (SELECT 1 FROM steps b WHERE b.mask = a.mask
+  AND {_six('b.s{i} <= a.s{i}', ' AND ')} AND ({_six('b.s{i} < a.s{i}', ' OR ')}))),
+covers AS (SELECT l.mask child, c.mask parent FROM least_steps l JOIN closed c ON {_six('s{i} = e{i}', ' AND ')})"""
+
+
 def graph_select(body: str) -> str:
     return f"WITH RECURSIVE {CRISP_COVERS}, {LEVELS} {body}"
 
 
+METRICS = """SELECT (SELECT count(*) FROM closed) n_vertices, (SELECT count(*) FROM covers) n_edges,
+  round((SELECT count(*) FROM covers) / (SELECT count(*) FROM closed), 6) avg_degree, (max(level) + 1)::BIGINT height,
+  (SELECT max(n) FROM (SELECT count(*) n FROM levels GROUP BY level)) width_levels FROM levels"""
+
+
 def oracle_sql() -> dict[str, str]:
     long = "SELECT obj, attr, q FROM"
     fuzzy_covers = f"""WITH {fixpoints('nation_status', luk)},
@@ -304,6 +327,15 @@ SELECT obj, a, b, cl joined FROM a JOIN b USING (obj) JOIN cltab ON mask = (a |
         "concepts_region": f"WITH {ctx('region_bucket')}, {closures('region_bucket', 10)} {concept_rows}",
         "concepts_crisp": f"WITH {CRISP_CLOSED} {concept_rows}",
         "concepts_suppliers": f"WITH {ctx('supplier_month')}, {closures('supplier_month', 12)} {concept_rows}",
+        "concepts_types": f"WITH RECURSIVE {TYPE_CONCEPTS} {concept_rows}",
+        "hasse_edges_types": f"WITH RECURSIVE {TYPE_COVERS} SELECT child mask, parent sup_mask FROM covers",
+        "lattice_metrics_types": f"WITH RECURSIVE {TYPE_COVERS}, {LEVELS} {METRICS}",
+        "link_score_types": f"WITH RECURSIVE {TYPE_CONCEPTS} SELECT b.mask, count(*) links FROM closed a JOIN closed b ON (a.mask & ~b.mask) = 0 GROUP BY b.mask",
+        "enumeration_counters": f"""WITH {SEG_CLOSED}, gen AS (SELECT c.mask, CASE WHEN c.mask = (SELECT min(cl) FROM cltab WHERE mask = 0) THEN -1
+  ELSE min(j) END y FROM closed c, range(12) r(j) JOIN cltab t ON true
+  WHERE t.mask = (c.mask & ((1::BIGINT << (j::INT + 1)) - 1)) AND t.cl = c.mask GROUP BY c.mask),
+tries AS (SELECT count(*) n FROM gen, range(12) r(j) WHERE j > y AND ((mask >> j::INT) & 1) = 0)
+SELECT (SELECT count(*) FROM gen) concepts, n closures, n - (SELECT count(*) FROM gen) + 1 rejected FROM tries""",
         "concepts_scaled": f"""WITH {scaled('region_bucket')}, cells AS (SELECT crisp_attr, obj FROM region_bucket JOIN smap ON attr = fuzzy_attr AND q = value),
 cols AS (SELECT crisp_attr, sum(1::BIGINT << obj)::BIGINT ext FROM cells GROUP BY 1), sub AS (SELECT range::BIGINT o FROM range(32)),
 closed AS (SELECT DISTINCT mask FROM (SELECT o, coalesce(sum(1::BIGINT << crisp_attr), 0)::BIGINT mask FROM sub
@@ -337,9 +369,7 @@ UNION ALL SELECT 'max_intent', u0 || ',' || u1 || ',' || u2 FROM ups WHERE y0 =
         "lattice_levels": graph_select("SELECT id, level::INT AS level FROM levels"),
         "lattice_height": graph_select("SELECT (max(level) + 1)::BIGINT height FROM levels"),
         "width_levels": graph_select("SELECT max(n) width_levels FROM (SELECT count(*) n FROM levels GROUP BY level)"),
-        "lattice_metrics": graph_select("""SELECT (SELECT count(*) FROM closed) n_vertices, (SELECT count(*) FROM covers) n_edges,
-  round((SELECT count(*) FROM covers) / (SELECT count(*) FROM closed), 6) avg_degree, (max(level) + 1)::BIGINT height,
-  (SELECT max(n) FROM (SELECT count(*) n FROM levels GROUP BY level)) width_levels FROM levels"""),
+        "lattice_metrics": graph_select(METRICS),
         "join_closure": joins,
         "incremental_hasse": modal_edges,
         "sqrt_quota": f"""WITH {SEG_CLOSED}, h AS (SELECT {CARD} card, count(*) n FROM closed GROUP BY 1),

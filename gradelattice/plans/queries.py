@@ -340,6 +340,19 @@ def concepts_suppliers(spark, sf):
     return _sized(en.concepts(tables.supplier_month(spark, sf)))
 
 
+@query
+def concepts_types(spark, sf):
+    """Fifty attributes, tens of thousands of concepts."""
+    return _sized(en.concepts(tables.type_size(spark, sf)))
+
+
+@query
+def enumeration_counters(spark, sf):
+    """Concepts found, closures computed for them, and closures the canonicity test turned down."""
+    ctx = tables.seg_month(spark, sf)
+    return en.enumeration_counters(en.concept_tree(ctx), ctx.m)
+
+
 @query
 def concepts_scaled(spark, sf):
     """Concepts of a nominally scaled context."""
@@ -465,6 +478,23 @@ def hasse_edges_modal(spark, sf):
     return containment.modal_covers(en.concepts(closure.ctx, closure), closure)
 
 
+def _type_lattice(spark, sf) -> tuple[DataFrame, DataFrame]:
+    closure = ModalClosure(tables.type_size(spark, sf))
+    concepts = en.concepts(closure.ctx, closure)
+    return concepts, containment.modal_covers(concepts, closure)
+
+
+@query
+def hasse_edges_types(spark, sf):
+    return _type_lattice(spark, sf)[1]
+
+
+@query
+def lattice_metrics_types(spark, sf):
+    concepts, covers = _type_lattice(spark, sf)
+    return metrics.lattice_metrics(concepts.withColumnRenamed("mask", "id"), metrics.edge_frame(covers, ["mask"], ["sup_mask"]))
+
+
 @query
 def hasse_edges_family(spark, sf):
     """Cover relation of sets that are no closure system: suppliers' characteristic months."""
@@ -552,6 +582,17 @@ def link_score(spark, sf):
     return sampling.link_scores(concepts, concepts, ctx.m)
 
 
+@query
+def link_score_types(spark, sf):
+    concepts = en.concepts(tables.type_size(spark, sf))
+    return sampling.link_scores(concepts, concepts, 50)
+
+
+@query
+def quota_sample_types(spark, sf):
+    return sampling.quota_sample(en.concepts(tables.type_size(spark, sf)), 50, 5000)
+
+
 @query
 def quota_sample(spark, sf):
     ctx = tables.seg_month(spark, sf)

@@ -37,6 +37,17 @@ def brand_size(spark: SparkSession, folder: str) -> Context:
     return grade_counts(table(spark, folder, "part"), F.col("p_brand"), F.expr("cast((p_size - 1) div 5 as int)"), 10)
 
 
+def type_brand(spark: SparkSession, folder: str) -> Context:
+    """Part types x the 25 brands ``Brand#1`` .. ``Brand#25``."""
+    brand = F.substring("p_brand", 7, 2).cast("int") - 1
+    return grade_counts(table(spark, folder, "part"), F.col("p_type"), brand, 25)
+
+
+def type_size(spark: SparkSession, folder: str) -> Context:
+    """Part types x the 50 sizes: few objects, many attributes, a large lattice."""
+    return grade_counts(table(spark, folder, "part"), F.col("p_type"), F.col("p_size") - 1, 50)
+
+
 def seg_month(spark: SparkSession, folder: str) -> Context:
     """(market segment, order status) x month of the order."""
     # the join key is the customer; AQE broadcasts the customer side only while it is small
