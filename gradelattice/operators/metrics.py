@@ -1,14 +1,12 @@
 """Lattice metrics from a vertex frame and a cover relation.
 
 Vertices are ``id`` (any type), edges ``child`` and ``parent``.  Iterations walk
-along edges with joins on the child; each round is staged, and rounds are
-bounded by the height of the lattice.
+along edges with joins on the child; they are bounded by the height of the
+lattice and cut by staged tables.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +25,36 @@ def _stage_counted(frame: DataFrame, label: str) -> tuple[DataFrame, int]:
     return written, seen["n"]
 
 
-HOPS = 3  # rounds of the level walk computed in one job
+HOPS = 6                # relaxation rounds chained in one job
+MANY_EDGES = 1 << 20    # from here on edges are kept partitioned in memory and on disk
 
 
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): length of the longest chain of edges below each vertex.
 
-    Round i holds the vertices some i-edge path ends at; a vertex keeps the last
-    round it shows up in.  No level has to be compared or revised.
+    After k rounds of ``level(parent) = max(level, level(child) + 1)`` a level is
+    the smaller of k and its final value, so the walk is over once no level has
+    reached the number of rounds.  A vertex keeps its level through an edge of
+    step 0 to itself, so a round uses the last one only once.  Many edges are
+    kept partitioned by child: a round joins in place and shuffles once, on the
+    parent.  Few are left to Catalyst, which broadcasts them while they are small.
     """
-    edges, _ = _stage_counted(edges.select("child", "parent"), "edges")
-    layer, depth = edges.select(F.col("child").alias("id")).distinct(), 0
-    walked = Pile(edges.sparkSession, "layers", layer.withColumn("level", F.lit(0)).schema)
+    spark = edges.sparkSession
+    stay = vertices.select(F.col("id").alias("child"), F.col("id").alias("parent"), F.lit(0).alias("step"))
+    steps, n = _stage_counted(edges.select("child", "parent", F.lit(1).alias("step")).unionByName(stay), "edges")
+    many = n > MANY_EDGES
+    if many:
+        steps = steps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "child").persist()
+    state, rounds = vertices.select("id", F.lit(0).alias("level")), 0
     while True:
-        steps = []
-        for i in range(1, HOPS + 1):
-            layer = layer.join(edges, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
-            steps.append(layer.withColumn("level", F.lit(depth + i)))
-        depth += HOPS
-        reached, seen = walked.add(reduce(DataFrame.unionByName, steps), last=F.max("level"))
-        if (seen["last"] or 0) < depth:
-            break
-        layer = reached.where(F.col("level") == depth).select("id")
-    ground = vertices.select("id").withColumn("level", F.lit(0))
-    return ground.unionByName(walked.all).groupBy("id").agg(F.max("level").alias("level"))
+        for _ in range(HOPS):
+            raised = steps.join(state.hint("shuffle_hash") if many else state, F.col("child") == F.col("id"))
+            state = raised.groupBy(F.col("parent").alias("id")).agg(F.max(F.col("level") + F.col("step")).alias("level"))
+        rounds += HOPS
+        state, seen = stage_observed(state, "levels", top=F.max("level"))
+        if (seen["top"] or 0) < rounds:
+            steps.unpersist()
+            return state
 
 
 def height(levels_: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ def quota_sample(sets: DataFrame, m: int, maxn: int = DEFAULT_MAXN, seed: int =
     """
     cols = masks.mask_cols(m)
     parent_levels = min(MAX_PARENT_LEVELS, max(1, parent_levels))
-    keyed = stage(sets.select(*cols, masks.card([F.col(c) for c in cols]).alias("card"),
-                              shuffle_key(m, seed).alias("ord")), "sample-input")
+    keyed = sets.select(*cols, masks.card([F.col(c) for c in cols]).alias("card"), shuffle_key(m, seed).alias("ord"))
+    keyed = stage(keyed, "sample-input", partition="card")  # a stratum then reads only its own files
     quotas = sqrt_quota(keyed.groupBy("card").agg(F.count(F.lit(1)).alias("n")), maxn)
     chosen: dict[int, DataFrame] = {}
     pools: dict[int, np.ndarray] = {}  # words of the nearest strata while they fit a broadcast

@@ -446,6 +446,7 @@ def _crisp_lattice(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
     concepts, covers = _crisp_lattice(spark, sf)
+    covers = stage(covers, "cover-edges")  # walked over and over
     return concepts.withColumnRenamed("mask", "id"), metrics.edge_frame(covers, ["mask"], ["sup_mask"])
 
 
@@ -492,6 +493,7 @@ def hasse_edges_types(spark, sf):
 @query
 def lattice_metrics_types(spark, sf):
     concepts, covers = _type_lattice(spark, sf)
+    covers = stage(covers, "cover-edges")
     return metrics.lattice_metrics(concepts.withColumnRenamed("mask", "id"), metrics.edge_frame(covers, ["mask"], ["sup_mask"]))
 
 

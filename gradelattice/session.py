@@ -83,10 +83,10 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex[:12]}")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, partition: str | None = None) -> DataFrame:
     """Write ``df`` as a shared parquet table and read it back: a durable lineage cut."""
     path = stage_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
