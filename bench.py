@@ -20,9 +20,9 @@ HEADLINE = [
     "context_long", "context_alpha_cut", "context_nominal_scaling", "context_stats", "context_embedding",
     "modal_extent", "modal_intent", "modal_closure_suppliers", "modal_closure_wide",
     "derive_down_luk", "derive_up_luk", "closure_luk", "closure_goguen",
-    "concepts_powerset", "concepts_cbo", "concepts_crisp", "concepts_suppliers", "concept_extents",
+    "concepts_powerset", "concepts_cbo", "concepts_crisp", "concepts_suppliers", "concepts_types", "concept_extents",
     "fuzzy_concepts_luk", "fuzzy_concepts_goguen", "fuzzy_concepts_users", "next_closure_order",
-    "hasse_edges_crisp", "hasse_edges_modal", "hasse_edges_family", "hasse_edges_fuzzy", "hasse_rows_fuzzy",
+    "hasse_edges_crisp", "hasse_edges_modal", "hasse_edges_types", "hasse_edges_family", "hasse_edges_fuzzy", "hasse_rows_fuzzy",
     "fuzzy_subset_pairs", "degree_stats", "lattice_metrics", "join_closure", "link_score", "quota_sample",
     "scan_context", "concept_listing", "dot_lines",
 ]
