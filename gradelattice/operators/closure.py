@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from gradelattice.functions import kernels, masks
 from gradelattice.functions.fuzzy import Implication, Rounding
 from gradelattice.operators.context import Context
-from gradelattice.session import ship_package, stage, stage_observed
+from gradelattice.session import ship_package, stage
 
 RESIDENT_BYTES = 64 << 20   # largest broadcast of shrunk rows
 BLOCK_ROWS = 1 << 15        # rows of either side in one fragment
@@ -35,13 +35,18 @@ PRUNE_PIVOTS = 2048         # smallest masks used to drop implied ones
 
 
 def stage_bounded(frame: DataFrame, label: str, max_rows: int) -> tuple[DataFrame, pa.Table | None]:
-    """``frame`` staged, and its rows when there are at most ``max_rows``.
+    """(``frame`` staged, None), or (``frame``, its rows) when there are at most ``max_rows``.
 
-    The rows are counted while they are written, so a frame that is too large
-    is never funnelled through one task or the driver to find that out.
+    The rows are cached where they are and counted first, so a frame that is too
+    large is never funnelled through one task or the driver to find that out.
     """
-    rows, seen = stage_observed(frame, label, n=F.count(F.lit(1)))
-    return rows, rows.toArrow() if seen["n"] <= max_rows else None
+    cached = frame.persist()
+    try:
+        if cached.count() <= max_rows:
+            return frame, cached.toArrow()
+        return stage(cached, label), None
+    finally:
+        cached.unpersist()
 
 
 def map_batches(frame: DataFrame, fn, schema: str) -> DataFrame:
@@ -144,8 +149,8 @@ class ModalClosure:
     def _prepared(self):
         need, attr = self._need_cols
         max_rows = self.resident_bytes // (16 * len(need))
-        rows, table = stage_bounded(modal_rows(self.ctx), "modal-rows", max_rows)
-        if table is not None and table.num_rows <= PRUNE_PIVOTS:
+        rows, table = stage_bounded(modal_rows(self.ctx), "modal-rows", min(PRUNE_PIVOTS, max_rows))
+        if table is not None:
             pair = (kernels.words_of(table, need), kernels.words_of(table, attr))
             left = _prune(pair, pair)
         else:
