@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelattice.llm import token_files
+from gradelattice.llm import decontaminate, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,8 +20,32 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
+def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination_digest(decontaminate.find_copies(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op7_token_files": op7_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# DuckDB forms, for the operators that SQL can express.
+WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": f"""
+        WITH d AS (SELECT doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS name, coalesce({WORDS_SQL}, []) AS w FROM benchmark),
+        iw AS (SELECT DISTINCT name, least(10, len(w)) AS size, list_slice(w, k, k + least(10, len(w)) - 1) AS g
+               FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM iw),
+        dw AS (SELECT doc_id, size, k, list_slice(w, k, k + size - 1) AS g
+               FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size)),
+        hit AS (SELECT doc_id, dw.size, k, name FROM dw JOIN iw ON dw.size = iw.size AND dw.g = iw.g),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY doc_id),
+        named AS (SELECT doc_id, list_sort(list(DISTINCT name)) AS names FROM hit GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
+               sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
