@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelattice.llm import decontaminate, token_files
+from gradelattice.llm import decontaminate, minhash, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,9 +24,14 @@ def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination_digest(decontaminate.find_copies(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")))
 
 
+def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf, "documents"), words=2, percent=80)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op7_token_files": op7_token_files,
+    "op8_minhash": op8_minhash,
 }
 
 # DuckDB forms, for the operators that SQL can express.
@@ -48,4 +53,16 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
                sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op8_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[k] || ' ' || w[k + 1] END AS g
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w)))) AS k FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        sides AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a)
+        SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
 }
