@@ -1,8 +1,8 @@
 """Token ids of a corpus as Arrow files of equal-length sequences.
 
 Documents are range-partitioned by id; each task encodes its documents in order and writes one shard: an Arrow IPC file
-whose record batches hold ``ids: fixed_size_list<uint16|uint32>[L]`` and ``mask: fixed_size_list<uint8>[L]`` (1 = token,
-0 = padding behind the last document of the shard), and beside it an index file ``doc_id, start, n_tokens``.  A sequence
+whose record batches hold ``ids: fixed_size_list<uint16|uint32>[L]`` and ``mask: fixed_size_list<bool>[L]`` (true =
+token, false = padding behind the last document of the shard; a bit each), and beside it an index file ``doc_id, start, n_tokens``.  A sequence
 is addressed by (shard, row) and read through a memory map without copying.
 """
 
@@ -24,7 +24,7 @@ from gradelattice.session import ship_package, stage, stage_path
 
 SEQUENCE = 2048  # ids in a sequence
 BATCH_ROWS = 256  # sequences in a record batch
-WORDS_KEPT = 1_200_000  # encoded words a worker remembers (some 250 MB); beyond, it starts anew
+WORDS_KEPT = 1_800_000  # encoded words a worker remembers (some 400 MB); beyond, it starts anew
 WORDS_AT_ONCE = 2_000  # new words in one call of the tokenizer
 TEXT_BYTES = 2 << 20  # text a worker splits into words at once
 
@@ -108,7 +108,7 @@ class ShardWriter:
     def __init__(self, sink: pa.NativeFile, kind: np.dtype, length: int):
         self.kind, self.length, self.rest, self.held = kind, length, [], 0
         value = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.file = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: bytes) -> None:
@@ -121,9 +121,9 @@ class ShardWriter:
         ids, size = np.frombuffer(b"".join(self.rest), self.kind), rows * self.length
         tail = ids[size:]
         self.rest, self.held = [tail.tobytes()], len(tail)
-        mask = np.ones(size, np.uint8)
+        mask = np.ones(size, bool)
         if pad:
-            mask[len(ids):] = 0
+            mask[len(ids):] = False
             ids = np.concatenate([ids, np.zeros(max(0, size - len(ids)), self.kind)])
         for a in range(0, size, BATCH_ROWS * self.length):
             b = min(size, a + BATCH_ROWS * self.length)
@@ -152,10 +152,10 @@ class Shard:
             self.at, self.batch = k, self.file.get_batch(k)
         return self.batch
 
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence, as views of the file."""
-        batch, row = self._batch(row // BATCH_ROWS), row % BATCH_ROWS
-        return tuple(batch.column(c).values.to_numpy()[row * self.length:(row + 1) * self.length] for c in ("ids", "mask"))
+    def sequence(self, row: int) -> tuple[pa.Array, pa.Array]:
+        """Ids and mask of one sequence, as views of the file's buffers."""
+        batch, at = self._batch(row // BATCH_ROWS), row % BATCH_ROWS * self.length
+        return tuple(batch.column(c).values.slice(at, self.length) for c in ("ids", "mask"))
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from position ``start`` of the shard."""
