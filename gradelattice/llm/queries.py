@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradelattice.llm import decontaminate, minhash, token_files
+from gradelattice.llm import decontaminate, language_id, minhash, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +21,18 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    identifier = language_id.fit(docs, _remainder(3) != 1)
+    found = language_id.identify(docs.select("doc_id", "text"), identifier)
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+                        F.col("lang_accepted").alias("accepted"), F.col("lang_bits").alias("bits"))
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination_digest(decontaminate.find_copies(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")))
 
@@ -29,6 +42,7 @@ def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op7_token_files": op7_token_files,
     "op8_minhash": op8_minhash,
