@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import decontaminate, language_id, minhash, token_files
+from gradelattice.llm import decontaminate, html_text, language_id, minhash, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,11 +41,16 @@ def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf, "documents"), words=2, percent=80)
 
 
+def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op7_token_files": op7_token_files,
     "op8_minhash": op8_minhash,
+    "op10_html_text": op10_html_text,
 }
 
 # DuckDB forms, for the operators that SQL can express.
