@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import decontaminate, html_text, language_id, minhash, token_files
+from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf, "embeddings"))
+
+
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     manifest = token_files.write_token_files(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                                              end_id=1, by_words=True)
@@ -48,6 +52,7 @@ def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_decontaminate": op3_decontaminate,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_token_files": op7_token_files,
     "op8_minhash": op8_minhash,
     "op10_html_text": op10_html_text,
@@ -72,6 +77,13 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
                sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+        FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id)""",
     "op8_minhash": r"""
         WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(
                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
