@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, token_files
+from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf, "documents"), words=2, percent=80)
 
 
+def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(_table(spark, sf, "documents").select("doc_id", "text"), model)
+    return (pieces.decode(encoded, model)
+            .select("doc_id", "n_pieces", "n_bytes", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip")))
+
+
 def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(_table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -55,6 +62,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op7_token_files": op7_token_files,
     "op8_minhash": op8_minhash,
+    "op9_pieces": op9_pieces,
     "op10_html_text": op10_html_text,
 }
 
