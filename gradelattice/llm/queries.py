@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, token_files
+from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, quality_crf, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("lang_accepted").alias("accepted"), F.col("lang_bits").alias("bits"))
 
 
+def op2_quality_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = quality_crf.fit(docs, _table(spark, sf, "labels"), _remainder(5) != 0)
+    return (quality_crf.score(docs.select("doc_id", "text"), model)
+            .select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination_digest(decontaminate.find_copies(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")))
 
@@ -58,6 +65,7 @@ def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_quality_crf": op2_quality_crf,
     "op3_decontaminate": op3_decontaminate,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op7_token_files": op7_token_files,
