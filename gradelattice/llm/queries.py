@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, quality_crf, token_files
+from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf, "embeddings"))
 
 
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count_into="n_entities").select("doc_id", "text", "n_entities")
+
+
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     manifest = token_files.write_token_files(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                                              end_id=1, by_words=True)
@@ -68,6 +73,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_crf": op2_quality_crf,
     "op3_decontaminate": op3_decontaminate,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_pii": op6_pii,
     "op7_token_files": op7_token_files,
     "op8_minhash": op8_minhash,
     "op9_pieces": op9_pieces,
