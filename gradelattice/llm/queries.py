@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, token_files
+from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf, "documents")))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf, "embeddings"))
 
@@ -72,6 +76,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_crf": op2_quality_crf,
     "op3_decontaminate": op3_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_pii": op6_pii,
     "op7_token_files": op7_token_files,
@@ -99,6 +104,20 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
                sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        g AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS k FROM d WHERE len(h) >= 100)),
+        f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+        hit AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM g JOIN f USING (g) WHERE first < doc_id),
+        run AS (SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS r FROM hit),
+        span AS (SELECT doc_id, r, min(k) AS a, max(k) + 50 AS b FROM run GROUP BY doc_id, r),
+        spans AS (SELECT doc_id, list(a ORDER BY a) AS s, list(b ORDER BY a) AS e FROM span GROUP BY doc_id),
+        joined AS (SELECT doc_id, h, coalesce(s, []) AS s, coalesce(e, []) AS e FROM d LEFT JOIN spans USING (doc_id))
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(e), 0) - coalesce(list_sum(s), 0) AS BIGINT) AS n_removed,
+               CAST(len(s) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(array_to_string(list_transform(range(0, len(s) + 1), lambda i: substr(h,
+                   2 * coalesce(e[i], 0) + 1, 2 * (coalesce(s[i + 1], len(h) // 2) - coalesce(e[i], 0)))), ''), ''))) AS kept_sha256
+        FROM joined""",
     "op5_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
