@@ -234,13 +234,18 @@ def fit(docs: DataFrame, learn: Column | None = None, *, text: str = "text", lan
         grams, row = np.unique(np.array(got["gram"].to_pylist(), dtype=f"<U{order}"), return_inverse=True)
         counts = np.zeros((len(grams), len(names)))
         counts[row.reshape(-1), [names.index(x) for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
-        return np.frombuffer(grams.tobytes(), np.uint32).reshape(-1, order), counts
+        return np.frombuffer(grams.tobytes(), np.uint32).reshape(len(grams), order), counts
 
     names = sorted(share)
     # Without a held-back part (a handful of texts), calibrate on what was learned from.
     held = {r[0] for r in sample.where("held").select("lang").distinct().collect()}
     learned = sample.where(~F.col("held") | ~F.col("lang").isin(sorted(held)))
-    model = KneserNey(*tabulate(learned if learned.limit(1).count() else sample), names)
+    grams, counts = tabulate(learned)
+    if not len(grams):
+        grams, counts = tabulate(sample)
+    if not len(grams):  # labelled texts without a letter: all languages are alike
+        grams, counts = np.full((1, order), 32, np.uint32), np.ones((1, len(names)))
+    model = KneserNey(grams, counts, names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
