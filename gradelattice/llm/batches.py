@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 8 << 20  # working set of a task: text handled at once, longer only for a single longer text
 
@@ -26,6 +28,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(a, b - a)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """While a step with heavy rows runs, Arrow batches hold at most ``rows`` of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str | None]:
     return batch.column(column).to_pylist()
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelattice.llm.batches import binary_lists, raw, slices
+from gradelattice.llm.batches import binary_lists, raw, slices, small_batches
 from gradelattice.llm.graph import components
 from gradelattice.session import ship_package, stage, stage_observed
 
@@ -31,6 +31,7 @@ BANDS, ROWS = 32, 5  # a pair of similarity 0.8 shares no band with a probabilit
 UNIVERSE_BITS = 22
 SKETCH_SLACK = 6.0  # standard deviations below the expected number of equal coordinates at which a pair is left unverified
 BLOCK = 256  # documents of a bucket compared with as many others in one group
+PAIR_ROWS = 500  # pairs with their full sets in an Arrow batch
 BROADCAST_IDS = 2_000_000  # ids (some 40 MB) sent to all executors at most; beyond, texts are shuffled by id instead
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +162,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     held = stage(with_ids(docs, ids, seen["n"], "left_semi").mapInArrow(sets, "doc_id bigint, items binary"), "sets")
     joined = (pairs.join(held.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a")
               .join(held.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b"))
-    return stage(joined.select("a", "b", "ia", "ib").mapInArrow(compare, "a bigint, b bigint"), "links")
+    with small_batches(docs.sparkSession, PAIR_ROWS):
+        return stage(joined.select("a", "b", "ia", "ib").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def _across(multi: DataFrame, owner: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
