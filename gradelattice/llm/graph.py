@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelattice.session import stage_observed
+from gradelattice.session import stage, stage_observed
 
 MAX_ROUNDS = 60
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """``node, component`` for every node of ``edges``; the component is its smallest node.
 
+    With ``rounds``, stops after so many: nodes of one component may then still go by several names, each of them a node
+    of it, and nodes that are nobody's name but their own may be left out.
+
     Alternates two steps until neither changes an edge: every node ties its larger neighbours to its smallest one, then its
     smaller neighbours to the smallest one.  Each step is an aggregation and a join on the node, so a node of very many
     edges is split by Spark's skew handling and never gathered; the number of rounds is about the logarithm of the
     longest path.  Every round is written to the shared folder, which cuts the lineage.  Loops and repeated edges do no
     harm; an empty table has no nodes.
     """
-    start = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    now, seen = stage_observed(start, "edges", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    if rounds is not None:
+        for _ in range(rounds):
+            now = stage(_tie(_tie(now, larger=True), larger=False).distinct(), "edges")
+        return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    now, seen = stage_observed(now, "edges", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     for _ in range(MAX_ROUNDS):
         before = seen
         if not before["n"]:
             break
         now = _tie(now, larger=True)
-        now, seen = stage_observed(_tie(now, larger=False), "edges", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        now, seen = stage_observed(_tie(now, larger=False).distinct(), "edges", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if seen == before:
             break
     else:
@@ -46,4 +53,4 @@ def _tie(edges: DataFrame, larger: bool) -> DataFrame:
         tied = tied.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
     else:
         tied = tied.select(F.col("y").alias("u"), F.col("m").alias("v")).union(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
-    return tied.where("u > v").distinct()
+    return tied.where("u > v")

@@ -4,10 +4,11 @@ Two permutations make all coordinates: the first scatters a shingle over a circl
 second, shifted by k places along the circle, gives coordinate k.  The coordinates of a shingle are therefore
 neighbours in one table, and a signature is a column-wise minimum of table rows.
 
-Equal sets are one node from the start.  Round one ties every document to its likeliest leader, the smallest document of
-a bucket; round two takes the buckets whose documents are still in different components and compares documents of
-different components only, large buckets in blocks.  So no pair that shares a bucket is left out unless it is already
-joined, and a group of n near copies costs about n comparisons.
+Equal sets are one node from the start.  Buckets are dealt at random into small cells with a leader each, and every
+document is compared with its likeliest leaders; so are, in further rounds with other cells, documents of buckets that
+still hold several components.  What the rounds leave is compared in full: all pairs of a bucket whose documents are in
+different components, large buckets in blocks.  So no pair that shares a bucket is left out unless it is already joined,
+and a group of n near copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ PERCENT = 80  # least similarity of a link
 BANDS, ROWS = 32, 5  # a pair of similarity 0.8 shares no band with a probability of 3e-6
 UNIVERSE_BITS = 22
 SKETCH_SLACK = 6.0  # standard deviations below the expected number of equal coordinates at which a pair is left unverified
-BLOCK = 256  # documents of a bucket compared with as many others in one group
+ROUNDS, CELL, LIKELIEST = 2, 8, 3  # rounds of leaders, documents in a cell, leaders a document is compared with in a round
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22  # documents of a bucket, and shingles of theirs, compared with as many others in one group, about
+COLUMNS = 4096  # shingles in a membership matrix
 PAIR_ROWS = 500  # pairs with their full sets in an Arrow batch
 BROADCAST_IDS = 2_000_000  # ids (some 40 MB) sent to all executors at most; beyond, texts are shuffled by id instead
 
@@ -138,66 +141,119 @@ def with_ids(docs: DataFrame, ids: DataFrame, count: int, how: str, id: str = "d
     return docs.join(F.broadcast(right) if count <= BROADCAST_IDS else right, id, how)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity, as a staged table ``a, b``."""
-    pairs = stage(pairs.select("a", "b"), "candidates")
-    ids, seen = stage_observed(pairs.select("a").union(pairs.select("b")).distinct(), "candidate-ids", n=F.count(F.lit(1)))
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Shingle sets of the documents in ``wanted``, staged: ``doc_id, items`` (sorted hashes as bytes)."""
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [shingles(t, words).tobytes() for t in raw(batch, "text")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "items": pa.array(found, pa.binary())})
 
+    ids, seen = stage_observed(wanted.distinct(), "wanted", n=F.count(F.lit(1)))
+    return stage(with_ids(docs, ids, seen["n"], "left_semi").mapInArrow(read, "doc_id bigint, items binary"), "sets")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity, as a staged table ``a, b``."""
+    pairs = stage(pairs.select("a", "b"), "candidates")
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for batch in slices([part], "ia"):
                 keep = []
                 for x, y in zip(*(batch.column(c).to_pylist() for c in ("ia", "ib"))):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = np.sort(np.concatenate([x, y]), kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
+                    common = _common(x, y)
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = stage(with_ids(docs, ids, seen["n"], "left_semi").mapInArrow(sets, "doc_id bigint, items binary"), "sets")
+    held = _sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), words)
     joined = (pairs.join(held.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a")
               .join(held.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b"))
     with small_batches(docs.sparkSession, PAIR_ROWS):
         return stage(joined.select("a", "b", "ia", "ib").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
-def _across(multi: DataFrame, owner: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs that share a bucket but no component, reduced by size and sketch."""
+def _open(multi: DataFrame, owner: DataFrame) -> DataFrame:
+    """Buckets that hold several components: ``key, rep, component, members, shingles``."""
     placed = stage(multi.join(owner, multi.rep == owner.node, "left")
-                   .select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-    split = (placed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-             .where("c1 < c2").select("key", "members"))
-    open_ = stage(placed.join(split, "key"), "open-buckets")
-    small = open_.where(F.col("members") <= BLOCK)
-    pairs = (small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep and x.component <> y.component")
-             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-
-    # A large bucket becomes pairs of blocks; a block pair is one bounded group that emits only the pairs its sketches allow.
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    large = open_.where(F.col("members") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = (large.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "component")
-             .join(nodes.select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep"))
+                   .select("key", "rep", F.coalesce("component", "rep").alias("component"), "members", "shingles"), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
+    return stage(placed.join(split, "key"), "open-buckets")
+
+
+def _leaders(buckets: DataFrame, salt: int) -> DataFrame:
+    """Pairs of a document and the smallest one of its cell, if they are in different components."""
+    cell = F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col("members") / CELL))
+    dealt = buckets.select("key", cell.alias("cell"), "rep", "component")
+    least = dealt.groupBy("key", "cell").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("component").alias("of"))).alias("least"))
+    return (dealt.join(least, ["key", "cell"]).where("rep <> least.a and component <> least.of")
+            .select(F.col("least.a").alias("a"), F.col("rep").alias("b")).distinct())
+
+
+def _likeliest(alike: DataFrame) -> DataFrame:
+    """For each ``b``, the ``a`` of the most equal sketch bytes; there are at most as many to choose from as bands."""
+    best = alike.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "a")), asc=False), 1, LIKELIEST).alias("best"))
+    return best.select("b", F.explode("best.a").alias("a")).select("a", "b")
+
+
+def _across(open_: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, width: int, percent: int) -> DataFrame:
+    """Links between the components of each bucket, as a staged table ``a, b`` of components.
+
+    A bucket is one group, or pairs of blocks that are one group each, so a group is bounded; its pairs are compared where
+    they are and never become rows.
+    """
     least = _least_equal(width, percent)
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    held = _sets(docs, open_.select(F.col("rep").alias("doc_id")), words)
+    rows = (dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "component")
+            .join(nodes.select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep").join(held.withColumnRenamed("doc_id", "rep"), "rep"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, of, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
+        of, n = table.column("component").to_numpy(), table.column("n").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, width)
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         left, right = [], []
-        for k in range(len(ids)):
-            fit = np.flatnonzero((ids > ids[k]) & (of != of[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
+        for k in range(1, len(of)):
+            fit = np.flatnonzero((of[:k] != of[k]) & (100 * np.minimum(n[:k], n[k]) >= percent * np.maximum(n[:k], n[k])))
             fit = fit[(sketch[fit] == sketch[k]).sum(axis=1) >= least]
-            left.append(np.full(len(fit), ids[k]))
-            right.append(ids[fit])
-        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
-
-    return _alike(pairs, nodes, width, percent).select("a", "b").union(
-        dealt.groupBy("key", "p", "q").applyInArrow(compare, "a bigint, b bigint")).distinct()
+            left.append(np.full(len(fit), k))
+            right.append(fit)
+        left, right = (np.concatenate(x) if x else np.empty(0, int) for x in (left, right))
+        common = _common_of_pairs(items, left, right)
+        near = 100 * common >= percent * (n[left] + n[right] - common)
+        found = np.unique(np.stack([of[left[near]], of[right[near]]], axis=1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return stage(rows.groupBy("key", "p", "q").applyInArrow(compare, "a bigint, b bigint").distinct(), "links")
+
+
+def _common_of_pairs(items: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of many pairs of few sets: by products of membership matrices where that is less work."""
+    if len(left) < 8 * len(items):
+        return np.array([_common(items[a], items[b]) for a, b in zip(left.tolist(), right.tolist())], np.int64)
+    used = np.unique(np.concatenate([left, right]))
+    place = np.zeros(len(items), int)
+    place[used] = np.arange(len(used))
+    owner = np.repeat(np.arange(len(used)), [len(items[k]) for k in used])
+    _, column, times = np.unique(np.concatenate([items[k] for k in used]), return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # others are in no intersection
+    _, column = np.unique(column[shared], return_inverse=True)
+    owner, order = owner[shared], np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(used), len(used)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [a, a + COLUMNS])
+        part = np.zeros((len(used), COLUMNS), np.float32)
+        part[owner[x:y], column[x:y] - a] = 1
+        total += part @ part.T
+    return total[place[left], place[right]].astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
@@ -222,17 +278,17 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     nodes = stage(signed.where("n > 0 and doc_id is not null").join(mapped, "doc_id", "left_anti")
                   .select("doc_id", "n", "sketch", "keys"), "nodes")
 
-    rows_of = nodes.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    leaders = rows_of.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).where("most > leader").select("key", "leader")
-    multi = stage(rows_of.join(leaders, "key"), "buckets")
-    star = multi.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    likeliest = (_alike(star, nodes, width, percent).groupBy("b").agg(F.max(F.struct("same", -F.col("a"))).alias("best"))
-                 .select((-F.col("best.col2")).alias("a"), "b"))
-    links = _verified(likeliest, docs, words, percent)
-    first = components(links)
-    more = _verified(_across(multi, first, nodes, width, percent), docs, words, percent)
+    rows_of = nodes.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
+    shared = rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    multi = stage(rows_of.drop("n").join(shared, "key"), "buckets")
+    open_, links = multi.withColumn("component", F.col("rep")), None
+    for salt in range(ROUNDS):
+        found = _verified(_likeliest(_alike(_leaders(open_, salt), nodes, width, percent)), docs, words, percent)
+        links = found if links is None else links.union(found)
+        open_ = _open(multi, components(links, rounds=2))
+    links = links.union(_across(open_, docs, nodes, words, width, percent))
     # Copies join their representative here, so that one id with several texts connects them all.
-    joined = components(links.union(more).union(mapped.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    joined = components(links.union(mapped.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return (signed.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
                     F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(False)).alias("kept")))
