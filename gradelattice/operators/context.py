@@ -49,21 +49,32 @@ class Context:
 
 
 def grade_counts(facts: DataFrame, obj: Column, attr: Column, m: int, scale: int = 10) -> Context:
-    """Grade = scale * count // largest count of the object, per (obj, attr) cell."""
-    hits = facts.select(obj.alias("obj"), attr.alias("attr"))
+    """Grade = scale * count // largest count of the object, per (obj, attr) cell.
+
+    An attribute outside 0..m-1 fails the job; a null one counts nowhere, and an object with no other has all grades 0.
+    """
+    message = F.format_string("attribute %s of object %s is not among the %d expected", attr.cast("string"), obj.cast("string"), F.lit(m))
+    known = F.when(attr.isNull() | ((attr >= 0) & (attr < m)), attr).otherwise(F.raise_error(message))
+    hits = facts.select(obj.alias("obj"), known.alias("attr"))
     counts = hits.groupBy("obj").agg(*[F.count_if(F.col("attr") == j).alias(f"c{j}") for j in range(m)])
     cells = [F.col(f"c{j}") for j in range(m)]
     top = F.greatest(*cells) if m > 1 else cells[0]
-    counted = counts.select("obj", top.alias("top"), *cells).where("top > 0")
+    counted = counts.select("obj", F.greatest(top, F.lit(1)).alias("top"), *cells)
     grades = F.array(*[F.expr(f"cast(({scale} * c{j}) div top as int)") for j in range(m)])
     return Context(counted.select("obj", grades.alias("grades")), m, scale)
 
 
 def grade_vectors(vectors: DataFrame, obj: Column, vector: Column, m: int, scale: int = 10) -> Context:
-    """Grade each vector by min-max scaling within the row; row-local, no shuffle."""
-    rows = vectors.select(obj.alias("obj"), vector.alias("v"), F.array_min(vector).cast("double").alias("lo"),
+    """Grade each vector by min-max scaling within the row; row-local, no shuffle.
+
+    A constant vector has all grades 0; one of another length than ``m`` fails the job.
+    """
+    message = F.format_string("vector of object %s has %d components, not %d", obj.cast("string"), F.size(vector), F.lit(m))
+    sized = F.when(F.size(vector) == m, vector).otherwise(F.raise_error(message))
+    rows = vectors.select(obj.alias("obj"), sized.alias("v"), F.array_min(vector).cast("double").alias("lo"),
                           F.array_max(vector).cast("double").alias("hi"))
-    cells = F.transform("v", lambda x: F.floor(scale * (x.cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("int"))
+    spread = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+    cells = F.transform("v", lambda x: F.floor(scale * (x.cast("double") - F.col("lo")) / spread).cast("int"))
     return Context(rows.select("obj", cells.alias("grades")), m, scale)
 
 

@@ -263,16 +263,9 @@ def fuzzy_fixpoints(ctx: Context, kind: Implication, rounding: Rounding) -> Data
 
 def bounded_concepts(ctx: Context, quota: int, closure: FuzzyClosure | None = None,
                      kind: Implication = Implication.LUKASIEWICZ) -> DataFrame:
-    """At most ``quota`` closed intents: whole generation levels, the last one cut in lectic order."""
+    """The first ``quota`` closed intents in lectic order, which is the lexicographic order of their grades."""
     closure = closure or FuzzyClosure(ctx, kind)
-    taken, left = [], quota
-    for level in fuzzy_levels(closure):
-        size = level.count()
-        taken.append(first_rows(level, ["grades"], left) if size > left else level)
-        left -= min(size, left)
-        if left <= 0:
-            break
-    return reduce(DataFrame.unionByName, taken)
+    return first_rows(reduce(DataFrame.unionByName, list(fuzzy_levels(closure))), ["grades"], quota)
 
 
 def forced_bounds(ctx: Context, kind: Implication = Implication.LUKASIEWICZ) -> DataFrame:

@@ -86,8 +86,8 @@ def link_scores(candidates: DataFrame, pool: DataFrame, m: int, label: str = "li
                 max_parents: int = -1) -> DataFrame:
     """Append to each candidate how many pool members it contains.
 
-    ``max_parents > 0`` tests only the first so many pool members in pool order
-    (nearest stratum first, each in the order it was selected).
+    ``max_parents > 0`` makes the scores approximate: only the first so many pool members are tested, in pool order
+    (nearest stratum first, each in the order it was selected).  It is off unless asked for.
     """
     if max_parents > 0:
         pool = pool.orderBy(F.desc("card"), "tier", F.desc("links"), "ord").limit(max_parents)
@@ -104,7 +104,8 @@ def quota_sample(sets: DataFrame, m: int, maxn: int = DEFAULT_MAXN, seed: int =
     taken at most once and a stratum never exceeds its quota.
     """
     cols = masks.mask_cols(m)
-    parent_levels = min(MAX_PARENT_LEVELS, max(1, parent_levels))
+    if not 1 <= parent_levels <= MAX_PARENT_LEVELS:
+        raise ValueError(f"parent_levels is 1 to {MAX_PARENT_LEVELS}, not {parent_levels}")
     keyed = sets.select(*cols, masks.card([F.col(c) for c in cols]).alias("card"), shuffle_key(m, seed).alias("ord"))
     keyed = stage(keyed, "sample-input", partition="card")  # a stratum then reads only its own files
     quotas = sqrt_quota(keyed.groupBy("card").agg(F.count(F.lit(1)).alias("n")), maxn)

@@ -353,6 +353,7 @@ closed AS (SELECT DISTINCT mask FROM (SELECT o, coalesce(sum(1::BIGINT << crisp_
         "fuzzy_concepts_flags": f"WITH {fixpoints('supplier_flag', luk)} {grades3}",
         "fuzzy_concepts_users": f"WITH {fixpoints('user_event', luk)} SELECT {JOINED3} || ',' || y3 || ',' || y4 grades FROM fixed",
         "fuzzy_fixpoints_nearest": f"WITH {fixpoints('nation_status', goguen_nearest)} {grades3}",
+        "fuzzy_concepts_quota": f"WITH {fixpoints('nation_status', luk)} SELECT {JOINED3} grades FROM fixed ORDER BY y0, y1, y2 LIMIT 20",
         "next_closure_order": f"WITH {fixpoints('nation_status', luk)} SELECT {JOINED3} grades, {FUZZY_ORDER} AS position FROM fixed",
         "forced_bounds": f"""WITH {fixpoints('supplier_flag', luk)} SELECT 'min_intent' bound, {JOINED3} grades FROM (
   SELECT min(a0) y0, min(a1) y1, min(a2) y2 FROM rws)
@@ -386,6 +387,9 @@ SELECT card, n, (CASE WHEN card = 0 THEN 1 ELSE least(n, greatest(1, floor(sqrt(
         "context_lines": context_text,
         "scan_context": f"""WITH {ctx('supplier_month')}, o AS (SELECT obj, row_number() OVER (ORDER BY obj) - 1 AS pos FROM (SELECT DISTINCT obj FROM supplier_month))
 SELECT pos obj, attr, q FROM supplier_month JOIN o USING (obj)""",
+        "scan_context_lenient": f"""WITH {ctx('supplier_month')}, o AS (SELECT obj, row_number() OVER (ORDER BY obj) - 1 AS pos FROM (SELECT DISTINCT obj FROM supplier_month))
+SELECT pos obj, attr, (CASE WHEN pos > (SELECT max(pos) FROM o) - 3 OR pos % 7 = 3 AND attr = 0 THEN 0 ELSE q END)::INT q
+FROM supplier_month JOIN o USING (obj)""",
         "scan_crisp_context": f"""WITH {CRISP}, o AS (SELECT obj, row_number() OVER (ORDER BY obj) - 1 AS pos FROM (SELECT DISTINCT obj FROM crisp))
 SELECT pos obj, attr, q FROM crisp JOIN o USING (obj)""",
         "scan_concept_sets": f"WITH {SEG_CLOSED} SELECT mask FROM closed",

@@ -25,8 +25,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def rank_of(col: str, values: tuple[str, ...]) -> Column:
-    """0-based position of a categorical value."""
-    out = F.lit(None).cast("int")
+    """0-based position of a categorical value; one that is not listed fails the job, null stays null."""
+    message = F.format_string("%s '%s' is not among %s", F.lit(col), F.col(col), F.lit(", ".join(values)))
+    out = F.when(F.col(col).isNotNull(), F.raise_error(message).cast("int"))
     for i, v in reversed(list(enumerate(values))):
         out = F.when(F.col(col) == v, i).otherwise(out)
     return out

@@ -121,3 +121,22 @@ def test_scaling(spark, make):
 def test_from_long_fills_gaps(spark):
     cells = spark.createDataFrame([(0, 1, 4), (1, 0, 2)], "obj int, attr int, q int")
     assert {r.obj: r.grades for r in cx.from_long(cells, 3).frame.collect()} == {0: [0, 4, 0], 1: [2, 0, 0]}
+
+
+def test_unlisted_values_fail_and_constant_vectors_do_not(spark):
+    from pyspark.sql import functions as F
+
+    from gradelattice.operators.context import grade_counts, grade_vectors
+    from gradelattice.sources.tables import rank_of
+    facts = spark.createDataFrame([("a", "de", 0), ("b", "it", 7), ("c", None, None)], "o string, lang string, n int")
+    with pytest.raises(Exception, match="it"):
+        grade_counts(facts, F.col("o"), rank_of("lang", ("de", "en")), 2).frame.collect()
+    with pytest.raises(Exception, match="attribute 7"):
+        grade_counts(facts, F.col("o"), F.col("n"), 2).frame.collect()
+    known = facts.where("o <> 'b'")
+    got = {r.obj: r.grades for r in grade_counts(known, F.col("o"), rank_of("lang", ("de", "en")), 2).frame.collect()}
+    assert got == {"a": [10, 0], "c": [0, 0]}
+    vectors = spark.createDataFrame([(1, [0.5, 0.5]), (2, [0.0, 1.0])], "i int, v array<double>")
+    assert {r.obj: r.grades for r in grade_vectors(vectors, F.col("i"), F.col("v"), 2).frame.collect()} == {1: [0, 0], 2: [0, 10]}
+    with pytest.raises(Exception, match="2 components"):
+        grade_vectors(vectors, F.col("i"), F.col("v"), 3).frame.collect()

@@ -63,6 +63,48 @@ def test_strict_scans_name_the_cell(spark, tmp_path):
     assert cells(text.scan_context(spark, wrong, strict=False)) == {0: [1, 0], 1: [3, 4]}
 
 
+def test_strict_scans_lose_nothing(spark, tmp_path):
+    surplus = put(tmp_path / "surplus.txt", "2 2\n0.1 0.2\n0.3 0.4\n0.5 0.6\n")
+    with pytest.raises(ValueError, match="2 too many"):
+        text.scan_context(spark, surplus)
+    with pytest.raises(ValueError, match="3 objects where 2"):
+        text.scan_aligned_context(spark, surplus, 2)
+    with pytest.raises(ValueError, match="2 attributes announced"):
+        text.scan_aligned_context(spark, surplus, 3)
+    for value in ("0.41", "1.5", "-0.1"):
+        off = put(tmp_path / "off.txt", f"1 2\n{value} 0.4\n")
+        for scan in (lambda: text.scan_context(spark, off), lambda: text.scan_aligned_context(spark, off, 2)):  # noqa: B023
+            with pytest.raises(Exception, match=value):
+                scan().frame.collect()
+    half = put(tmp_path / "half.txt", "1 2\n0.5 1\n")
+    with pytest.raises(Exception, match="0.5"):
+        text.scan_aligned_context(spark, half, 2, scale=1).frame.collect()
+    assert cells(text.scan_context(spark, put(tmp_path / "snap.txt", "1 2 0.41 0.44"), snap=True)) == {0: [4, 4]}
+
+
+def test_lenient_scan_returns_all_objects(spark, tmp_path):
+    short = put(tmp_path / "lenient.txt", "3 2 0.5 x 0.7")
+    assert cells(text.scan_context(spark, short, strict=False)) == {0: [5, 0], 1: [7, 0], 2: [0, 0]}
+
+
+def test_ids_beyond_the_announced_fail(spark, tmp_path):
+    sets = put(tmp_path / "sets.txt", "{a1, a5},\n{a5},\n")
+    with pytest.raises(Exception, match="a5"):
+        text.scan_sets(spark, sets, 3).collect()
+    assert {r.mask for r in text.scan_sets(spark, sets).collect()} == {17, 16}
+    intents = put(tmp_path / "beyond.txt", "4 3 1\nI 0.8/0 0.9/7\n")
+    with pytest.raises(Exception, match="0.9/7"):
+        text.scan_intents(spark, intents).collect()
+    with pytest.raises(Exception, match="beyond"):
+        text.scan_sample_input(spark, intents).collect()
+    with pytest.raises(ValueError, match="announced"):
+        text.scan_intents(spark, intents, 8)
+    with pytest.raises(Exception, match="0.85/0"):
+        text.scan_intents(spark, put(tmp_path / "off.txt", "4 3 1\nI 0.85/0\n")).collect()
+    words = put(tmp_path / "words.txt", "4 3 2\nIgnored line\nI 0.8/0\nI\n")
+    assert [r.grades for r in text.scan_intents(spark, words).orderBy("id").collect()] == [[8, 0, 0], [0, 0, 0]]
+
+
 def test_aligned_scan_rejects_ragged_lines(spark, tmp_path):
     ragged = put(tmp_path / "r.txt", "2 2\n0.1 0.2\n0.3\n")
     with pytest.raises(Exception, match="line 2"):
