@@ -21,7 +21,7 @@ from gradelattice.session import ship_package
 MARK = "▁"
 BARRED = -1e8  # pieces scored at or below are never chosen, but for single characters
 UNKNOWN_PENALTY = 10.0  # a character in bytes scores this much below the worst piece
-WORDS_KEPT = 1_200_000  # words a worker remembers (some 250 MB); beyond, it starts anew
+WORDS_KEPT = 800_000  # words a worker remembers (some 200 MB); beyond, it starts anew
 TEXT_BYTES = 2 << 20
 BPE, NORMAL, BYTE = 2, 1, 6  # fixed values of the model file
 
@@ -227,7 +227,8 @@ def decode(encoded: DataFrame, pieces: Pieces, *, ids: str = "ids", into: str =
             for a in range(0, whole.num_rows, 200):
                 batch = whole.slice(a, 200)
                 column = batch.column(ids)
-                flat, ends = column.values.to_numpy().tolist(), column.offsets.to_numpy().tolist()
+                ends = column.offsets.to_numpy()
+                flat, ends = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy().tolist(), (ends - ends[0]).tolist()
                 found = [model.decode(flat[x:y]) if ok else None for x, y, ok in zip(ends, ends[1:], column.is_valid().to_pylist())]
                 yield batch.append_column(into, pa.array(found, pa.string()))
 
