@@ -4,9 +4,10 @@ Fuzzy dominance is containment too: a level vector becomes the set of
 (attribute, level) steps it reaches, so one bit-mask operator serves both kinds.
 
 For a complete closure system the upper covers of a set come from closing its
-one-step enlargements; no two members are ever compared.  For any other family
-the members pass by in ascending size, in segments of a checked size that are
-broadcast one after another, and each set keeps only its minimal supersets.
+one-step enlargements; no two members are ever compared.  Any other family is
+ranked by size and packed into blocks of bounded length; a row for each pair of
+blocks whose sizes allow containment goes to the executors, which compare the
+two blocks where they are.  Neither the driver nor a broadcast sees a family.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelattice.functions import fuzzy, kernels, masks
+from gradelattice.functions import kernels, masks
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure, ddl, map_batches
-from gradelattice.session import stage, stage_observed
+from gradelattice.operators.enumerate import ordered_rank
+from gradelattice.session import ship_package, stage, stage_observed
 
-SEGMENT_ROWS = 1 << 21      # family members broadcast at a time
-SPLIT_SUPERSETS = 1 << 16   # a set with more supersets than this is split over tasks
-SPLIT_PARTS = 64
+BLOCK_ROWS = 1 << 12  # members of a block; a pair of blocks is one unit of work
+MOST_TASKS = 1 << 14
 
 
 def thermometer(grades: Column, m: int, scale: int, stem: str = "mask") -> list[Column]:
@@ -29,22 +30,39 @@ def thermometer(grades: Column, m: int, scale: int, stem: str = "mask") -> list[
     return masks.mask_of([grades[j] >= level for j in range(m) for level in range(1, scale + 1)], stem)
 
 
-def _sorted_segments(family: DataFrame, cols: list[str], segment_rows: int):
-    """The family's masks in ascending (size, mask) order, as word matrices of bounded size."""
-    size = masks.card([F.col(c) for c in cols])
-    segment_rows = max(2, segment_rows // len(cols))
-    total = family.count()
-    if total <= segment_rows:
-        words = kernels.words_of(family.select(*cols).toArrow(), cols)
-        yield words[np.argsort(kernels.popcount(words), kind="stable")]
-        return
-    # cut by size first, then by hash within a size: order inside one size does not matter
-    counts = {r.s: r.n for r in family.groupBy(size.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    for s in sorted(counts):
-        parts = -(-counts[s] // (segment_rows // 2))
-        block = F.pmod(F.xxhash64(*cols), F.lit(parts))
-        for p in range(parts):
-            yield kernels.words_of(family.where((size == s) & (block == p)).select(*cols).toArrow(), cols)
+def _blocks(family: DataFrame, cols: list[str], side: str, block_rows: int) -> tuple[DataFrame, int]:
+    """(block, lo, hi, members) staged, and the number of blocks: members in order of size, with the sizes at both ends."""
+    sized = family.select(*cols, masks.card([F.col(c) for c in cols]).alias("_card"))
+    ranked = ordered_rank(sized, ["_card", *cols], "_rank")
+    block = F.expr(f"_rank div {max(1, block_rows // len(cols))}")
+    packed = ranked.groupBy(block.alias(f"{side}_block")).agg(
+        F.min("_card").alias(f"{side}_lo"), F.max("_card").alias(f"{side}_hi"),
+        F.collect_list(F.struct(*cols)).alias(f"{side}_members"))  # at most block_rows
+    out, seen = stage_observed(packed, f"blocks-{side}", n=F.count(F.lit(1)))
+    return out, seen["n"] or 0
+
+
+def _block_pairs(small: DataFrame, large: DataFrame, cols: list[str], block_rows: int, sizes_matter: bool = True) -> DataFrame:
+    """(a_members, b_members) for all pairs of blocks in which a set of ``small`` may lie inside one of ``large``."""
+    a, n_a = _blocks(small, cols, "a", block_rows)
+    b, n_b = _blocks(large, cols, "b", block_rows)
+    pairs = a.select("a_block", "a_lo").withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_b - 1)))))
+    pairs = pairs.join(b.select("b_block", "b_hi"), "b_block")
+    if sizes_matter:
+        pairs = pairs.where("b_hi >= a_lo")
+    joined = pairs.select("a_block", "b_block").join(a.select("a_block", "a_members"), "a_block").join(
+        b.select("b_block", "b_members"), "b_block")
+    return joined.select("a_members", "b_members").repartition(max(1, min(MOST_TASKS, n_a * n_b)))
+
+
+def _words(members, cols: list[str]) -> np.ndarray:
+    """Word matrix of one packed block."""
+    return np.stack([members.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols], axis=1)
+
+
+def _each_pair(batch, cols: list[str]):
+    for a, b in zip(batch.column(0), batch.column(1)):
+        yield _words(a, cols), _words(b, cols)
 
 
 def _contained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,48 +73,34 @@ def _contained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inside
 
 
-def _row_contained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Vector: is the single set ``a`` contained in each row of ``b``?"""
-    return ((a[None, :] & ~b) == 0).all(axis=1)
-
-
 def subset_pairs(left: DataFrame, right: DataFrame, cols: list[str], strict: bool = True,
-                 segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All (a, b) with a in ``left`` contained in b in ``right``; columns ``cols`` and ``sup_*``."""
     sups = [f"sup_{c}" for c in cols]
-    schema = ", ".join(f"{c} bigint" for c in [*cols, *sups])
-    out = None
-    for segment in _sorted_segments(right.select(*cols), cols, segment_rows):
-        bc = left.sparkSession.sparkContext.broadcast(segment)
-        def fn(batch, bc=bc):
-            a, b = kernels.words_of(batch, cols), bc.value
+    def fn(batch):
+        for a, b in _each_pair(batch, cols):
             for part in kernels.chunks(len(a), max(1, len(b))):
                 inside = _contained(a[part], b)
                 if strict:
                     inside &= ~_contained(b, a[part]).T
                 i, k = np.nonzero(inside)
                 yield kernels.batch_of(kernels.word_dict(a[part][i], cols) | kernels.word_dict(b[k], sups))
-        pairs = map_batches(left.select(*cols), fn, schema)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    return map_batches(_block_pairs(left, right, cols, block_rows), fn, ", ".join(f"{c} bigint" for c in [*cols, *sups]))
 
 
 def subset_counts(left: DataFrame, right: DataFrame, cols: list[str], label: str,
-                  segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Append to ``right`` the number of ``left`` sets contained in each; no pairs are built."""
-    keep = list(right.columns)
-    out = right.withColumn(label, F.lit(0).cast("bigint"))
-    for segment in _sorted_segments(left.select(*cols), cols, segment_rows):
-        bc = right.sparkSession.sparkContext.broadcast(segment)
-        def fn(batch, bc=bc):
-            sets = kernels.words_of(batch, cols)
-            n = np.zeros(len(sets), np.int64)
-            for part in kernels.chunks(len(sets), max(1, len(bc.value))):
-                n[part] = _contained(bc.value, sets[part]).sum(axis=0)
-            old = batch.column(len(keep)).to_numpy()
-            yield kernels.batch_of({c: batch.column(i) for i, c in enumerate(keep)} | {label: old + n})
-        out = map_batches(out, fn, ddl(out, [*keep, label]))
-    return out
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Append to ``right`` the number of ``left`` sets contained in each; no pairs are built, only counts by block."""
+    def fn(batch):
+        for a, b in _each_pair(batch, cols):
+            n = np.zeros(len(b), np.int64)
+            for part in kernels.chunks(len(b), max(1, len(a))):
+                n[part] = _contained(a, b[part]).sum(axis=0)
+            some = n > 0
+            yield kernels.batch_of(kernels.word_dict(b[some], cols) | {label: n[some]})
+    pairs = _block_pairs(left, right.select(*cols).distinct(), cols, block_rows)
+    counted = map_batches(pairs, fn, ", ".join(f"{c} bigint" for c in [*cols, label])).groupBy(*cols).agg(F.sum(label).alias(label))
+    return right.join(counted, cols, "left").select(*right.columns, F.coalesce(label, F.lit(0).cast("bigint")).alias(label))
 
 
 def level_counts(right: DataFrame, pools: dict[str, np.ndarray], cols: list[str]) -> DataFrame:
@@ -129,13 +133,12 @@ def _holds_any(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _minimal_new(sups: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Minimal rows of ``sups`` that contain no row of ``found``, one size at a time.
+def _minimal(sups: np.ndarray) -> np.ndarray:
+    """Minimal rows of ``sups``, one size at a time.
 
     Sets of one size never contain each other, so the smallest ones left are all
     minimal and only larger ones have to be tested against them.
     """
-    sups = sups[~_holds_any(found, sups)]
     sizes, out = kernels.popcount(sups), []
     while len(sups):
         smallest = sizes == sizes.min()
@@ -146,82 +149,60 @@ def _minimal_new(sups: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else sups
 
 
-def _minimal_among(candidates: np.ndarray, sups: np.ndarray) -> np.ndarray:
-    """The candidates that contain no smaller row of ``sups`` (tested one size at a time)."""
-    sizes, out = kernels.popcount(candidates), []
-    sup_sizes = kernels.popcount(sups)
-    for s in np.unique(sizes):
-        same = candidates[sizes == s]
-        out.append(same[~_holds_any(sups[sup_sizes < s], same)])
-    return np.concatenate(out) if out else candidates
-
-
-def minimal_supersets(sets: DataFrame, family: DataFrame, cols: list[str], segment_rows: int = SEGMENT_ROWS,
-                      split_supersets: int = SPLIT_SUPERSETS, split_parts: int = SPLIT_PARTS) -> DataFrame:
+def minimal_supersets(sets: DataFrame, family: DataFrame, cols: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(cols.., sup_cols..): for each set, the minimal members of ``family`` strictly above it.
 
-    A set with very many supersets in the segment is handed back and its
-    supersets are then tested in ``split_parts`` slices, each slice a row of its
-    own, so one hot set does not become one long task.
+    A pair of blocks keeps, for each set of one, the minimal supersets within the
+    other; what a set keeps from all blocks is then reduced once more.
     """
-    spark = sets.sparkSession
     sups = [f"sup_{c}" for c in cols]
-    out_schema = ", ".join(f"{c} bigint" for c in [*cols, *sups]) + ", deferred boolean"
-    found: DataFrame | None = None
-    for segment in _sorted_segments(family.select(*cols), cols, segment_rows):
-        bc = spark.sparkContext.broadcast(segment)
-        state = sets.select(*cols)
-        if found is None:
-            state = state.withColumn("above", F.array().cast("array<bigint>"))
-        else:
-            flat = F.flatten(F.collect_list(F.array(*sups)))
-            state = state.join(found.groupBy(*cols).agg(flat.alias("above")), cols, "left").withColumn(
-                "above", F.coalesce("above", F.array().cast("array<bigint>")))
-        def emit(child, rows, deferred):
-            base = np.repeat(child[None, :], len(rows), axis=0)
-            return kernels.batch_of(kernels.word_dict(base, cols) | kernels.word_dict(rows, sups)
-                                    | {"deferred": np.full(len(rows), deferred)})
-        def supersets(child, bc=bc):
-            rows = bc.value
-            inside = rows[_row_contained(child, rows)]
-            return inside[(inside != child[None, :]).any(axis=1)]
-        def fn(batch, supersets=supersets):
-            above = batch.column(len(cols))
-            lists = above.to_pylist()
-            done = []
-            for i, child in enumerate(kernels.words_of(batch, cols)):
-                inside = supersets(child)
-                known = np.array(lists[i], np.int64).reshape(-1, len(cols))
-                if len(inside) > split_supersets:
-                    yield emit(child, child[None, :], True)
-                else:
-                    fresh = _minimal_new(inside, known)
-                    if len(fresh):
-                        done.append(np.concatenate([np.repeat(child[None, :], len(fresh), axis=0), fresh], axis=1))
-            if done:
-                both = np.concatenate(done)
-                yield kernels.batch_of(kernels.word_dict(both[:, :len(cols)], cols)
-                                       | kernels.word_dict(both[:, len(cols):], sups)
-                                       | {"deferred": np.zeros(len(both), bool)})
-        first, seen = stage_observed(map_batches(state, fn, out_schema), "covers", hot=F.count_if("deferred"))
-        def sliced(batch, supersets=supersets):
-            part = batch.column(len(cols)).to_numpy()
-            lists = batch.column(len(cols) + 1).to_pylist()
-            for i, child in enumerate(kernels.words_of(batch, cols)):
-                inside = supersets(child)
-                known = np.array(lists[i], np.int64).reshape(-1, len(cols))
-                mine = inside[part[i]::split_parts]
-                mine = mine[~_holds_any(known, mine)]
-                yield emit(child, _minimal_among(mine, inside), False)
-        hot = first.where("deferred").select(*cols)
-        fresh = first.where("not deferred").drop("deferred")
-        if seen["hot"]:
-            slices = hot.join(state, cols).select(
-                *cols, F.explode(F.sequence(F.lit(0), F.lit(split_parts - 1))).alias("part"), "above")
-            spread = slices.repartition(split_parts, *cols, "part")
-            fresh = fresh.unionByName(stage(map_batches(spread, sliced, out_schema), "covers-split").drop("deferred"))
-        found = fresh if found is None else found.unionByName(fresh)
-    return found
+    schema = ", ".join(f"{c} bigint" for c in [*cols, *sups])
+    def rows(a, b):
+        return kernels.batch_of(kernels.word_dict(a, cols) | kernels.word_dict(b, sups))
+    def local(batch):
+        for a, b in _each_pair(batch, cols):
+            for part in kernels.chunks(len(a), max(1, len(b))):
+                base = a[part]
+                inside = _contained(base, b) & ~_contained(b, base).T
+                n = inside.sum(axis=1)
+                i, k = np.nonzero(inside & (n == 1)[:, None])
+                owners, found = [base[i]], [b[k]]
+                for i in np.nonzero(n > 1)[0]:
+                    least = _minimal(b[inside[i]])
+                    owners.append(np.repeat(base[i][None, :], len(least), axis=0))
+                    found.append(least)
+                yield rows(np.concatenate(owners), np.concatenate(found))
+    width = len(cols)
+    def reduced(words):
+        start = np.ones(len(words), bool)
+        start[1:] = (words[1:, :width] != words[:-1, :width]).any(axis=1)
+        at = np.append(np.nonzero(start)[0], len(words))
+        single = np.repeat(np.diff(at) == 1, np.diff(at))
+        out = [words[single]]
+        for lo, hi in zip(at[:-1], at[1:]):
+            if hi - lo > 1:
+                least = _minimal(words[lo:hi, width:])
+                out.append(np.concatenate([np.repeat(words[lo:lo + 1, :width], len(least), axis=0), least], axis=1))
+        return np.concatenate(out)
+    def overall(batches):
+        held = None
+        for batch in batches:
+            words = kernels.words_of(batch, [*cols, *sups])
+            words = words if held is None else np.concatenate([held, words])
+            if not len(words):
+                continue
+            same = (words[:, :width] == words[-1, :width]).all(axis=1)
+            cut = len(words) - int(same[::-1].argmin() or same.all() * len(words))  # the last set may go on
+            if cut:
+                done = reduced(words[:cut])
+                yield rows(done[:, :width], done[:, width:])
+            held = words[cut:]
+        if held is not None and len(held):
+            done = reduced(held)
+            yield rows(done[:, :width], done[:, width:])
+    found = stage(map_batches(_block_pairs(sets, family, cols, block_rows), local, schema), "local-covers")
+    ship_package(found.sparkSession)
+    return stage(found.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(overall, schema), "covers")
 
 
 def cover_edges(family: DataFrame, cols: list[str], **limits) -> DataFrame:
@@ -321,7 +302,7 @@ def _fuzzy_covers_fragmented(intents: DataFrame, closure: FuzzyClosure) -> DataF
     return reached.where(F.col("n") == lifted).select(F.col("base").alias("grades"), F.col("closure").alias("sup_grades"))
 
 
-def join_closure(generators: DataFrame, closure: ModalClosure, max_generators: int = 1 << 20) -> DataFrame:
+def join_closure(generators: DataFrame, closure: ModalClosure, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Smallest family holding the generators and closed under joins ``cl(A | B)``.
 
     Joining one generator at a time reaches every join, so each round combines
@@ -331,27 +312,19 @@ def join_closure(generators: DataFrame, closure: ModalClosure, max_generators: i
     outs = masks.mask_cols(closure.m, "closure")
     seen = stage(generators.select(*cols).distinct(), "joins")
     base, delta = seen, seen
+    def fn(batch):
+        for a, b in _each_pair(batch, cols):
+            for part in kernels.chunks(len(a), max(1, len(b)) * a.shape[1]):
+                both = (a[part, None, :] | b[None, :, :]).reshape(-1, a.shape[1])
+                yield kernels.batch_of(kernels.word_dict(np.unique(both, axis=0), cols))
     while not delta.isEmpty():
-        new = None
-        for segment in _sorted_segments(base, cols, max_generators):
-            bc = delta.sparkSession.sparkContext.broadcast(segment)
-            def fn(batch, bc=bc):
-                sets = kernels.words_of(batch, cols)
-                for part in kernels.chunks(len(sets), max(1, len(bc.value)) * sets.shape[1]):
-                    both = (sets[part, None, :] | bc.value[None, :, :]).reshape(-1, sets.shape[1])
-                    yield kernels.batch_of(kernels.word_dict(np.unique(both, axis=0), cols))
-            unions = map_batches(delta, fn, ", ".join(f"{c} bigint" for c in cols)).distinct()
-            new = unions if new is None else new.unionByName(unions)
-        closed = closure.close(new.distinct()).select(*[F.col(o).alias(c) for o, c in zip(outs, cols)]).distinct()
+        pairs = _block_pairs(delta, base, cols, block_rows, sizes_matter=False)
+        new = map_batches(pairs, fn, ", ".join(f"{c} bigint" for c in cols)).distinct()
+        closed = closure.close(new).select(*[F.col(o).alias(c) for o, c in zip(outs, cols)]).distinct()
         delta = stage(closed.join(seen, cols, "left_anti"), "joins-new")
         seen = seen.unionByName(delta)
     return seen
 
 
-def fuzzy_join(a: Column, b: Column) -> Column:
-    """Pointwise maximum, to be closed: the join of two intents."""
-    return fuzzy.union(a, b)
-
-
-__all__ = ["cover_edges", "fuzzy_covers", "fuzzy_join", "join_closure", "minimal_supersets", "modal_covers",
+__all__ = ["cover_edges", "fuzzy_covers", "join_closure", "minimal_supersets", "modal_covers",
            "subset_counts", "subset_pairs", "thermometer"]

@@ -30,8 +30,7 @@ def random_family(seed, n, m):
     return {frozenset(np.nonzero(rng.random(m) < rng.random())[0].tolist()) for _ in range(n)}
 
 
-@pytest.mark.parametrize("limits", [{}, {"segment_rows": 8}, {"split_supersets": 3, "split_parts": 4},
-                                    {"segment_rows": 10, "split_supersets": 2, "split_parts": 3}])
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 1}, {"block_rows": 8}])
 def test_covers_of_any_family(spark, limits):
     sets = random_family(3, 40, 7)
     found = edge_set(containment.cover_edges(family(spark, sets), ["mask"], **limits))
@@ -41,7 +40,7 @@ def test_covers_of_any_family(spark, limits):
 def test_star_family_is_split(spark):
     """One set below everything: a third of all edges hang on it."""
     sets = {frozenset()} | {frozenset({j, k}) for j in range(9) for k in range(j + 1, 9)} | {frozenset(range(9))}
-    found = edge_set(containment.cover_edges(family(spark, sets), ["mask"], split_supersets=5, split_parts=4))
+    found = edge_set(containment.cover_edges(family(spark, sets), ["mask"], block_rows=5))
     assert found == brute.covers(sets, below)
 
 
@@ -75,8 +74,8 @@ def test_pairs_and_counts(spark):
     frame = family(spark, sets)
     expected = {(a, b) for a in sets for b in sets if a < b}
     for rows in (1 << 20, 7):
-        assert edge_set(containment.subset_pairs(frame, frame, ["mask"], segment_rows=rows)) == expected
-        counted = containment.subset_counts(frame, frame, ["mask"], "n", segment_rows=rows)
+        assert edge_set(containment.subset_pairs(frame, frame, ["mask"], block_rows=rows)) == expected
+        counted = containment.subset_counts(frame, frame, ["mask"], "n", block_rows=rows)
         assert {brute.members(r.mask): r.n for r in counted.collect()} == {b: sum(a <= b for a in sets) for b in sets}
 
 
