@@ -28,7 +28,7 @@ from gradelattice.session import ship_package, stage, stage_observed, stage_path
 
 LENGTH = 50
 TRIGGER = 16
-SLICE_BYTES = 16 << 20  # text of a slice
+SLICE_BYTES = 48 << 20  # text of a slice, which a task holds
 BUCKET_ANCHORS = 1 << 20  # triggers compared in one group, about
 CHUNK_PHRASES = 20_000  # dictionary phrases put in order at once; more only for a single trigger
 
@@ -69,6 +69,15 @@ class Hashes:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def windows(self, size: int) -> np.ndarray:
+        """Of the ``size`` bytes from every place on."""
+        x = self.sums[size:] - self.sums[:-size]
+        x *= self.down[:len(x)]
+        x ^= x >> np.uint64(32)
+        x *= _MIX
+        x ^= x >> np.uint64(29)
+        return x
+
 
 def phrases(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The phrases of a text: hash of the trigger, first and last start of its strings, and hash of all its bytes."""
@@ -77,10 +86,9 @@ def phrases(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     for at in range(0, max(0, len(data) - length + 1), _PIECE):
         piece = data[at:at + _PIECE + length - 1]
         hashes = Hashes(piece)
-        n = len(piece)
-        place = np.arange(n - TRIGGER + 1)
-        own = hashes.of(place, place + TRIGGER)
-        least, reach = (own & ~_PLACES) | place.astype(np.uint64), 1
+        own = hashes.windows(TRIGGER)
+        least, reach = own & ~_PLACES, 1
+        least |= np.arange(len(own), dtype=np.uint64)
         while 2 * reach <= width:
             least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
         if reach < width:
@@ -156,7 +164,7 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _shared_triggers(named: DataFrame, folder: str, anchors: int, length: int) -> DataFrame:
-    """``slice, hashes``: triggers of the slice that stand in at least two documents of the table."""
+    """``number, hashes``: triggers of the slice that stand in at least two documents of the table."""
     bits = max(4, (anchors // BUCKET_ANCHORS).bit_length())
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +176,7 @@ def _shared_triggers(named: DataFrame, folder: str, anchors: int, length: int) -
             found, times = np.unique(np.concatenate(each), return_counts=True)
             cuts = np.searchsorted(found, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             parts, many = np.split(found, cuts), np.split(times > 1, cuts)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(1 << bits), pa.int32()), "slice": [row["slice"]] * (1 << bits),
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(1 << bits), pa.int32()), "number": pa.array([row["number"]] * (1 << bits), pa.int64()),
                                               "hashes": [x.tobytes() for x in parts], "many": [np.packbits(x).tobytes() for x in many]})
 
     def meet(table: pa.Table) -> pa.Table:
@@ -179,44 +187,43 @@ def _shared_triggers(named: DataFrame, folder: str, anchors: int, length: int) -
         shared[at[np.concatenate(many)]] = True
         ends = np.cumsum([len(o) for o in own])
         kept = [o[shared[a]].tobytes() for o, a in zip(own, np.split(at, ends[:-1]))]
-        return pa.table({"slice": table["slice"], "hashes": pa.array(kept, pa.binary())})
+        return pa.table({"number": table["number"], "hashes": pa.array(kept, pa.binary())})
 
-    return (named.mapInArrow(read, "bucket int, slice string, hashes binary, many binary")
-            .groupBy("bucket").applyInArrow(meet, "slice string, hashes binary").where(F.length("hashes") > 0))
+    return (named.mapInArrow(read, "bucket int, number bigint, hashes binary, many binary")
+            .groupBy("bucket").applyInArrow(meet, "number bigint, hashes binary").where(F.length("hashes") > 0))
 
 
 def _dictionary(named: DataFrame, folder: str, length: int) -> DataFrame:
-    """``trigger, slice, phrase, first``: the different phrases of a slice's shared triggers and the first document there."""
+    """``trigger, number, phrase, first, last``: the different phrases of a slice's shared triggers, with the first and the
+    last document there that has each."""
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            shared, known = _unsigned(row["hashes"]), np.empty(0, np.uint64)
-            pending: list[tuple[int, int, bytes]] = []
+            shared, found, documents = _unsigned(row["hashes"]), [], []
             for i, text in _live(folder, row, length):
                 trigger, first, last, whole = phrases(text, length)
-                at = np.flatnonzero(_among(trigger, shared) & ~_among(whole, known))
-                if not len(at):
-                    continue
-                new, where = np.unique(whole[at], return_index=True)
-                at = at[where]
-                known = np.sort(np.concatenate([known, new]))
-                pending += [(t, i, text[a:b + length]) for t, a, b in zip(trigger[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist())]
-                if len(pending) >= CHUNK_PHRASES:
-                    yield _phrase_batch(pending, row["slice"])
-                    pending = []
-            if pending:
-                yield _phrase_batch(pending, row["slice"])
-
-    return named.mapInArrow(read, "trigger bigint, slice string, phrase binary, first bigint")
-
+                at = np.flatnonzero(_among(trigger, shared))
+                found.append((trigger[at], first[at], last[at], whole[at], np.full(len(at), len(documents))))
+                documents.append((i, text))
+            if not found:
+                continue
+            trigger, first, last, whole, owner = (np.concatenate(x) for x in zip(*found))
+            ids = np.array([i for i, _ in documents])
+            _, one, of = np.unique(whole, return_index=True, return_inverse=True)
+            latest = np.full(len(one), np.iinfo(np.int64).min)
+            np.maximum.at(latest, of, ids[owner])
+            for k in range(0, len(one), CHUNK_PHRASES):
+                at = one[k:k + CHUNK_PHRASES]
+                texts = [documents[d][1][a:b + length] for d, a, b in zip(owner[at].tolist(), first[at].tolist(), last[at].tolist())]
+                yield pa.RecordBatch.from_pydict({"trigger": pa.array(trigger[at].view(np.int64)), "number": pa.array([row["number"]] * len(at), pa.int64()),
+                                                  "phrase": pa.array(texts, pa.binary()), "first": pa.array(ids[owner[at]]),
+                                                  "last": pa.array(latest[k:k + CHUNK_PHRASES])})
 
-def _phrase_batch(rows: list[tuple[int, int, bytes]], name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"trigger": pa.array([r[0] for r in rows], pa.int64()), "slice": [name] * len(rows),
-                                       "phrase": pa.array([r[2] for r in rows], pa.binary()), "first": pa.array([r[1] for r in rows], pa.int64())})
+    return named.mapInArrow(read, "trigger bigint, number bigint, phrase binary, first bigint, last bigint")
 
 
 def _verdicts(dictionary: DataFrame, length: int) -> DataFrame:
-    """``slice, phrase (hash), first, early``: the first document of each phrase, and a bit for each of its strings that
-    stands in a document before that one."""
+    """``number, phrase (hash), first, early``: the first document of each phrase, and a bit for each of its strings that
+    stands in a document before that one; without the phrases of a slice that lose nothing."""
     def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -252,11 +259,12 @@ def _verdicts(dictionary: DataFrame, length: int) -> DataFrame:
         np.minimum.at(least, string, earliest[owner])
         early = np.zeros(len(one), np.int64)
         np.bitwise_or.at(early, owner, (least[string] < earliest[owner]).astype(np.int64) << inside)
-        return pa.RecordBatch.from_pydict({"slice": table["slice"].combine_chunks(), "phrase": pa.array(whole.view(np.int64)),
-                                           "first": pa.array(earliest[of]), "early": pa.array(early[of])})
+        out = pa.RecordBatch.from_pydict({"number": table["number"].combine_chunks(), "phrase": pa.array(whole.view(np.int64)),
+                                          "first": pa.array(earliest[of]), "early": pa.array(early[of])})
+        return out.filter(pa.array((early[of] != 0) | (table["last"].to_numpy() > earliest[of])))
 
     return (dictionary.repartition("trigger").sortWithinPartitions("trigger")
-            .mapInArrow(order, "slice string, phrase bigint, first bigint, early bigint"))
+            .mapInArrow(order, "number bigint, phrase bigint, first bigint, early bigint"))
 
 
 def _spans(text: bytes, starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -287,15 +295,15 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     copies = (laid.where("doc_id is not null").join(twins, ["high", "low"]).where("doc_id > first")
               .groupBy("slice").agg(F.collect_set("doc_id").alias("copies")))
     spread = max(1, int(seen["n"]))
-    named = stage(names.select("slice").join(copies, "slice", "left").repartition(spread), "slices-copies")
+    named = stage(names.select("slice").join(copies, "slice", "left").withColumn("number", F.monotonically_increasing_id()), "slices-copies")
 
     def dealt(table: DataFrame) -> DataFrame:
         return table.repartition(spread)  # one slice to a task
 
     shared = stage(_shared_triggers(dealt(named), folder, int(seen["size"] or 0) // 16, length), "shared-triggers")
-    with_shared = named.join(shared.groupBy("slice").agg(F.collect_list("hashes").alias("hashes")), "slice")
+    with_shared = named.join(shared.groupBy("number").agg(F.collect_list("hashes").alias("hashes")), "number")
     verdicts = stage(_verdicts(_dictionary(dealt(with_shared), folder, length), length), "verdicts")
-    packed = verdicts.groupBy("slice").agg(F.collect_list(F.struct("phrase", "first", "early")).alias("verdicts"))
+    packed = verdicts.groupBy("number").agg(F.collect_list(F.struct("phrase", "first", "early")).alias("verdicts"))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +340,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[a:a + 256], pa.int64()), "n_bytes": pa.array([len(t) for t in texts[a:a + 256]], pa.int64()),
                                               "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts), "kept": pa.array(kept, pa.binary())})
 
-    final = dealt(named.join(packed, "slice", "left"))
+    final = dealt(named.join(packed, "number", "left"))
     return final.select("slice", "copies", "verdicts").mapInArrow(finish, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
