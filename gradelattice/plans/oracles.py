@@ -373,6 +373,7 @@ UNION ALL SELECT 'max_intent', u0 || ',' || u1 || ',' || u2 FROM ups WHERE y0 =
         "lattice_metrics": graph_select(METRICS),
         "join_closure": joins,
         "incremental_hasse": modal_edges,
+        "incremental_hasse_restart": modal_edges,
         "sqrt_quota": f"""WITH {SEG_CLOSED}, h AS (SELECT {CARD} card, count(*) n FROM closed GROUP BY 1),
 t AS (SELECT sum(sqrt(n)) FILTER (card > 0) total, {SAMPLE_BUDGET} - max((card = 0)::INT) budget FROM h)
 SELECT card, n, (CASE WHEN card = 0 THEN 1 ELSE least(n, greatest(1, floor(sqrt(n) / total * budget))) END)::BIGINT quota FROM h, t""",

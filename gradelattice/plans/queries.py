@@ -561,12 +561,28 @@ def incremental_hasse(spark, sf):
     folder = stage_path(spark, "concept-stream")
     sized = _sized(en.concepts(ctx))
     sized.repartition(3, "card").select("mask").write.parquet(folder)
-    lattice = IncrementalLattice(spark, ctx.m)
+    lattice = IncrementalLattice(spark, ctx.m, stage_path(spark, "incremental-lattice"))
     stream = spark.readStream.schema("mask bigint").option("maxFilesPerTrigger", 1).parquet(folder)
     lattice.start(stream, stage_path(spark, "stream-progress")).awaitTermination()
     return lattice.edges
 
 
+@query
+def incremental_hasse_restart(spark, sf):
+    """Half of the concepts, a restart on the same state without new data, then the rest."""
+    ctx = tables.seg_month(spark, sf)
+    folder, state, progress = (stage_path(spark, name) for name in ("concept-stream", "incremental-lattice", "stream-progress"))
+    halves = _sized(en.concepts(ctx)).withColumn("half", F.pmod(F.xxhash64("mask"), F.lit(2)))
+    halves = stage(halves, "halves")
+    for part in (0, None, 1):
+        if part is not None:
+            halves.where(F.col("half") == part).select("mask").write.mode("append").parquet(folder)
+        lattice = IncrementalLattice(spark, ctx.m, state)
+        stream = spark.readStream.schema("mask bigint").parquet(folder)
+        lattice.start(stream, progress).awaitTermination()
+    return IncrementalLattice(spark, ctx.m, state).edges
+
+
 # ---------------------------------------------------------------- sampling
 
 

@@ -4,7 +4,9 @@ Sets arrive in batches; a batch touches only edges that involve a new set or
 that a new set now passes between.  The state is kept as per-batch deltas in the
 shared folder (new vertices, new edges, bypassed edges).  Sets are never taken
 back, so a bypassed edge never returns and the current edges are all added ones
-minus all bypassed ones.  A replayed batch overwrites its own delta only.
+minus all bypassed ones.  A replayed batch overwrites its own delta only.  A
+marker is written after a delta, so an instance on the same folder goes on where
+the last complete batch ended.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gradelattice.functions import masks
 from gradelattice.operators.containment import cover_edges, minimal_supersets
-from gradelattice.session import stage, stage_path
+from gradelattice.session import stage
 
 
 def _flip(frame: DataFrame, cols: list[str], m: int) -> DataFrame:
@@ -57,13 +59,24 @@ COMPACT_EVERY = 16  # epochs between merged snapshots, so a read opens a bounded
 
 
 class IncrementalLattice:
-    """Vertices and edges kept as deltas under a shared folder, fed by ``foreachBatch``."""
+    """Vertices and edges kept as deltas under a shared folder, fed by ``foreachBatch``.
 
-    def __init__(self, spark: SparkSession, m: int, folder: str | None = None):
+    The folder outlives the instance: a new one continues with the state found there.
+    """
+
+    def __init__(self, spark: SparkSession, m: int, folder: str):
         self.spark, self.m = spark, m
         self.cols = masks.mask_cols(m)
-        self.folder = folder or stage_path(spark, "incremental-lattice")
-        self.version = -1
+        self.folder = folder
+        self.version = self._last_complete()
+
+    def _last_complete(self) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, "complete"))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return -1
+        return max((int(s.getPath().getName()[1:]) for s in files.listStatus(path)
+                    if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))), default=-1)
 
     def _schema(self, kind: str) -> str:
         names = self.cols if kind == "vertices" else [*self.cols, *[f"sup_{c}" for c in self.cols]]
@@ -109,6 +122,8 @@ class IncrementalLattice:
             merged = {"vertices": old[0].unionByName(self._read("vertices", epoch)), "added": self._minus(old[1], epoch)}
             for kind, frame in merged.items():
                 frame.write.mode("overwrite").parquet(os.path.join(self.folder, kind, f"upto{epoch}"))
+        marker = self.spark.createDataFrame([(epoch, self.m)], "epoch bigint, m int")
+        marker.write.mode("overwrite").parquet(os.path.join(self.folder, "complete", f"v{epoch}"))
         self.version = epoch
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

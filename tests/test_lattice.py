@@ -137,10 +137,10 @@ def test_join_closure(spark, make):
 
 
 @pytest.mark.parametrize("every", [16, 2])
-def test_incremental_equals_batch(spark, monkeypatch, every):
+def test_incremental_equals_batch(spark, monkeypatch, tmp_path, every):
     monkeypatch.setattr(incremental, "COMPACT_EVERY", every)
     sets = sorted(random_family(12, 40, 7), key=lambda s: hash(frozenset(s)) % 7)
-    lattice = IncrementalLattice(spark, 7)
+    lattice = IncrementalLattice(spark, 7, str(tmp_path / "state"))
     for epoch in range(4):
         lattice.apply(family(spark, sets[epoch::4]), epoch)
     assert edge_set(lattice.edges) == brute.covers(set(sets), below)
@@ -148,6 +148,9 @@ def test_incremental_equals_batch(spark, monkeypatch, every):
     assert edge_set(lattice.edges) == brute.covers(set(sets), below)
     lattice.apply(family(spark, sets[:5]), 4)    # nor do sets seen before
     assert edge_set(lattice.edges) == edge_set(batch_covers(family(spark, sets), 7))
+    again = IncrementalLattice(spark, 7, str(tmp_path / "state"))  # as after a restart
+    assert again.version == 4 and edge_set(again.edges) == edge_set(lattice.edges)
+    assert again.vertices.count() == len(set(sets))
 
 
 def test_streamed(spark, tmp_path):
