@@ -25,6 +25,7 @@ HEADLINE = [
     "hasse_edges_crisp", "hasse_edges_modal", "hasse_edges_types", "hasse_edges_family", "hasse_edges_fuzzy", "hasse_rows_fuzzy",
     "fuzzy_subset_pairs", "degree_stats", "lattice_metrics", "join_closure", "link_score", "quota_sample",
     "scan_context", "concept_listing", "dot_lines",
+    "lattice_metrics_types", "link_score_types", "incremental_hasse", "incremental_hasse_restart", "scan_context_lenient",
 ]
 
 
