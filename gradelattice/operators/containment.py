@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelattice.functions import kernels, masks
+from gradelattice.functions import fuzzy, kernels, masks
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure, ddl, map_batches
 from gradelattice.operators.enumerate import ordered_rank
 from gradelattice.session import ship_package, stage, stage_observed
@@ -30,6 +30,13 @@ def thermometer(grades: Column, m: int, scale: int, stem: str = "mask") -> list[
     return masks.mask_of([grades[j] >= level for j in range(m) for level in range(1, scale + 1)], stem)
 
 
+def from_thermometer(cols: list[str], m: int, scale: int) -> Column:
+    """The grades that ``thermometer`` made masks of."""
+    words = [F.col(c) for c in cols]
+    held = lambda j, level: masks.contains_attr(words, F.lit(j * scale + level), m * scale).cast("int")
+    return F.array(*[sum((held(j, level) for level in range(1, scale)), held(j, 0)) for j in range(m)])
+
+
 def _blocks(family: DataFrame, cols: list[str], side: str, block_rows: int) -> tuple[DataFrame, int]:
     """(block, lo, hi, members) staged, and the number of blocks: members in order of size, with the sizes at both ends."""
     sized = family.select(*cols, masks.card([F.col(c) for c in cols]).alias("_card"))
@@ -302,15 +309,13 @@ def _fuzzy_covers_fragmented(intents: DataFrame, closure: FuzzyClosure) -> DataF
     return reached.where(F.col("n") == lifted).select(F.col("base").alias("grades"), F.col("closure").alias("sup_grades"))
 
 
-def join_closure(generators: DataFrame, closure: ModalClosure, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Smallest family holding the generators and closed under joins ``cl(A | B)``.
+def _joined(start: DataFrame, cols: list[str], close, block_rows: int) -> DataFrame:
+    """Smallest family of masks holding ``start`` and closed under ``close(A | B)``.
 
     Joining one generator at a time reaches every join, so each round combines
     only the new members with the generators; rounds end when nothing is new.
     """
-    cols = closure.cols
-    outs = masks.mask_cols(closure.m, "closure")
-    seen = stage(generators.select(*cols).distinct(), "joins")
+    seen = stage(start.select(*cols).distinct(), "joins")
     base, delta = seen, seen
     def fn(batch):
         for a, b in _each_pair(batch, cols):
@@ -319,12 +324,39 @@ def join_closure(generators: DataFrame, closure: ModalClosure, block_rows: int =
                 yield kernels.batch_of(kernels.word_dict(np.unique(both, axis=0), cols))
     while not delta.isEmpty():
         pairs = _block_pairs(delta, base, cols, block_rows, sizes_matter=False)
-        new = map_batches(pairs, fn, ", ".join(f"{c} bigint" for c in cols)).distinct()
-        closed = closure.close(new).select(*[F.col(o).alias(c) for o, c in zip(outs, cols)]).distinct()
+        closed = close(map_batches(pairs, fn, ", ".join(f"{c} bigint" for c in cols)).distinct()).distinct()
         delta = stage(closed.join(seen, cols, "left_anti"), "joins-new")
         seen = seen.unionByName(delta)
     return seen
 
 
-__all__ = ["cover_edges", "fuzzy_covers", "join_closure", "minimal_supersets", "modal_covers",
+def join_closure(generators: DataFrame, closure: ModalClosure, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Smallest family holding the generators and closed under joins ``cl(A | B)``."""
+    cols, outs = closure.cols, masks.mask_cols(closure.m, "closure")
+    def close(sets):
+        return closure.close(sets).select(*[F.col(o).alias(c) for o, c in zip(outs, cols)])
+    return _joined(generators, cols, close, block_rows)
+
+
+def fuzzy_join_closure(generators: DataFrame, closure: FuzzyClosure, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``grades`` of the smallest family holding the generators and closed under joins ``cl(max(A, B))``.
+
+    As masks of reached steps, the maximum of two vectors is a union.
+    """
+    m, scale = closure.m, closure.scale
+    cols = masks.mask_cols(m * scale)
+    def close(sets):
+        vectors = sets.select(from_thermometer(cols, m, scale).alias("grades"))
+        return closure.close(vectors).select(*thermometer(F.col("closure"), m, scale))
+    family = _joined(generators.select(*thermometer(F.col("grades"), m, scale)), cols, close, block_rows)
+    return family.select(from_thermometer(cols, m, scale).alias("grades"))
+
+
+def fuzzy_join(pairs: DataFrame, a: str, b: str, closure: FuzzyClosure, out: str = "joined") -> DataFrame:
+    """Append the join ``cl(max(a, b))`` of two intents."""
+    both = pairs.select(*pairs.columns, fuzzy.union(F.col(a), F.col(b)).alias("grades"))
+    return closure.close(both, out).drop("grades")
+
+
+__all__ = ["cover_edges", "fuzzy_covers", "fuzzy_join", "fuzzy_join_closure", "join_closure", "minimal_supersets", "modal_covers",
            "subset_counts", "subset_pairs", "thermometer"]

@@ -130,6 +130,13 @@ ups AS (SELECT {cols('y{j}')}, {up} FROM dwn GROUP BY {cols('y{j}')}),
 fixed AS (SELECT {cols('y{j}')} FROM ups WHERE {cols('u{j} = y{j}', ' AND ')})"""
 
 
+# The closure of every grade vector, and the intent each nation generates.
+NATION_INTENTS = f"""{fixpoints('nation_status', luk)},
+cl AS (SELECT g.y0 x0, g.y1 x1, g.y2 x2, min(f.y0) c0, min(f.y1) c1, min(f.y2) c2
+  FROM grid g JOIN fixed f ON f.y0 >= g.y0 AND f.y1 >= g.y1 AND f.y2 >= g.y2 GROUP BY ALL),
+gens AS (SELECT r.obj, c0, c1, c2 FROM (SELECT obj, max(q) FILTER (attr = 0) a0, max(q) FILTER (attr = 1) a1, max(q) FILTER (attr = 2) a2
+  FROM nation_status GROUP BY obj) r JOIN cl ON x0 = a0 AND x1 = a1 AND x2 = a2)"""
+
 JOINED3 = "y0 || ',' || y1 || ',' || y2"
 FUZZY_ORDER = "row_number() OVER (ORDER BY y0, y1, y2) - 1"
 
@@ -372,6 +379,14 @@ UNION ALL SELECT 'max_intent', u0 || ',' || u1 || ',' || u2 FROM ups WHERE y0 =
         "width_levels": graph_select("SELECT max(n) width_levels FROM (SELECT count(*) n FROM levels GROUP BY level)"),
         "lattice_metrics": graph_select(METRICS),
         "join_closure": joins,
+        "fuzzy_join_closure": f"""WITH RECURSIVE {NATION_INTENTS}, reach AS (SELECT c0, c1, c2 FROM gens WHERE obj < 8
+  UNION SELECT j.c0, j.c1, j.c2 FROM reach r JOIN gens g ON g.obj < 8 JOIN cl j
+    ON j.x0 = greatest(r.c0, g.c0) AND j.x1 = greatest(r.c1, g.c1) AND j.x2 = greatest(r.c2, g.c2))
+SELECT c0 || ',' || c1 || ',' || c2 AS grades FROM reach""",
+        "fuzzy_concept_join": f"""WITH {NATION_INTENTS}
+SELECT a.obj, a.c0 || ',' || a.c1 || ',' || a.c2 AS a, b.c0 || ',' || b.c1 || ',' || b.c2 AS b, j.c0 || ',' || j.c1 || ',' || j.c2 AS joined
+FROM gens a JOIN gens b ON b.obj = a.obj + 1 JOIN cl j
+  ON j.x0 = greatest(a.c0, b.c0) AND j.x1 = greatest(a.c1, b.c1) AND j.x2 = greatest(a.c2, b.c2)""",
         "incremental_hasse": modal_edges,
         "incremental_hasse_restart": modal_edges,
         "sqrt_quota": f"""WITH {SEG_CLOSED}, h AS (SELECT {CARD} card, count(*) n FROM closed GROUP BY 1),

@@ -554,6 +554,26 @@ def join_closure(spark, sf):
     return containment.join_closure(gens, closure)
 
 
+@query
+def fuzzy_join_closure(spark, sf):
+    """Joins of the intents that eight nations generate."""
+    ctx = tables.nation_status(spark, sf).staged()
+    closure = FuzzyClosure(ctx)
+    gens = closure.close(ctx.frame.where("obj < 8")).select(F.col("closure").alias("grades"))
+    return containment.fuzzy_join_closure(gens, closure).select(joined("grades").alias("grades"))
+
+
+@query
+def fuzzy_concept_join(spark, sf):
+    """Join of the intents of each nation and of the next one."""
+    ctx = tables.nation_status(spark, sf).staged()
+    closure = FuzzyClosure(ctx)
+    closed = stage(closure.close(ctx.frame).select("obj", F.col("closure").alias("a")), "nation-intents")
+    pairs = closed.join(closed.select((F.col("obj") - 1).alias("obj"), F.col("a").alias("b")), "obj")
+    found = containment.fuzzy_join(pairs, "a", "b", closure)
+    return found.select("obj", *[joined(c).alias(c) for c in ("a", "b", "joined")])
+
+
 @query
 def incremental_hasse(spark, sf):
     """Concepts streamed in file by file; the maintained edges after the last batch."""
