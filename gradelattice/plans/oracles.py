@@ -379,6 +379,11 @@ UNION ALL SELECT 'max_intent', u0 || ',' || u1 || ',' || u2 FROM ups WHERE y0 =
         "width_levels": graph_select("SELECT max(n) width_levels FROM (SELECT count(*) n FROM levels GROUP BY level)"),
         "lattice_metrics": graph_select(METRICS),
         "join_closure": joins,
+        "width_exact_languages": f"""WITH {ctx('source_lang')}, {closures('source_lang', 4)},
+numbered AS (SELECT mask, row_number() OVER (ORDER BY mask) - 1 AS i FROM closed),
+related AS (SELECT (1::BIGINT << a.i) | (1::BIGINT << b.i) AS ends FROM numbered a JOIN numbered b ON {below('a.mask', 'b.mask')}),
+choices AS (SELECT range AS s FROM range((1::BIGINT << (SELECT count(*) FROM closed))::BIGINT))
+SELECT max(bit_count(s))::BIGINT AS width_exact FROM choices WHERE NOT EXISTS (SELECT 1 FROM related WHERE (s & ends) = ends)""",
         "fuzzy_join_closure": f"""WITH RECURSIVE {NATION_INTENTS}, reach AS (SELECT c0, c1, c2 FROM gens WHERE obj < 8
   UNION SELECT j.c0, j.c1, j.c2 FROM reach r JOIN gens g ON g.obj < 8 JOIN cl j
     ON j.x0 = greatest(r.c0, g.c0) AND j.x1 = greatest(r.c1, g.c1) AND j.x2 = greatest(r.c2, g.c2))

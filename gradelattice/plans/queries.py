@@ -554,6 +554,15 @@ def join_closure(spark, sf):
     return containment.join_closure(gens, closure)
 
 
+@query
+def width_exact_languages(spark, sf):
+    """The largest antichain of a lattice of at most sixteen concepts, which SQL can find by trying all subsets."""
+    ctx = tables.source_lang(spark, sf)
+    concepts = en.concepts(ctx)
+    edges = metrics.edge_frame(containment.cover_edges(concepts, ["mask"]), ["mask"], ["sup_mask"])
+    return metrics.width_exact(concepts.withColumnRenamed("mask", "id"), edges)
+
+
 @query
 def fuzzy_join_closure(spark, sf):
     """Joins of the intents that eight nations generate."""
