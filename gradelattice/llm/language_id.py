@@ -32,7 +32,7 @@ STEP = 1 << 18  # characters scored at once
 UNDETERMINED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def letters(text: str | None) -> np.ndarray:
@@ -40,7 +40,7 @@ def letters(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint32)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    is_letter = np.where(codes < 1 << 16, _LETTER[np.minimum(codes, (1 << 16) - 1)], True)
+    is_letter = _LETTER[codes]
     at = np.flatnonzero(is_letter)
     if not len(at):
         return np.empty(0, np.uint32)

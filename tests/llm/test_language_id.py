@@ -49,7 +49,7 @@ def test_model_agrees_with_the_definition():
 
 def test_letters():
     show = lambda t: "".join(map(chr, li.letters(t)))
-    assert show("  Ab,, C-d 12\n") == "ab c d" and show(None) == show("12 !?") == "" and show("É\U00020000") == "é\U00020000"
+    assert show("  Ab,, C-d 12\n") == "ab c d" and show(None) == show("12 !?") == "" and show("É\U00020000") == "é\U00020000" and show("😀 1") == ""
 
 
 def test_entropies_do_not_depend_on_neighbours_or_steps(monkeypatch):
