@@ -47,9 +47,13 @@ def _rounds(spark, seed: DataFrame, expand, key: list[str], first_budget: int, r
         budget = round_budget
 
 
-def _walk(batches, take, emit, step, budget: int):
-    """Depth-first over stacks of node matrices until ``budget`` cells are spent."""
-    spent = 0
+def _walk(batches, take, emit, step, budget: int, node_cells: int):
+    """Depth-first over stacks of node matrices until ``budget`` cells are spent.
+
+    ``node_cells`` is what one node may cost; a step takes only as many as an
+    eighth of the budget allows, since the budget is looked at between steps.
+    """
+    spent, size = 0, max(1, min(NODE_BATCH, budget // (8 * max(1, node_cells))))
     for batch in batches:
         stack = [take(batch)] if batch.num_rows else []
         while stack:
@@ -57,9 +61,9 @@ def _walk(batches, take, emit, step, budget: int):
             if spent >= budget:
                 yield emit(sets, y, True)
                 continue
-            if len(sets) > NODE_BATCH:
-                stack.append((sets[NODE_BATCH:], y[NODE_BATCH:]))
-                sets, y = sets[:NODE_BATCH], y[:NODE_BATCH]
+            if len(sets) > size:
+                stack.append((sets[size:], y[size:]))
+                sets, y = sets[:size], y[:size]
             sets, y, children, child_y, cost = step(sets, y)
             spent += cost
             yield emit(sets, y, False)
@@ -93,7 +97,7 @@ def _modal_expander(closure: ModalClosure):
                 closed = close(base | bits[attr])
                 own = ((closed & ~base & below[attr]) == 0).all(axis=1)
                 return sets, y, closed[own], attr[own].astype(np.int32), len(row) * max(1, len(need))
-            yield from _walk(batches, take, emit, step, budget)
+            yield from _walk(batches, take, emit, step, budget, m * max(1, len(need)))
         return run
     return expand
 
@@ -212,7 +216,7 @@ def _fuzzy_expander(closure: FuzzyClosure):
                 children = np.concatenate(grown) if grown else sets[:0]
                 child_y = np.concatenate(grown_y).astype(np.int32) if grown_y else y[:0]
                 return sets, y, children, child_y, 2 * m * closures * max(1, len(rows))
-            yield from _walk(batches, take, emit, step, budget)
+            yield from _walk(batches, take, emit, step, budget, 2 * m * m * max(1, len(rows)))
         return run
     return expand
 
