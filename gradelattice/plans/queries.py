@@ -234,7 +234,7 @@ def dm_closure_crisp(spark, sf):
 @query
 def modal_closure_wide(spark, sf):
     """64 attributes: two mask words."""
-    ctx = tables.embedding_dims(spark, sf)
+    ctx = tables.embedding_dims(spark, sf).staged()
     closed = ModalClosure(ctx).close(cx.object_sets(ctx, 8))
     outs = [F.col(c) for c in masks.mask_cols(ctx.m, "closure")]
     return closed.select("obj", joined(masks.members(outs, ctx.m)).alias("attrs"), masks.card(outs).alias("card"))
@@ -694,7 +694,7 @@ def concept_listing(spark, sf):
 
 @query
 def intent_lines(spark, sf):
-    ctx = tables.nation_status(spark, sf)
+    ctx = tables.nation_status(spark, sf).staged()
     return writers.intent_lines(stage(en.fuzzy_concepts(ctx), "intents"), ctx.frame.count(), ctx.m)
 
 
@@ -745,7 +745,7 @@ def scan_concept_sets(spark, sf):
 
 def _intent_file(spark, sf) -> str:
     path = stage_path(spark, "intent-text")
-    ctx = tables.nation_status(spark, sf)
+    ctx = tables.nation_status(spark, sf).staged()
     writers.write_lines(writers.intent_lines(stage(en.fuzzy_concepts(ctx), "intents"), ctx.frame.count(), ctx.m), path)
     return path
 
