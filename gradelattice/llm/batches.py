@@ -17,7 +17,10 @@ SLICE_BYTES = 8 << 20  # working set of a task: text handled at once, longer onl
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about ``limit`` bytes, or one row if a single row is longer."""
+    """Cut batches so that ``column`` holds about ``limit`` bytes, or one row if a single row is longer.
+
+    At the end, memory that Arrow holds in reserve goes back, as Python workers live on from task to task.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -26,6 +29,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 @contextmanager

@@ -21,7 +21,7 @@ from gradelattice.session import ship_package
 MARK = "▁"
 BARRED = -1e8  # pieces scored at or below are never chosen, but for single characters
 UNKNOWN_PENALTY = 10.0  # a character in bytes scores this much below the worst piece
-WORDS_KEPT = 800_000  # words a worker remembers (some 200 MB); beyond, it starts anew
+WORDS_KEPT = 400_000  # words a worker remembers (some 100 MB); beyond, it starts anew
 TEXT_BYTES = 2 << 20
 BPE, NORMAL, BYTE = 2, 1, 6  # fixed values of the model file
 
@@ -188,16 +188,19 @@ class Pieces:
         return (data[1:] if data.startswith(b" ") else data).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "ids", check_into: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of ``text`` in ``into`` and, in ``n_pieces`` and ``n_bytes``, how many ids and byte pieces.
 
-    Whole texts are encoded.  A null text has null ids and counts of 0, an empty one no ids.  Columns named as the results
-    are replaced.
+    Whole texts are encoded.  A null text has null ids and counts of 0, an empty one no ids.  With ``check_into``, ids are
+    decoded where they are made, and that column tells whether they give the text back (null ids give a null text).
+    Columns named as the results are replaced.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
-    docs = docs.drop(*{into, "n_pieces", "n_bytes"} - {text})
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("n_bytes", T.LongType())])
+    added = [(into, T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("n_bytes", T.LongType())]
+    added += [(check_into, T.BooleanType())] if check_into else []
+    docs = docs.drop(*{name for name, _ in added} - {text})
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(*a) for a in added]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -208,8 +211,12 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
             flat = np.concatenate(found)
             fallback = np.concatenate([[0], np.cumsum(model.is_byte[flat])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)), mask=pa.array([t is None for t in whole], pa.bool_()))
-            yield (batch.append_column(into, lists).append_column("n_pieces", pa.array(np.diff(ends), pa.int64()))
+            out = (batch.append_column(into, lists).append_column("n_pieces", pa.array(np.diff(ends), pa.int64()))
                    .append_column("n_bytes", pa.array(fallback[ends[1:]] - fallback[ends[:-1]], pa.int64())))
+            if check_into:
+                same = [t is None or model.decode(f.tolist()) == t for t, f in zip(whole, found)]
+                out = out.append_column(check_into, pa.array(same, pa.bool_()))
+            yield out
 
     return docs.mapInArrow(run, schema)
 

@@ -63,9 +63,8 @@ def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = pieces.encode(_table(spark, sf, "documents").select("doc_id", "text"), model)
-    return (pieces.decode(encoded, model)
-            .select("doc_id", "n_pieces", "n_bytes", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip")))
+    encoded = pieces.encode(_table(spark, sf, "documents").select("doc_id", "text"), model, check_into="round_trip")
+    return encoded.select("doc_id", "n_pieces", "n_bytes", "ids", "round_trip")
 
 
 def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,7 +71,8 @@ def test_round_trip(model):
 def test_tables(spark, model):
     rows = [(k, t, 7) for k, t in enumerate(ODD)] + [(None, None, 7), (1, "a b", 7), (1, "a b", 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
-    got = decode(encode(docs, model), model).collect()
+    got = decode(encode(docs, model, check_into="same"), model).collect()
+    assert all(r.same for r in got)
     assert len(got) == len(rows) and all(r.text == r.decoded for r in got)
     assert all(r.n_pieces == len(r.ids or []) and 0 <= r.n_bytes <= r.n_pieces for r in got)
     assert [r.ids for r in got if r.text is None] == [None]
