@@ -162,3 +162,21 @@ def test_streamed(spark, tmp_path):
     lattice.start(stream, str(tmp_path / "progress")).awaitTermination()
     assert lattice.version >= 2
     assert edge_set(lattice.edges) == brute.covers(set(sets), below)
+
+
+def test_fuzzy_join_closure(spark, make):
+    rows = [[8, 2, 9], [5, 3, 2], [6, 7, 2], [1, 4, 4]]
+    closure = FuzzyClosure(make(rows), Implication.LUKASIEWICZ)
+    gens = {brute.fuzzy_closure(rows, tuple(r), "lukasiewicz") for r in rows[:3]}
+    expected = set(gens)
+    while True:
+        more = {brute.fuzzy_closure(rows, tuple(map(max, a, b)), "lukasiewicz") for a in expected for b in expected} - expected
+        if not more:
+            break
+        expected |= more
+    frame = spark.createDataFrame([(list(map(int, g)),) for g in gens], "grades array<int>")
+    found = [tuple(r.grades) for r in containment.fuzzy_join_closure(frame, closure, block_rows=2).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    pairs = spark.createDataFrame([(list(map(int, a)), list(map(int, b))) for a in gens for b in gens], "a array<int>, b array<int>")
+    for r in containment.fuzzy_join(pairs, "a", "b", closure).collect():
+        assert tuple(r.joined) == brute.fuzzy_closure(rows, tuple(map(max, r.a, r.b)), "lukasiewicz")
