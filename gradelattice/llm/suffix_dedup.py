@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from gradelattice.session import ship_package, stage, stage_observed, stage_path
 
 LENGTH = 50
 TRIGGER = 16
-SLICE_BYTES = 48 << 20  # text of a slice, which a task holds
+SLICE_BYTES = 32 << 20  # text of a slice, which a task holds
 BUCKET_ANCHORS = 1 << 20  # triggers compared in one group, about
 CHUNK_PHRASES = 20_000  # dictionary phrases put in order at once; more only for a single trigger
 
-_PLACE_BITS = np.uint64(20)
+VERDICT = np.dtype([("phrase", "<u8"), ("first", "<i8"), ("early", "<i8")])
 _PLACES = np.uint64((1 << 20) - 1)
 _PIECE = 1 << 19  # start positions of a text looked at together
 _BYTES = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,17 +134,21 @@ def _lay_down(docs: DataFrame, folder: str) -> DataFrame:
     return stage(docs.mapInArrow(write, "slice string, doc_id bigint, n_bytes bigint, high bigint, low bigint"), "laid-down")
 
 
-def _opened(folder: str, name: str) -> tuple[list[int | None], list[bytes]]:
-    """Ids and texts of a slice, in ascending order of ids, rows without id last."""
+def _opened(folder: str, name: str) -> Iterator[tuple[int | None, bytes]]:
+    """Ids and texts of a slice, a few megabytes in memory at a time."""
     filesystem, base = locate(folder)
-    table = pq.read_table(f"{base}/{name}", filesystem=filesystem).sort_by("doc_id")
-    return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    with filesystem.open_input_file(f"{base}/{name}") as source:
+        file = pq.ParquetFile(source)
+        for k in range(file.num_row_groups):
+            group = file.read_row_group(k, use_threads=False)
+            yield from zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist())
+    pa.default_memory_pool().release_unused()
 
 
 def _live(folder: str, row: dict, length: int) -> Iterator[tuple[int, bytes]]:
     """Documents of a slice that are long enough and no copies."""
     copies = set(row["copies"] or ())
-    for i, text in zip(*_opened(folder, row["slice"])):
+    for i, text in _opened(folder, row["slice"]):
         if i is not None and i not in copies and len(text) >= length:
             yield i, text
 
@@ -209,21 +214,22 @@ def _dictionary(named: DataFrame, folder: str, length: int) -> DataFrame:
             trigger, first, last, whole, owner = (np.concatenate(x) for x in zip(*found))
             ids = np.array([i for i, _ in documents])
             _, one, of = np.unique(whole, return_index=True, return_inverse=True)
-            latest = np.full(len(one), np.iinfo(np.int64).min)
+            earliest, latest = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+            np.minimum.at(earliest, of, ids[owner])
             np.maximum.at(latest, of, ids[owner])
             for k in range(0, len(one), CHUNK_PHRASES):
                 at = one[k:k + CHUNK_PHRASES]
                 texts = [documents[d][1][a:b + length] for d, a, b in zip(owner[at].tolist(), first[at].tolist(), last[at].tolist())]
                 yield pa.RecordBatch.from_pydict({"trigger": pa.array(trigger[at].view(np.int64)), "number": pa.array([row["number"]] * len(at), pa.int64()),
-                                                  "phrase": pa.array(texts, pa.binary()), "first": pa.array(ids[owner[at]]),
+                                                  "phrase": pa.array(texts, pa.binary()), "first": pa.array(earliest[k:k + CHUNK_PHRASES]),
                                                   "last": pa.array(latest[k:k + CHUNK_PHRASES])})
 
     return named.mapInArrow(read, "trigger bigint, number bigint, phrase binary, first bigint, last bigint")
 
 
 def _verdicts(dictionary: DataFrame, length: int) -> DataFrame:
-    """``number, phrase (hash), first, early``: the first document of each phrase, and a bit for each of its strings that
-    stands in a document before that one; without the phrases of a slice that lose nothing."""
+    """``number, verdicts``: packed for each slice, the hash and the first document of phrases, and a bit for each of their
+    strings that stands in a document before that one; without the phrases of a slice that lose nothing."""
     def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -259,12 +265,17 @@ def _verdicts(dictionary: DataFrame, length: int) -> DataFrame:
         np.minimum.at(least, string, earliest[owner])
         early = np.zeros(len(one), np.int64)
         np.bitwise_or.at(early, owner, (least[string] < earliest[owner]).astype(np.int64) << inside)
-        out = pa.RecordBatch.from_pydict({"number": table["number"].combine_chunks(), "phrase": pa.array(whole.view(np.int64)),
-                                          "first": pa.array(earliest[of]), "early": pa.array(early[of])})
-        return out.filter(pa.array((early[of] != 0) | (table["last"].to_numpy() > earliest[of])))
+        keep = np.flatnonzero((early[of] != 0) | (table["last"].to_numpy() > earliest[of]))
+        number = table["number"].to_numpy()[keep]
+        keep, number = keep[(order := np.argsort(number, kind="stable"))], number[order]
+        out = np.empty(len(keep), VERDICT)
+        out["phrase"], out["first"], out["early"] = whole[keep], earliest[of[keep]], early[of[keep]]
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        return pa.RecordBatch.from_pydict({"number": pa.array(number[np.append(0, cuts)] if len(number) else number, pa.int64()),
+                                           "verdicts": pa.array([x.tobytes() for x in np.split(out, cuts)] if len(number) else [], pa.binary())})
 
     return (dictionary.repartition("trigger").sortWithinPartitions("trigger")
-            .mapInArrow(order, "number bigint, phrase bigint, first bigint, early bigint"))
+            .mapInArrow(order, "number bigint, verdicts binary"))
 
 
 def _spans(text: bytes, starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -274,6 +285,32 @@ def _spans(text: bytes, starts: np.ndarray, length: int) -> list[tuple[int, int]
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist()))
 
 
+def _cut(documents: list[tuple[int | None, bytes]], phrase: np.ndarray, first: np.ndarray, early: np.ndarray, copies: set,
+         length: int) -> pa.RecordBatch:
+    spans, kept = [], []
+    for i, t in documents:
+        if i in copies and len(t) >= length:
+            spans.append([(0, len(t))])
+        elif i is None or len(t) < length or not len(phrase):
+            spans.append([])
+        else:
+            _, begin, end, whole = phrases(t, length)
+            at = np.searchsorted(phrase, whole).clip(max=len(phrase) - 1)
+            found = np.flatnonzero(phrase[at] == whole)
+            begin, counts, at = begin[found], (end - begin + 1)[found], at[found]
+            inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            gone = np.repeat(first[at] < i, counts) | (np.repeat(early[at], counts) >> inside & 1).astype(bool)
+            spans.append(_spans(t, (np.repeat(begin, counts) + inside)[gone], length))
+        edges = [0, *(x for s in spans[-1] for x in s), len(t)]
+        kept.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2])))
+    flat = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in spans])])
+    parts = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.array([i for i, _ in documents], pa.int64()), "n_bytes": pa.array([len(t) for _, t in documents], pa.int64()),
+        "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts), "kept": pa.array(kept, pa.binary())})
+
+
 def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Bytes of each text that belong to a string of ``length`` bytes which also starts in a document of a smaller id.
 
@@ -303,42 +340,16 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     shared = stage(_shared_triggers(dealt(named), folder, int(seen["size"] or 0) // 16, length), "shared-triggers")
     with_shared = named.join(shared.groupBy("number").agg(F.collect_list("hashes").alias("hashes")), "number")
     verdicts = stage(_verdicts(_dictionary(dealt(with_shared), folder, length), length), "verdicts")
-    packed = verdicts.groupBy("number").agg(F.collect_list(F.struct("phrase", "first", "early")).alias("verdicts"))
+    packed = verdicts.groupBy("number").agg(F.collect_list("verdicts").alias("verdicts"))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield from finished(batch.slice(k, 1))
-
-    def finished(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        name, copies = row.column("slice")[0].as_py(), set(row.column("copies")[0].as_py() or ())
-        items = row.column("verdicts").flatten()
-        phrase, first, early = (items.field(c).to_numpy() for c in ("phrase", "first", "early"))
-        phrase, order = np.unique(phrase.view(np.uint64), return_index=True)
-        first, early = first[order], early[order]
-        ids, texts = _opened(folder, name)
-        for a in range(0, len(ids), 256):
-            spans, kept = [], []
-            for i, t in zip(ids[a:a + 256], texts[a:a + 256]):
-                if i in copies and len(t) >= length:
-                    spans.append([(0, len(t))])
-                elif i is None or len(t) < length or not len(phrase):
-                    spans.append([])
-                else:
-                    _, begin, end, whole = phrases(t, length)
-                    at = np.searchsorted(phrase, whole).clip(max=len(phrase) - 1)
-                    found = np.flatnonzero(phrase[at] == whole)
-                    begin, counts, at = begin[found], (end - begin + 1)[found], at[found]
-                    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                    gone = np.repeat(first[at] < i, counts) | (np.repeat(early[at], counts) >> inside & 1).astype(bool)
-                    spans.append(_spans(t, (np.repeat(begin, counts) + inside)[gone], length))
-                edges = [0, *(x for s in spans[-1] for x in s), len(t)]
-                kept.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2])))
-            flat = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in spans])])
-            parts = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[a:a + 256], pa.int64()), "n_bytes": pa.array([len(t) for t in texts[a:a + 256]], pa.int64()),
-                                              "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts), "kept": pa.array(kept, pa.binary())})
+        for row in _rows(batches):
+            verdicts = np.frombuffer(b"".join(row["verdicts"] or ()), VERDICT)
+            phrase, at = np.unique(verdicts["phrase"], return_index=True)
+            first, early, copies = verdicts["first"][at], verdicts["early"][at], set(row["copies"] or ())
+            documents = _opened(folder, row["slice"])
+            while part := list(islice(documents, 256)):
+                yield _cut(part, phrase, first, early, copies, length)
 
     final = dealt(named.join(packed, "number", "left"))
     return final.select("slice", "copies", "verdicts").mapInArrow(finish, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
