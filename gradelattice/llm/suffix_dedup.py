@@ -31,11 +31,11 @@ LENGTH = 50
 TRIGGER = 16
 SLICE_BYTES = 32 << 20  # text of a slice, which a task holds
 BUCKET_ANCHORS = 1 << 20  # triggers compared in one group, about
-CHUNK_PHRASES = 20_000  # dictionary phrases put in order at once; more only for a single trigger
+CHUNK_PHRASES = 8_000  # dictionary phrases put in order at once; more only for a single trigger
 
 VERDICT = np.dtype([("phrase", "<u8"), ("first", "<i8"), ("early", "<i8")])
 _PLACES = np.uint64((1 << 20) - 1)
-_PIECE = 1 << 19  # start positions of a text looked at together
+_PIECE = 1 << 17  # start positions of a text looked at together
 _BYTES = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 2**64)
@@ -46,7 +46,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n``."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16, 2 * len(_powers.get("up", ())))
+        size = max(1 << 17, n + n // 4)
         for name, base in (("up", _P), ("down", _P_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
