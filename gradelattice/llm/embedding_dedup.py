@@ -3,7 +3,10 @@
 A pass hashes every vector to the signs of its projections on random directions, sorts all vectors by the concatenated
 signs and compares each with a bounded window of neighbours in that order; verified links of all passes are united to
 components.  The windows do not depend on how the order is cut into partitions: the two ends of neighbouring partitions
-are compared as well.  How often a vector is linked is then counted within the components, exactly, in pairs of bounded
+are compared as well.  A run of vectors that agree in all leading signs the passes count on, and that a window does not
+span, is then compared in full, in pairs of bounded blocks, unless it lies in one component already.  So any pair that
+agrees in those signs in some pass meets, however dense its region is; how many signs that should be is measured on the
+vectors, as that decides only what the comparisons cost.  How often a vector is linked is then counted within the components, exactly, in pairs of bounded
 blocks; no link is ever a row of its own, only what ties a component together.
 """
 
@@ -11,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from math import ceil, log, log2
+from math import ceil, log, log1p, log2
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,35 @@ COSINE = 0.9
 WINDOW = 256  # neighbours on either side that a vector is compared with in a pass
 MISSED = 0.02  # share of pairs of exactly the least cosine that all passes together may leave apart
 BITS = 62  # signs in a sort key
-BLOCK = 512  # vectors of a component compared with as many others in one group
+TRIALS = 3  # passes in which the sizes of runs are measured
+MOVED = 2000  # comparisons that cost about as much as one more vector in a sort
+BLOCK = 512  # vectors of a component or run compared with as many others in one group
 CHUNK = 256
 
 
-def passes_for(count: int, cosine: float = COSINE, window: int = WINDOW, missed: float = MISSED) -> int:
-    """Passes so that a pair of the least cosine meets in some window: each needs about log2(count / window) equal signs."""
-    if count <= window:
+def passes_for(count: int, cosine: float = COSINE, window: int = WINDOW, missed: float = MISSED, bits: int | None = None) -> int:
+    """Passes so that a pair of the least cosine agrees in all of ``bits`` leading signs of some pass, whatever the other
+    vectors are; about log2(count / window) signs unless given."""
+    bits = _least_bits(count, window) if bits is None else bits
+    if not bits:
         return 1
-    equal = (1 - np.arccos(cosine) / np.pi) ** log2(count / window)
-    return max(1, ceil(log(missed) / log(1 - equal)))
+    equal = (1 - np.arccos(cosine) / np.pi) ** bits
+    return max(1, ceil(log(missed) / log1p(-equal)))
+
+
+def _least_bits(count: int, window: int) -> int:
+    return min(BITS, ceil(log2(count / window))) if count > window else 0
+
+
+def _bits_for(nodes: DataFrame, count: int, cosine: float, window: int, missed: float) -> int:
+    """Leading signs that cost the least comparisons: more of them take more passes, fewer leave larger runs."""
+    least = _least_bits(count, window)
+    if not least:
+        return 0
+    keys = _keyed(nodes, TRIALS).select("pass", "key", F.explode(F.lit(list(range(least, min(BITS, least + 16) + 1)))).alias("bits"))
+    runs = keys.groupBy("pass", "bits", F.expr(f"shiftright(key, {BITS} - bits)").alias("run")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = dict(runs.groupBy("bits").agg(F.sum(F.when(F.col("n") > window + 1, F.col("n") * F.col("n") / 2).otherwise(0)) / TRIALS).collect())
+    return min(pairs, key=lambda bits: passes_for(count, cosine, window, missed, bits) * (pairs[bits] + count * (window + MOVED)))
 
 
 @lru_cache(maxsize=8)
@@ -77,7 +99,8 @@ def _packed(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
     return read.mapInArrow(pack, "vec_id bigint, high bigint, low bigint, vector binary")
 
 
-def _sorted_passes(nodes: DataFrame, passes: int, partitions: int) -> DataFrame:
+def _keyed(nodes: DataFrame, passes: int) -> DataFrame:
+    """``pass, key, rep, vector``: the signs of each vector in each pass."""
     def key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
@@ -93,9 +116,12 @@ def _sorted_passes(nodes: DataFrame, passes: int, partitions: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"pass": pa.array([p] * len(packed), pa.int32()), "key": pa.array(keys[:, p]),
                                                       "rep": part.column("rep"), "vector": part.column("vector")})
 
-    keyed = nodes.select("rep", "vector").mapInArrow(key, "pass int, key bigint, rep bigint, vector binary")
+    return nodes.select("rep", "vector").mapInArrow(key, "pass int, key bigint, rep bigint, vector binary")
+
+
+def _sorted_passes(nodes: DataFrame, passes: int, partitions: int) -> DataFrame:
     order = ["pass", "key", "rep"]
-    return keyed.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return _keyed(nodes, passes).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
 class _Window:
@@ -169,6 +195,40 @@ def _links(ordered: DataFrame, cosine: float, window: int) -> DataFrame:
     return stage(found.where("part is null").select("a", "b").union(ends).distinct(), "links")
 
 
+def _run_links(nodes: DataFrame, owner: DataFrame, passes: int, bits: int, cosine: float, window: int) -> tuple[DataFrame, dict]:
+    """Staged ``a, b`` that tie components in runs equal in ``bits`` signs and longer than a window, and ``n``, how many."""
+    own = nodes.select("rep", "vector").join(owner, nodes.rep == owner.node, "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    keyed = _keyed(nodes, passes).withColumn("run", F.shiftright("key", BITS - bits)).drop("key")
+    placed = keyed.drop("vector").join(own, "rep")
+    long = (placed.groupBy("pass", "run").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+            .where((F.col("n") > window + 1) & (F.col("low") < F.col("high")))
+            .select("pass", "run", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    long, seen = stage_observed(long, "runs", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return nodes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), {"n": 0}
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = (keyed.join(long, ["pass", "run"]).join(own, "rep").withColumn("own", block)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("pass", "run", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "component", "vector"))
+
+    def tie(key: tuple, table: pa.Table) -> pa.Table:
+        packed, ids, links = table["vector"].to_pylist(), table["rep"].to_numpy(), []
+        _, label = np.unique(table["component"].to_numpy(), return_inverse=True)
+        for at in _by_dimension(packed):
+            rows = _units([packed[k] for k in at])
+            for a in range(0, len(at), CHUNK):
+                near = rows[a:a + CHUNK] @ rows.T >= cosine
+                near &= label[at[a:a + CHUNK]][:, None] != label[at][None, :]
+                for k in np.flatnonzero(near.any(axis=1)).tolist():
+                    one, others = at[a + k], at[near[k]]
+                    labels, first = np.unique(label[others], return_index=True)
+                    links += [(int(ids[one]), int(ids[others[f]])) for f, name in zip(first, labels) if name != label[one]]
+                    label[np.isin(label, labels)] = label[one]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return stage_observed(dealt.groupBy("pass", "run", "p", "q").applyInArrow(tie, "a bigint, b bigint").distinct(), "run-links", n=F.count(F.lit(1)))
+
+
 def _counted(members: DataFrame, cosine: float) -> DataFrame:
     """``rep, n``: vectors linked with each, copies counted, over all pairs of each component, by pairs of blocks."""
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -206,9 +266,14 @@ def near_vectors(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "em
     # Equal vectors are one node with a number of copies.
     nodes, seen = stage_observed(usable.groupBy("high", "low").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                                                    F.first("vector").alias("vector")), "nodes", n=F.count(F.lit(1)))
-    passes = passes_for(seen["n"], cosine, window, missed)
+    bits = _bits_for(nodes, seen["n"], cosine, window, missed)
+    passes = passes_for(seen["n"], cosine, window, missed, bits)
     partitions = max(1, min(seen["n"] * passes // (8 * window), 100 * vectors.sparkSession.sparkContext.defaultParallelism))
-    owner = components(_links(_sorted_passes(nodes, passes, partitions), cosine, window))
+    links = _links(_sorted_passes(nodes, passes, partitions), cosine, window)
+    owner = components(links)
+    if bits:
+        more, found = _run_links(nodes, owner, passes, bits, cosine, window)
+        owner = components(links.union(more)) if found["n"] else owner
     members = stage(nodes.join(owner, nodes.rep == owner.node).select("component", "rep", "copies", "vector"), "members")
     counted = _counted(members, cosine).groupBy("rep").agg(F.max("n").alias("n"))
     placed = stage(nodes.select("high", "low", "rep", "copies").join(owner, nodes.rep == owner.node, "left").join(counted, "rep", "left")

@@ -60,3 +60,23 @@ def test_window_does_not_depend_on_partitions(spark):
     from gradelattice.llm.graph import components
     got = [sorted(map(tuple, components(ed._links(ed._sorted_passes(nodes, 3, n), 0.9, 12)).collect())) for n in (1, 5)]
     assert got[0] == got[1]
+
+
+def test_pairs_in_a_dense_cone_are_found(spark):
+    """A third of the vectors have a mutual cosine of 0.8; pairs of cosine 0.901 are planted among them."""
+    rng, dimension, cone, planted = np.random.default_rng(12), 64, 1000, 200
+    axis = np.eye(dimension)[0]
+
+    def across(n):
+        x = rng.standard_normal((n, dimension)) * (np.arange(dimension) > 0)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    e = across(cone)
+    g = across(planted)
+    g -= (g * e[:planted]).sum(axis=1, keepdims=True) * e[:planted]
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    share = (0.901 - 0.8) / 0.2
+    inside = [np.sqrt(0.8) * axis + np.sqrt(0.2) * x for x in (e, share * e[:planted] + np.sqrt(1 - share**2) * g)]
+    rows = np.concatenate([inside[1], inside[0], rng.standard_normal((2 * (cone + planted), dimension))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    component = {r.vec_id: r.component_id for r in ed.near_vectors(table, window=16).collect()}
+    assert sum(component[k] == component[planted + k] for k in range(planted)) >= 0.96 * planted
