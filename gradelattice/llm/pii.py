@@ -85,20 +85,25 @@ def _drawn(kind: Column, value: Column, draw: Column, key: str) -> Column:
 
 
 def _substituted(value: Column, stream: Column, keep: Column | int = 0) -> Column:
-    """Digits for digits and letters for letters of their case; the first ``keep`` and all other signs stay."""
+    """ASCII digits for digits of any script and letters for letters of their case; the first ``keep`` and all other signs stay."""
     pick = lambda signs, n: F.substr(F.lit(signs), n % len(signs) + 1, F.lit(1))
     hexes = value.rlike("^[0-9a-fA-F]+$")
     keep = F.lit(keep) if isinstance(keep, int) else keep
 
     def one(c: Column, i: Column) -> Column:
         n = F.element_at(stream, (i % 128 + 1).cast("int")) + F.floor(i / 128).cast("int")
-        return (F.when(i < keep, c).when(c.rlike("[0-9]"), pick("0123456789", n))
+        return (F.when(i < keep, c).when(c.rlike(r"\p{N}"), pick("0123456789", n))
                 .when(c.rlike("[a-z]"), F.when(hexes, pick("abcdef", n)).otherwise(pick("abcdefghijklmnopqrstuvwxyz", n)))
                 .when(c.rlike("[A-Z]"), F.when(hexes, pick("ABCDEF", n)).otherwise(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)))
                 .when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", n)).otherwise(c))
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _lettered(head: Column) -> Column:
+    """The head of a domain, with letters for the hyphens of labels that have nothing else."""
+    return F.array_join(F.transform(F.split(head, r"\."), lambda label: F.when(label.rlike("^-+$"), F.translate(label, "-", "a")).otherwise(label)), ".")
+
+
 def _luhn(digits: Column, skip: int) -> Column:
     """Sum of the Luhn check, of a number that ``skip`` more digits follow."""
     return F.aggregate(F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(
@@ -129,15 +134,17 @@ def _surrogate(kind: Column, value: Column, draw: Column, stream: Column) -> Col
     reserved = F.regexp_extract(value, r"(?:^|\.)(example\.(?:com|org|net))$", 1)
     tail = F.when(reserved != "", reserved).otherwise(F.substring_index(value, ".", -1))
     head = F.substr(value, F.lit(1), F.length(value) - F.length(tail))
+    longer = F.translate(F.substr(F.sha2(F.concat_ws("|", value, draw.cast("string")), 256), F.lit(1), F.greatest(draw - LENGTHEN, F.lit(0))), "abcdef", "012345")
+    named = F.translate(longer, "0123456789", "abelmnorst")
+    grown = F.when((head != "") & (named != ""), F.concat(named, F.lit("."))).otherwise("")  # one more label before the tail
     plain = (F.when(kind == "local", _substituted(F.substring_index(value, "@", 1), stream))
-             .when(kind == "domain", F.concat(_substituted(head, stream), tail))
+             .when(kind == "domain", F.concat(_substituted(_lettered(head), stream), grown, tail))
              .when(kind == "ip", F.concat_ws(".", octet(1, 1, 254), octet(2, 0, 256), octet(3, 0, 256), octet(4, 1, 254)))
              .when(kind == "card", _card(value, stream)).when(kind == "phone", _substituted(value, stream, 1))
              .when(kind == "iban", _substituted(value, stream, 2))
              .when(kind.isin("given-m", "given-f", "family"), _name(kind, value, stream)).otherwise(_substituted(value, stream)))
-    longer = F.translate(F.substr(F.sha2(F.concat_ws("|", value, draw.cast("string")), 256), F.lit(1), F.greatest(draw - LENGTHEN, F.lit(0))), "abcdef", "012345")
-    named = F.translate(longer, "0123456789", "abelmnorst")
-    more = F.when(kind.isin("given-m", "given-f", "family"), named).when(kind == "domain", F.lit("")).when(kind == "ip", F.lit("")).otherwise(longer)
+    more = (F.when(kind.isin("given-m", "given-f", "family"), named).when(kind == "domain", F.lit(""))
+            .when(kind == "ip", F.when(longer != "", F.concat(F.lit("."), longer)).otherwise("")).otherwise(longer))
     # A domain that is all tail has nothing to draw, and stays.
     return F.concat(plain, more)
 

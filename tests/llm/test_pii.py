@@ -76,3 +76,19 @@ def test_repeatable_and_keyed(spark):
     texts = [pii.pseudonymise(docs, key=k).first().text for k in ("a", "a", "b")]
     assert texts[0] == texts[1] != texts[2] and pii.pseudonymise(docs).columns == docs.columns
     assert pii.pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_domains_with_little_to_draw_are_settled(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = ["x@-.-", "a@--.com", "a@\u0663.com", "\u0663\u0664@\u00b2-\u00bd.org", *(f"me@{c}.com" for c in letters)]
+    docs = spark.createDataFrame(list(enumerate(mails)), "doc_id bigint, text string")
+    domain = {mails[r.doc_id].split("@")[1]: r.text.split("@")[1] for r in pii.pseudonymise(docs).collect()}
+    assert len(domain) == len(set(domain.values())) == len(mails) and not set(domain) & set(domain.values())
+    assert all(new.rsplit(".", 1)[1] == old.rsplit(".", 1)[1] and re.fullmatch(r"[a-z0-9.-]+", new) for old, new in domain.items())
+    assert all("\u0663" not in r.text for r in pii.pseudonymise(docs).collect())
+
+
+def test_addresses_grow_when_their_format_is_taken(spark):
+    row = spark.range(1).select(F.lit("ip").alias("kind"), F.lit("10.1.2.3").alias("value"), F.lit(pii.LENGTHEN + 3).alias("draw"))
+    stream = pii._drawn(F.col("kind"), F.col("value"), F.col("draw"), "k")
+    assert re.fullmatch(r"(\d+\.){4}\d{3}", row.select(pii._surrogate(F.col("kind"), F.col("value"), F.col("draw"), stream)).first()[0])
