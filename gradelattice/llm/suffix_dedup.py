@@ -31,7 +31,7 @@ LENGTH = 50
 TRIGGER = 16
 SLICE_BYTES = 32 << 20  # text of a slice, which a task holds
 BUCKET_ANCHORS = 1 << 20  # triggers compared in one group, about
-CHUNK_PHRASES = 8_000  # dictionary phrases put in order at once; more only for a single trigger
+CHUNK_PHRASES = 8_000  # dictionary phrases judged at once; triggers with more are spread
 
 VERDICT = np.dtype([("phrase", "<u8"), ("first", "<i8"), ("early", "<i8")])
 _PLACES = np.uint64((1 << 20) - 1)
@@ -229,21 +229,46 @@ def _dictionary(named: DataFrame, folder: str, length: int) -> DataFrame:
 
 def _verdicts(dictionary: DataFrame, length: int) -> DataFrame:
     """``number, verdicts``: packed for each slice, the hash and the first document of phrases, and a bit for each of their
-    strings that stands in a document before that one; without the phrases of a slice that lose nothing."""
+    strings that stands in a document before that one; without the phrases of a slice that lose nothing.  Phrases of triggers that have too many for one task come back as
+    ``trigger, number, phrase, first, last``, without a verdict."""
     def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        hot = None
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) < CHUNK_PHRASES:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             trigger = table["trigger"].to_numpy()
-            cut = int(np.searchsorted(trigger, trigger[-1]))  # the last trigger may go on in the next batch
-            if cut:
-                yield judge(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
+            last = int(trigger[-1])
+            cut = int(np.searchsorted(trigger, last))  # the last trigger may go on in the next batch
+            yield from settled(table.slice(0, cut), hot)
+            if last == hot or table.num_rows - cut > CHUNK_PHRASES:
+                yield from settled(table.slice(cut), last)
+                held, hot = [], last
+            else:
+                held = table.slice(cut).to_batches()
         if held:
-            yield judge(pa.Table.from_batches(held).combine_chunks())
+            yield from settled(pa.Table.from_batches(held).combine_chunks(), hot)
+
+    def settled(table: pa.Table, hot: int | None) -> Iterator[pa.RecordBatch]:
+        """Verdicts, but the phrases themselves of ``hot`` and other triggers with more of them than are judged at once."""
+        if not table.num_rows:
+            return
+        trigger = table["trigger"].to_numpy()
+        _, of, n = np.unique(trigger, return_inverse=True, return_counts=True)
+        many = n[of] > CHUNK_PHRASES
+        if hot is not None:
+            many |= trigger == hot
+        if many.any():
+            for part in table.filter(pa.array(many)).to_batches():
+                nothing = pa.nulls(part.num_rows, pa.binary())
+                yield pa.RecordBatch.from_pydict({"number": part["number"], "verdicts": nothing} | {c: part[c] for c in ("trigger", "phrase", "first", "last")})
+            table = table.filter(pa.array(~many)).combine_chunks()
+        if table.num_rows:
+            done = judge(table)
+            rest = {c: pa.nulls(done.num_rows, t) for c, t in (("trigger", pa.int64()), ("phrase", pa.binary()), ("first", pa.int64()), ("last", pa.int64()))}
+            yield pa.RecordBatch.from_pydict({c: done[c] for c in ("number", "verdicts")} | rest)
 
     def judge(table: pa.Table) -> pa.RecordBatch:
         texts = table["phrase"].to_pylist()
@@ -275,7 +300,47 @@ def _verdicts(dictionary: DataFrame, length: int) -> DataFrame:
                                            "verdicts": pa.array([x.tobytes() for x in np.split(out, cuts)] if len(number) else [], pa.binary())})
 
     return (dictionary.repartition("trigger").sortWithinPartitions("trigger")
-            .mapInArrow(order, "number bigint, verdicts binary"))
+            .mapInArrow(order, "number bigint, verdicts binary, trigger bigint, phrase binary, first bigint, last bigint"))
+
+
+def _spread_verdicts(hot: DataFrame, length: int) -> DataFrame:
+    """``number, verdicts`` of the phrases that ``_verdicts`` left open, whose triggers have more than one task should hold:
+    joined string by string."""
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, CHUNK_PHRASES):
+                part = batch.slice(a, CHUNK_PHRASES)
+                texts = part["phrase"].to_pylist()
+                trigger = part["trigger"].to_numpy().view(np.uint64)
+                sizes = np.array([len(t) for t in texts])
+                ends = np.cumsum(sizes)
+                hashes = Hashes(b"".join(texts))
+                whole = _mixed(hashes.of(ends - sizes, ends) + trigger + (sizes - length).astype(np.uint64))
+                counts = sizes - length + 1
+                stops = np.cumsum(counts)
+                start = np.repeat(ends - sizes, counts) + np.arange(counts.sum()) - np.repeat(stops - counts, counts)
+                strings = _mixed(hashes.of(start, start + length) + np.repeat(trigger, counts)).view(np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "trigger": part["trigger"], "number": part["number"], "whole": pa.array(whole.view(np.int64)), "first": part["first"], "last": part["last"],
+                    "strings": pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), pa.array(strings))})
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch["number"].to_numpy()
+            out = np.empty(len(number), VERDICT)
+            out["phrase"], out["first"], out["early"] = batch["whole"].to_numpy().view(np.uint64), batch["earliest"].to_numpy(), batch["early"].to_numpy()
+            names = np.unique(number)
+            yield pa.RecordBatch.from_pydict({"number": pa.array(names), "verdicts": pa.array([out[number == n].tobytes() for n in names], pa.binary())})
+
+    rows = stage(hot.select("trigger", "number", "phrase", "first", "last").repartition("phrase")
+                 .mapInArrow(hashed, "trigger bigint, number bigint, whole bigint, first bigint, last bigint, strings array<bigint>"), "hot-phrases")
+    each = rows.groupBy("trigger", "whole").agg(F.min("first").alias("earliest"), F.first("strings").alias("strings"))
+    strings = stage(each.select("trigger", "whole", "earliest", F.posexplode("strings").alias("inside", "string")), "hot-strings")
+    least = strings.groupBy("trigger", "string").agg(F.min("earliest").alias("least"))
+    early = (strings.join(least, ["trigger", "string"]).groupBy("trigger", "whole")
+             .agg(F.min("earliest").alias("earliest"), F.expr("bit_or(if(least < earliest, shiftleft(1L, inside), 0L))").alias("early")))
+    told = rows.drop("strings").join(early, ["trigger", "whole"]).where("early <> 0 or last > earliest")
+    return told.select("number", "whole", "earliest", "early").mapInArrow(pack, "number bigint, verdicts binary")
 
 
 def _spans(text: bytes, starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -339,7 +404,11 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
 
     shared = stage(_shared_triggers(dealt(named), folder, int(seen["size"] or 0) // 16, length), "shared-triggers")
     with_shared = named.join(shared.groupBy("number").agg(F.collect_list("hashes").alias("hashes")), "number")
-    verdicts = stage(_verdicts(_dictionary(dealt(with_shared), folder, length), length), "verdicts")
+    verdicts, open_ = stage_observed(_verdicts(_dictionary(dealt(with_shared), folder, length), length), "verdicts", n=F.count("phrase"))
+    hot = verdicts.where("phrase is not null")
+    verdicts = verdicts.where("phrase is null").select("number", "verdicts")
+    if open_["n"]:
+        verdicts = verdicts.union(_spread_verdicts(hot, length))
     packed = verdicts.groupBy("number").agg(F.collect_list("verdicts").alias("verdicts"))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

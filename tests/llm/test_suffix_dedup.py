@@ -79,3 +79,17 @@ def test_equal_strings_have_equal_triggers(data, before, after):
         return dict(zip(starts.tolist(), np.repeat(trigger, last - first + 1).tolist()))
     plain, moved = triggers(data), triggers(bytes([1]) * before + data + bytes([2]) * after)
     assert all(moved[k + before] == t for k, t in plain.items())
+
+
+def test_phrases_of_a_common_trigger_are_spread(spark, monkeypatch):
+    """One short line in all documents: no call judges more phrases of a trigger than a chunk has."""
+    monkeypatch.setattr(sd, "CHUNK_PHRASES", 20)
+    rng = random.Random(3)
+    line = "all rights reserved by the publisher"
+    texts = ["".join(rng.choice("abcdef ") for _ in range(60)) + line + "".join(rng.choice("abcdef ") for _ in range(60)) for _ in range(150)]
+    texts += [t[20:130] for t in texts[::7]] + texts[:5]
+    rows = list(zip(rng.sample(range(1000), len(texts)), texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spread, whole = [], sd._spread_verdicts
+    monkeypatch.setattr(sd, "_spread_verdicts", lambda hot, length: spread.append(hot.count()) or whole(hot, length))
+    assert result(sd.remove_repeats(docs)) == brute(rows, 50) and spread and spread[0] > 20
