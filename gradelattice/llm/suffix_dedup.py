@@ -4,7 +4,8 @@ A rolling hash over ``TRIGGER`` bytes picks, in every string of ``length`` bytes
 strings have their place alike, so consecutive strings of one place form a phrase, and a phrase can only share strings
 with phrases of the same trigger.  The parse of a document is its sequence of phrases; the dictionary is made of the
 phrases whose trigger stands in more than one document.  Dictionary phrases of a trigger meet in one place, where their
-suffixes, cut at ``length`` bytes, are brought in order; equal neighbours tell in which document a string comes first.
+strings of ``length`` bytes are compared by hash, without a suffix array; equal hashes tell in which document a string
+comes first.
 Carried back along the parse, that gives the bytes of each document that an earlier one has.
 
 Texts are laid down once, in slices on the shared folder that any task can open; from then on only hashes, phrases of
@@ -280,7 +281,7 @@ def _verdicts(dictionary: DataFrame, length: int) -> DataFrame:
         _, one, of = np.unique(whole, return_index=True, return_inverse=True)
         earliest = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(earliest, of, first)
-        # All suffixes of different phrases, cut at the length, in order of their hashes.
+        # All strings of different phrases, by their hashes.
         counts = sizes[one] - length + 1
         owner = np.repeat(np.arange(len(one)), counts)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
