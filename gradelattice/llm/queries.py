@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, suffix_dedup, token_files
+from gradelattice.llm import bpe, decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(_table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op13_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.digest(bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_crf": op2_quality_crf,
@@ -82,6 +87,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_pieces": op9_pieces,
     "op10_html_text": op10_html_text,
+    "op13_bpe": op13_bpe,
 }
 
 # DuckDB forms, for the operators that SQL can express.
