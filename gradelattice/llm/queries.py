@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import bpe, decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, suffix_dedup, token_files
+from gradelattice.llm import bpe, decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, suffix_dedup, token_files, vector_codes
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(_table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded = vector_codes.with_label_error(vector_codes.compress(_table(spark, sf, "embeddings").select("vec_id", "label", "embedding")))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def op13_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return bpe.digest(bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded"))
@@ -87,11 +92,20 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_pieces": op9_pieces,
     "op10_html_text": op10_html_text,
+    "op12_vector_codes": op12_vector_codes,
     "op13_bpe": op13_bpe,
 }
 
 # DuckDB forms, for the operators that SQL can express.
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ROUND_SQL = """
+        a{k} AS MATERIALIZED (SELECT vec_id, p.part, min(64 * ((p.x - b.x) ^ 2 + (p.y - b.y) ^ 2 + (p.z - b.z) ^ 2 + (p.w - b.w) ^ 2)::BIGINT + entry) AS best
+               FROM p JOIN b{k} b ON p.part = b.part GROUP BY ALL),"""
+_MEANS_SQL = """
+        b{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x, coalesce(m.y, b.y) AS y, coalesce(m.z, b.z) AS z, coalesce(m.w, b.w) AS w
+               FROM b{k} b LEFT JOIN (SELECT part, best % 64 AS entry, floor(sum(x) / count(*))::BIGINT AS x, floor(sum(y) / count(*))::BIGINT AS y,
+                                             floor(sum(z) / count(*))::BIGINT AS z, floor(sum(w) / count(*))::BIGINT AS w
+                                      FROM a{k} JOIN p USING (vec_id, part) GROUP BY ALL) m USING (part, entry)),"""
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": f"""
@@ -130,6 +144,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
         FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
         LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id)""",
+    "op12_vector_codes": """
+        WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS c FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, part, c[4 * part + 1] AS x, c[4 * part + 2] AS y, c[4 * part + 3] AS z, c[4 * part + 4] AS w
+              FROM (SELECT vec_id, c, unnest(range(0, 16)) AS part FROM v)),
+        b0 AS MATERIALIZED (SELECT part, entry, x, y, z, w FROM p
+              JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v) USING (vec_id) WHERE entry < 64),"""
+        + _ROUND_SQL.format(k=0) + _MEANS_SQL.format(k=0, n=1) + _ROUND_SQL.format(k=1) + _MEANS_SQL.format(k=1, n=2) + _ROUND_SQL.format(k=2) + """
+        coded AS (SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY vec_id),
+        books AS (SELECT sha256(string_agg(concat_ws(',', x, y, z, w), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM coded JOIN v USING (vec_id), books""",
     "op8_minhash": r"""
         WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(
                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
