@@ -16,7 +16,11 @@ import heapq
 import json
 import os
 import re
+import sys
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,10 @@ TEXT_BYTES = 2 << 20  # text a worker splits at once
 CACHE_BYTES = 96 << 20  # what a worker remembers, by the sizes below; beyond, it starts anew
 ENTRY_BYTES = 220  # of an entry besides its text and ids
 LONGEST_KEPT = 64  # longer chunks are not remembered
-ABSENT_RANK = 1 << 60
-ABSENT = np.int64(ABSENT_RANK)
-SHORT = 40  # signs of a word up to which scanning all its pairs is the quicker way to merge
+ABSENT = np.int64(1) << 60
+SHORT = 40  # signs of a word up to which many are merged together
+TOGETHER = 4096
+LATIN = "\u0250"
 
 _models: dict = {}
 
@@ -48,6 +53,8 @@ class MergeModel:
         model = spec["model"]
         if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix")):
             raise ValueError("only plain byte-pair models are supported")
+        if not model["merges"]:
+            raise ValueError("a model without merges")
         self.library = Tokenizer.from_file(path)
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -86,6 +93,7 @@ class MergeModel:
             self.rule[int(keys[rank])] = (rank, made)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.made = np.array([self.rule[int(k)][1] for k in self.keys], np.int64)
 
     @staticmethod
     def _key(x, y):
@@ -116,7 +124,10 @@ class MergeModel:
                 del kind[text]
 
     def _splitter(self, spec: dict) -> None:
-        """An ASCII form of the word pattern, where the file's rules are of the kind that white space always separates."""
+        """The word pattern for Latin letters, where the file's rules are of the kind that white space always separates.
+
+        Signs before ``LATIN`` are composed as they stand, so only lower case is left of the normal form.
+        """
         self.pattern = None
         normal, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         steps = [s.get("type") for s in normal.get("normalizers", [])]
@@ -127,18 +138,27 @@ class MergeModel:
         regex = split["pattern"].get("Regex", "")
         if not (split["behavior"] == "Removed" and split["invert"] and not byte["add_prefix_space"] and not byte["use_regex"]):
             return
-        ascii_form = regex.replace("[\\p{L}]", "[a-z]").replace("[\\p{N}]", "[0-9]").replace("\\p{L}", "a-z").replace("\\p{N}", "0-9")
-        if "\\p" not in ascii_form and "[^\\s" in ascii_form:
-            self.pattern = re.compile(ascii_form, re.ASCII)
-            self.byte_signs = {k: _byte_sign(k) for k in range(128)}
+        letters, numbers = ({c for k in range(ord(LATIN)) for c in chr(k).lower() if category(c)[0] == kind} for kind in "LN")
+        latin = regex
+        for name, signs in (("L", letters), ("N", numbers)):
+            listed = "".join(sorted(signs))
+            latin = latin.replace(f"[\\p{{{name}}}]", f"[{listed}]").replace(f"\\p{{{name}}}", listed)
+        latin = latin.replace("\\s", "\\s\x85\xa0")
+        if "\\p" not in latin and "[^\\s" in latin:
+            self.pattern = re.compile(latin, re.ASCII)
+            free = iter(range(256, 512))
+            visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            self.byte_signs = "".join(chr(k if k in visible else next(free)) for k in range(256))
 
     # ------------------------------------------------------------ words
 
     def _pieces(self, chunk: str) -> list[str]:
         """The words of a chunk, in the signs that stand for bytes."""
-        if self.pattern is not None and chunk.isascii():
+        if self.pattern is not None and ((seen := chunk.isascii()) or max(chunk) < LATIN):
             words = self.pattern.findall(chunk.lower())
-            return words if chunk.isprintable() else [w.translate(self.byte_signs) for w in words]
+            if seen and chunk.isprintable():
+                return words
+            return [charmap_decode(w.encode(), "strict", self.byte_signs)[0] for w in words]
         plain = self.library.normalizer.normalize_str(chunk) if self.library.normalizer else chunk
         if not self.library.pre_tokenizer:
             return [plain] if plain else []
@@ -176,21 +196,6 @@ class MergeModel:
     def _merged(self, ids: list[int]) -> list[int]:
         """Merges step by step: the lowest rank first, the leftmost of equals."""
         size, rule = len(ids), self.rule
-        if size <= SHORT:
-            none = (ABSENT_RANK, -1)
-            found = [rule.get((x << 32) | y, none) for x, y in zip(ids, ids[1:])]
-            while found:
-                least = min(found)
-                if least is none:
-                    break
-                k = found.index(least)
-                ids[k] = made = least[1]
-                del ids[k + 1], found[k]
-                if k:
-                    found[k - 1] = rule.get((ids[k - 1] << 32) | made, none)
-                if k < len(found):
-                    found[k] = rule.get((made << 32) | ids[k + 1], none)
-            return ids
         after, before = [*range(1, size), -1], list(range(-1, size - 1))
         heap = []
         for k in range(size - 1):
@@ -217,6 +222,42 @@ class MergeModel:
                     heapq.heappush(heap, (found[0], prior, found[1], ids[prior], made))
         return [k for k in ids if k >= 0]
 
+    def _looked_up(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs, ``ABSENT`` where no merge joins them, and what merging makes."""
+        key = self._key(x, y)
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        there = self.keys[at] == key
+        return np.where(there, self.ranks[at], ABSENT), self.made[at]
+
+    def _merged_together(self, words: list[list[int]]) -> list[list[int]]:
+        """``_merged`` of many short words: a round makes one merge in each."""
+        width = max(map(len, words))
+        signs = np.full((len(words), width + 1), -1, np.int64)
+        for row, word in zip(signs, words):
+            row[:len(word)] = word
+        rank = self._looked_up(signs[:, :-1], signs[:, 1:])[0]
+        live, column = np.arange(len(words)), np.arange(width + 1)
+        done, now = signs.copy(), signs
+        while len(live):
+            at = rank.argmin(axis=1)
+            row = np.arange(len(live))
+            open_ = rank[row, at] < ABSENT
+            done[live[~open_]] = now[~open_]
+            live, now, rank, at = live[open_], now[open_], rank[open_], at[open_]
+            row = np.arange(len(live))
+            made = self._looked_up(now[row, at], now[row, at + 1])[1]
+            behind = column[None, :] > at[:, None]
+            now[:, :-1] = np.where(behind[:, :-1], now[:, 1:], now[:, :-1])
+            rank[:, :-1] = np.where(behind[:, :-2], rank[:, 1:], rank[:, :-1])
+            now[:, -1], rank[:, -1] = -1, ABSENT
+            now[row, at] = made
+            rank[row, at] = self._looked_up(made, now[row, at + 1])[0]
+            inner = np.flatnonzero(at)
+            rank[inner, at[inner] - 1] = self._looked_up(now[inner, at[inner] - 1], made[inner])[0]
+        sizes = (done >= 0).sum(axis=1).tolist()
+        return [row[:n] for row, n in zip(done.tolist(), sizes)]
+
     def clashes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """For adjacent tokens: would some merge have joined a right end of ``x`` with a left end of ``y``?
 
@@ -228,10 +269,7 @@ class MergeModel:
         x, y = x.astype(np.int64), y.astype(np.int64)
         taken_x, taken_y = np.full(len(x), ABSENT), np.full(len(x), ABSENT)
         while len(live):
-            key = self._key(x, y)
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            rank = np.where(self.keys[at] == key, self.ranks[at], ABSENT) if len(self.keys) else np.full(len(x), ABSENT)
+            rank = self._looked_up(x, y)[0]
             crossing = (rank < taken_x) & (rank <= taken_y) & (rank < ABSENT)
             hit[live[crossing]] = True
             back_x = self.birth[x] > self.birth[y]
@@ -252,8 +290,15 @@ class MergeModel:
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         wrong = sizes == 0
         wrong[owner[inside][self.clashes(flat[inside], flat[inside + 1])]] = True
-        for k in np.flatnonzero(wrong).tolist():
-            found[k] = self._merged(self._signs(words[k]))
+        failed = [(k, self._signs(words[k])) for k in np.flatnonzero(wrong).tolist()]
+        short = sorted(((k, ids) for k, ids in failed if 0 < len(ids) <= SHORT), key=lambda f: len(f[1]))
+        for a in range(0, len(short), TOGETHER):
+            part = short[a:a + TOGETHER]
+            for (k, _), ids in zip(part, self._merged_together([ids for _, ids in part])):
+                found[k] = ids
+        for k, ids in failed:
+            if not 0 < len(ids) <= SHORT:
+                found[k] = self._merged(ids)
         return found
 
     # ------------------------------------------------------------ texts
@@ -261,9 +306,9 @@ class MergeModel:
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         pieces = {c: self._pieces(c) for c in chunks}
         distinct = list({w for words in pieces.values() for w in words if w})
-        ids = {w: np.array(k, "<u4").tobytes() for w, k in zip(distinct, self.words(distinct))}
+        ids = {w: _packed(k) for w, k in zip(distinct, self.words(distinct))}
         ids[""] = b""
-        return {c: b"".join(map(ids.__getitem__, words)) for c, words in pieces.items()}
+        return {c: ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for c, words in pieces.items()}
 
     def _chunks(self, text: str) -> list[str]:
         if self.pattern is None:
@@ -285,7 +330,7 @@ class MergeModel:
         self.held += sum(len(c) + len(ids) for c, ids in kept.items()) + ENTRY_BYTES * len(kept)
         get = {c: ids for c, ids in new.items() if len(c) > LONGEST_KEPT}
         look = self.known.__getitem__ if not get else lambda c: get[c] if c in get else self.known[c]
-        return [b"".join(np.array([self.special[p]], "<u4").tobytes() if k % 2 else b"".join(map(look, p)) for k, p in enumerate(each))
+        return [b"".join(_packed([self.special[p]]) if k % 2 else b"".join(map(look, p)) for k, p in enumerate(each))
                 for each in chunks]
 
     def decode(self, ids: list[int]) -> str:
@@ -294,9 +339,11 @@ class MergeModel:
         return self.library.decoder.decode(list(tokens)) if self.library.decoder else " ".join(tokens)
 
 
-def _byte_sign(k: int) -> str:
-    """The sign that byte-level rules write for an ASCII byte: itself if visible, else the next free one from U+0100 on."""
-    return chr(k) if 33 <= k <= 126 else chr(256 + k) if k <= 32 else chr(256 + 33 + k - 127)
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def model_of(path: str) -> MergeModel:
