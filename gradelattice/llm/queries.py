@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelattice.llm import bpe, decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, suffix_dedup, token_files, vector_codes
+from gradelattice.llm import bpe, collocations, decontaminate, embedding_dedup, html_text, language_id, minhash, pieces, pii, quality_crf, suffix_dedup, token_files, vector_codes
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(_table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     coded = vector_codes.with_label_error(vector_codes.compress(_table(spark, sf, "embeddings").select("vec_id", "label", "embedding")))
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -92,6 +96,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_pieces": op9_pieces,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
     "op12_vector_codes": op12_vector_codes,
     "op13_bpe": op13_bpe,
 }
@@ -144,6 +149,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
         FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
         LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id)""",
+    "op11_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        f AS MATERIALIZED (SELECT lang, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS phrase, count(*) AS n
+              FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM w, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)
+              GROUP BY ALL),
+        c AS MATERIALIZED (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND n >= 30),
+        cut AS (SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS p, array_to_string(list_slice(w, k + 1, size), ' ') AS q
+                FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+        scored AS (SELECT cut.lang, cut.phrase, a, k, x.n AS l, y.n AS r, (2000000::HUGEINT * a) // (x.n + y.n) AS score
+                   FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = p AND x.size = k
+                            JOIN f y ON y.lang = cut.lang AND y.phrase = q),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, a, array_to_string(list_slice(w, k, k + s - 1), ' ') AS phrase
+                   FROM (SELECT *, unnest(range(1, size - s + 2)) AS k FROM (SELECT *, unnest(range(2, size)) AS s FROM c))),
+        longer AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+        kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+        total AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang)
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000""",
     "op12_vector_codes": """
         WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS c FROM embeddings
               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
