@@ -113,6 +113,19 @@ def lattice_metrics(vertices: DataFrame, edges: DataFrame, levels_: DataFrame |
         F.max("n").alias("width_levels"))
 
 
+def metrics_log(vertices: DataFrame, edges: DataFrame, counters: DataFrame | None = None) -> DataFrame:
+    """(metric, value) rows: size, height, level width, degree figures and, if given, the counters of the enumeration."""
+    def rows(frame: DataFrame, prefix: str = "") -> DataFrame:
+        pairs = [F.struct(F.lit(prefix + c).alias("metric"), F.col(c).cast("double").alias("value")) for c in frame.columns]
+        return frame.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    stats = degree_stats(vertices, edges)
+    named = [rows(stats.where(F.col("side") == side).drop("side"), f"{side}_") for side in ("out", "in")]
+    out = rows(lattice_metrics(vertices, edges)).where("metric <> 'avg_degree'")
+    for more in [*named, *([rows(counters)] if counters is not None else [])]:
+        out = out.unionByName(more)
+    return out
+
+
 def width_exact(vertices: DataFrame, edges: DataFrame, levels_: DataFrame | None = None) -> DataFrame:
     """Largest antichain: vertices minus a maximum matching of the strict order.
 

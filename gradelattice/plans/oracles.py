@@ -7,7 +7,7 @@ DataFrame operators.
 
 from __future__ import annotations
 
-ALPHA, TOP_LEVEL, SAMPLE_BUDGET = 7, 9, 120
+ALPHA, TOP_LEVEL, SAMPLE_BUDGET, QUOTA = 7, 9, 120, 200
 
 
 def _case(col: str, values: tuple[str, ...]) -> str:
@@ -141,6 +141,25 @@ JOINED3 = "y0 || ',' || y1 || ',' || y2"
 FUZZY_ORDER = "row_number() OVER (ORDER BY y0, y1, y2) - 1"
 
 
+NATION_COVERS = f"""f AS (SELECT y0, y1, y2, {JOINED3} t,
+  ((1::BIGINT << y0) - 1) + (((1::BIGINT << y1) - 1) << 10) + (((1::BIGINT << y2) - 1) << 20) mask FROM fixed),
+{covers('f')}"""
+
+
+def _closed_at(name: str, x0: str, x1: str, x2: str) -> str:
+    return f"JOIN cl {name} ON {name}.x0 = {x0} AND {name}.x1 = {x1} AND {name}.x2 = {x2}"
+
+
+# What the canonical search tries: a raise fails if it changes an attribute before its own, and then all higher ones do.
+NATION_TRIES = f"""{NATION_INTENTS},
+gen AS (SELECT y0, y1, y2, CASE WHEN (z.c0, z.c1, z.c2) = (y0, y1, y2) THEN -1 WHEN (p.c0, p.c1, p.c2) = (y0, y1, y2) THEN 0
+    WHEN (q.c0, q.c1, q.c2) = (y0, y1, y2) THEN 1 ELSE 2 END y
+  FROM fixed {_closed_at('z', '0', '0', '0')} {_closed_at('p', 'y0', '0', '0')} {_closed_at('q', 'y0', 'y1', '0')}),
+lost AS (SELECT count(*) FILTER (y < 1 AND y1 < 10 AND p.c0 <> y0) + count(*) FILTER (y < 2 AND y2 < 10 AND (q.c0, q.c1) <> (y0, y1)) n
+  FROM gen {_closed_at('p', 'y0', '10', 'y2')} {_closed_at('q', 'y0', 'y1', '10')}),
+counters AS (SELECT count(*) concepts, count(*) + max(n) tried, max(n) rejected FROM gen, lost)"""
+
+
 def pair(q: str, a: int, fmt: str = "%.3f") -> str:
     return f"CASE WHEN {q} > 0 THEN printf('{fmt}', {q} / 10.0::DOUBLE) || '/{a}' END"
 
@@ -222,9 +241,7 @@ METRICS = """SELECT (SELECT count(*) FROM closed) n_vertices, (SELECT count(*) F
 
 def oracle_sql() -> dict[str, str]:
     long = "SELECT obj, attr, q FROM"
-    fuzzy_covers = f"""WITH {fixpoints('nation_status', luk)},
-f AS (SELECT y0, y1, y2, {JOINED3} t, ((1::BIGINT << y0) - 1) + (((1::BIGINT << y1) - 1) << 10) + (((1::BIGINT << y2) - 1) << 20) mask FROM fixed),
-{covers('f')} SELECT a.t child, b.t parent FROM covers JOIN f a ON a.mask = child JOIN f b ON b.mask = parent"""
+    fuzzy_covers = f"""WITH {fixpoints('nation_status', luk)}, {NATION_COVERS} SELECT a.t child, b.t parent FROM covers JOIN f a ON a.mask = child JOIN f b ON b.mask = parent"""
     deg = f"""WITH {CRISP_COVERS}, d AS (
   SELECT 'out' side, mask, (SELECT count(*) FROM covers WHERE child = mask) d FROM closed
   UNION ALL SELECT 'in', mask, (SELECT count(*) FROM covers WHERE parent = mask) FROM closed),
@@ -360,7 +377,22 @@ closed AS (SELECT DISTINCT mask FROM (SELECT o, coalesce(sum(1::BIGINT << crisp_
         "fuzzy_concepts_flags": f"WITH {fixpoints('supplier_flag', luk)} {grades3}",
         "fuzzy_concepts_users": f"WITH {fixpoints('user_event', luk)} SELECT {JOINED3} || ',' || y3 || ',' || y4 grades FROM fixed",
         "fuzzy_fixpoints_nearest": f"WITH {fixpoints('nation_status', goguen_nearest)} {grades3}",
-        "fuzzy_concepts_quota": f"WITH {fixpoints('nation_status', luk)} SELECT {JOINED3} grades FROM fixed ORDER BY y0, y1, y2 LIMIT 20",
+        "fuzzy_concepts_quota": f"WITH {fixpoints('user_event', luk)} SELECT {JOINED3} || ',' || y3 || ',' || y4 grades FROM fixed "
+                                f"ORDER BY y0, y1, y2, y3, y4 LIMIT {QUOTA}",
+        "fuzzy_quota_work": f"WITH {fixpoints('user_event', luk)} SELECT least({QUOTA}, count(*)) intents, true few_closures FROM fixed",
+        "fuzzy_counters": f"WITH {NATION_TRIES} SELECT concepts, tried, rejected FROM counters",
+        "metrics_log": f"""WITH RECURSIVE {NATION_TRIES}, {NATION_COVERS},
+lv(id, d) AS (SELECT mask, 0 FROM f UNION SELECT parent, d + 1 FROM lv JOIN covers ON child = id),
+levels AS (SELECT id, max(d) AS level FROM lv GROUP BY id),
+d AS (SELECT 'out_' side, mask, (SELECT count(*) FROM covers WHERE child = mask) d FROM f
+  UNION ALL SELECT 'in_', mask, (SELECT count(*) FROM covers WHERE parent = mask) FROM f),
+o AS (SELECT side, d, row_number() OVER (PARTITION BY side ORDER BY d) - 1 pos, count(*) OVER (PARTITION BY side) n FROM d),
+s AS (SELECT side, round(avg(d), 6) a, max(CASE WHEN pos = n // 2 THEN d END) m, max(d) t FROM o GROUP BY side)
+SELECT metric, value::DOUBLE AS value FROM (SELECT side || 'avg_degree' metric, a AS value FROM s UNION ALL SELECT side || 'median_degree', m FROM s
+  UNION ALL SELECT side || 'max_degree', t FROM s UNION ALL SELECT 'concepts', concepts FROM counters UNION ALL SELECT 'tried', tried FROM counters
+  UNION ALL SELECT 'rejected', rejected FROM counters UNION ALL SELECT 'n_vertices', count(*) FROM f UNION ALL SELECT 'n_edges', count(*) FROM covers
+  UNION ALL SELECT 'height', max(level) + 1 FROM levels
+  UNION ALL SELECT 'width_levels', max(n) FROM (SELECT count(*) n FROM levels GROUP BY level))""",
         "next_closure_order": f"WITH {fixpoints('nation_status', luk)} SELECT {JOINED3} grades, {FUZZY_ORDER} AS position FROM fixed",
         "forced_bounds": f"""WITH {fixpoints('supplier_flag', luk)} SELECT 'min_intent' bound, {JOINED3} grades FROM (
   SELECT min(a0) y0, min(a1) y1, min(a2) y2 FROM rws)
@@ -384,8 +416,8 @@ numbered AS (SELECT mask, row_number() OVER (ORDER BY mask) - 1 AS i FROM closed
 related AS (SELECT (1::BIGINT << a.i) | (1::BIGINT << b.i) AS ends FROM numbered a JOIN numbered b ON {below('a.mask', 'b.mask')}),
 choices AS (SELECT range AS s FROM range((1::BIGINT << (SELECT count(*) FROM closed))::BIGINT))
 SELECT max(bit_count(s))::BIGINT AS width_exact FROM choices WHERE NOT EXISTS (SELECT 1 FROM related WHERE (s & ends) = ends)""",
-        "fuzzy_join_closure": f"""WITH RECURSIVE {NATION_INTENTS}, reach AS (SELECT c0, c1, c2 FROM gens WHERE obj < 8
-  UNION SELECT j.c0, j.c1, j.c2 FROM reach r JOIN gens g ON g.obj < 8 JOIN cl j
+        "fuzzy_join_closure": f"""WITH RECURSIVE {NATION_INTENTS}, reach AS (SELECT c0, c1, c2 FROM gens
+  UNION SELECT j.c0, j.c1, j.c2 FROM reach r CROSS JOIN (SELECT DISTINCT c0, c1, c2 FROM gens) g JOIN cl j
     ON j.x0 = greatest(r.c0, g.c0) AND j.x1 = greatest(r.c1, g.c1) AND j.x2 = greatest(r.c2, g.c2))
 SELECT c0 || ',' || c1 || ',' || c2 AS grades FROM reach""",
         "fuzzy_concept_join": f"""WITH {NATION_INTENTS}

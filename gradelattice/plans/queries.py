@@ -24,6 +24,7 @@ REGISTRY: dict[str, Query] = {}
 ALPHA = 7           # cut of the crisp brand context
 TOP_LEVEL = 9       # grades counted as characteristic of an object
 SAMPLE_BUDGET = 120
+QUOTA = 200
 
 
 def query(fn: Query) -> Query:
@@ -424,11 +425,36 @@ def next_closure_order(spark, sf):
 
 @query
 def fuzzy_concepts_quota(spark, sf):
-    """The first twenty intents in lectic order."""
-    found = en.bounded_concepts(tables.nation_status(spark, sf), 20)
+    """The first 200 intents of all users' in lectic order."""
+    found = en.bounded_concepts(tables.user_event(spark, sf).staged(), QUOTA)
     return found.select(joined("grades").alias("grades"))
 
 
+@query
+def fuzzy_quota_work(spark, sf):
+    """Whether the first 200 intents took less than a twentieth of the closures that all of them take."""
+    closure = FuzzyClosure(tables.user_event(spark, sf).staged())
+    found, few = en.lectic_prefix(closure.ctx, QUOTA, closure)
+    _, every = en.fuzzy_enumeration(closure.ctx, closure=closure)
+    return found.agg(F.count(F.lit(1)).alias("intents")).withColumn("few_closures", F.lit(20 * few["closures"] < every["closures"]))
+
+
+@query
+def fuzzy_counters(spark, sf):
+    """Intents of all nations, raises tried for them, and those that led to no new one."""
+    return en.fuzzy_counters(*en.fuzzy_enumeration(tables.nation_status(spark, sf)))
+
+
+@query
+def metrics_log(spark, sf):
+    """Figures of the nations' fuzzy lattice and of its enumeration."""
+    closure = FuzzyClosure(tables.nation_status(spark, sf).staged())
+    intents, counts = en.fuzzy_enumeration(closure.ctx, closure=closure)
+    covers = stage(containment.fuzzy_covers(intents, closure), "cover-edges")
+    return metrics.metrics_log(intents.select(F.col("grades").alias("id")), metrics.edge_frame(covers, ["grades"], ["sup_grades"]),
+                               en.fuzzy_counters(intents, counts))
+
+
 @query
 def forced_bounds(spark, sf):
     return en.forced_bounds(tables.supplier_flag(spark, sf)).select("bound", joined("grades").alias("grades"))
@@ -565,10 +591,10 @@ def width_exact_languages(spark, sf):
 
 @query
 def fuzzy_join_closure(spark, sf):
-    """Joins of the intents that eight nations generate."""
+    """Joins of the intents that the nations generate."""
     ctx = tables.nation_status(spark, sf).staged()
     closure = FuzzyClosure(ctx)
-    gens = closure.close(ctx.frame.where("obj < 8")).select(F.col("closure").alias("grades"))
+    gens = closure.close(ctx.frame).select(F.col("closure").alias("grades"))
     return containment.fuzzy_join_closure(gens, closure).select(joined("grades").alias("grades"))
 
 

@@ -133,6 +133,45 @@ def test_quota(make):
         assert part == every[:quota]
 
 
+@pytest.mark.parametrize("resident", [True, False])
+def test_lectic_prefix_in_rounds(make, resident):
+    ctx = make([[3, 7, 5], [9, 4, 6], [2, 8, 1], [6, 6, 6]])
+    closure = FuzzyClosure(ctx) if resident else FuzzyClosure(ctx, resident_bytes=0, block_rows=3)
+    every = sorted(tuple(r.grades) for r in en.fuzzy_concepts(ctx).collect())
+    for quota in (0, 7, 60) if resident else (0, 7):
+        found, counts = en.lectic_prefix(ctx, quota, closure, first_budget=500, round_budget=2000)
+        assert sorted(tuple(r.grades) for r in found.collect()) == every[:quota]
+        assert counts["rounds"] > 1 or not quota
+
+
+def test_lectic_prefix_leaves_the_rest_alone(make):
+    rng = np.random.default_rng(5)
+    ctx = make(rng.integers(0, 11, (40, 5)))
+    closure = FuzzyClosure(ctx)
+    every, all_counts = en.fuzzy_enumeration(ctx, closure=closure)
+    grades = sorted(tuple(r.grades) for r in every.collect())
+    assert len(grades) > 4000
+    for budget in (en.FIRST_BUDGET, 20_000):
+        found, counts = en.lectic_prefix(ctx, 50, closure, first_budget=budget, round_budget=budget)
+        assert sorted(tuple(r.grades) for r in found.collect()) == grades[:50]
+        assert 20 * counts["closures"] < all_counts["closures"]
+
+
+def test_inherited_failures_save_closures(make):
+    rng = np.random.default_rng(8)
+    for rows in (rng.integers(0, 11, (12, 4)), rng.integers(0, 4, (6, 5))):
+        ctx = make(rows)
+        found, counts = en.fuzzy_enumeration(ctx)
+        apart, plain = en.fuzzy_enumeration(ctx, closure=FuzzyClosure(ctx, resident_bytes=0, block_rows=50))
+        grades = sorted(tuple(r.grades) for r in found.collect())
+        assert len(set(grades)) == len(grades) and grades == sorted(tuple(r.grades) for r in apart.collect())
+        assert counts["skipped"] > 0 and counts["closures"] - counts["rejected"] == len(grades)
+        small = en.fuzzy_enumeration(ctx, first_budget=300, round_budget=3000)
+        assert sorted(tuple(r.grades) for r in small[0].collect()) == grades
+        assert small[1]["closures"] + small[1]["skipped"] == counts["closures"] + counts["skipped"]
+        assert en.fuzzy_counters(found, counts).first().concepts == len(grades)
+
+
 def test_forced_bounds(make):
     rows = [[3, 7, 5], [9, 4, 6], [2, 8, 1], [6, 6, 6]]
     bounds = {r.bound: tuple(r.grades) for r in en.forced_bounds(make(rows)).collect()}
