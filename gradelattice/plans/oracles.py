@@ -425,6 +425,10 @@ SELECT a.obj, a.c0 || ',' || a.c1 || ',' || a.c2 AS a, b.c0 || ',' || b.c1 || ',
 FROM gens a JOIN gens b ON b.obj = a.obj + 1 JOIN cl j
   ON j.x0 = greatest(a.c0, b.c0) AND j.x1 = greatest(a.c1, b.c1) AND j.x2 = greatest(a.c2, b.c2)""",
         "incremental_hasse": modal_edges,
+        "incremental_hasse_fuzzy": fuzzy_covers,
+        "dominance_lookup": f"""WITH {ctx('user_event')}, {ctx('customer_priority')}, {wide('user_event', 'u')}, {wide('customer_priority', 'c')},
+rows_ AS (SELECT DISTINCT g FROM u)
+SELECT c.obj, array_to_string(r.g, ',') AS parent FROM c JOIN rows_ r ON {' AND '.join(f'r.g[{j}] >= c.g[{j}]' for j in range(1, 6))} AND r.g <> c.g""",
         "incremental_hasse_restart": modal_edges,
         "sqrt_quota": f"""WITH {SEG_CLOSED}, h AS (SELECT {CARD} card, count(*) n FROM closed GROUP BY 1),
 t AS (SELECT sum(sqrt(n)) FILTER (card > 0) total, {SAMPLE_BUDGET} - max((card = 0)::INT) budget FROM h)

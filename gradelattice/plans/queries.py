@@ -14,9 +14,10 @@ from gradelattice.operators import context as cx
 from gradelattice.operators import enumerate as en
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure
 from gradelattice.operators.context import Context
-from gradelattice.session import stage, stage_path
+from gradelattice.operators.dominance import DominanceIndex
+from gradelattice.session import stage, stage_observed, stage_path
 from gradelattice.sources import tables, text, writers
-from gradelattice.streaming.incremental import IncrementalLattice
+from gradelattice.streaming.incremental import IncrementalCovers, IncrementalLattice
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -622,6 +623,30 @@ def incremental_hasse(spark, sf):
     return lattice.edges
 
 
+@query
+def incremental_hasse_fuzzy(spark, sf):
+    """The nations' intents streamed in file by file; the maintained edges after the last batch."""
+    ctx = tables.nation_status(spark, sf)
+    folder = stage_path(spark, "intent-stream")
+    en.fuzzy_concepts(ctx).repartition(3, "grades").write.parquet(folder)
+    lattice = IncrementalCovers(spark, ctx.m, ctx.scale, stage_path(spark, "incremental-lattice"))
+    stream = spark.readStream.schema("grades array<int>").option("maxFilesPerTrigger", 1).parquet(folder)
+    lattice.start(stream, stage_path(spark, "stream-progress")).awaitTermination()
+    return lattice.covers.select(joined("grades").alias("child"), joined("sup_grades").alias("parent"))
+
+
+@query
+def dominance_lookup(spark, sf):
+    """The distinct user rows strictly above each customer's row of five grades."""
+    ctx = tables.user_event(spark, sf)
+    rows, seen = stage_observed(ctx.clarified().select("grades"), "user-rows", n=F.count(F.lit(1)))
+    asked, customers = stage_observed(tables.customer_priority(spark, sf).frame, "customer-rows", n=F.count(F.lit(1)))
+    index = DominanceIndex(spark, ctx.m, ctx.scale)
+    index.append(rows, seen["n"])
+    found = index.lookup(asked, customers["n"], seen["n"])
+    return found.select("obj", joined("found").alias("parent"))
+
+
 @query
 def incremental_hasse_restart(spark, sf):
     """Half of the concepts, a restart on the same state without new data, then the rest."""

@@ -11,7 +11,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from urllib.parse import unquote, urlparse
 
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +100,17 @@ def stage_observed(df: DataFrame, label: str, **values: Column) -> tuple[DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
+def staged_batches(paths: list[str], rows: int):
+    """Record batches of staged tables, read inside a task."""
+    for path in paths:
+        parsed = urlparse(path)
+        if parsed.scheme in ("", "file"):
+            files, name = fs.LocalFileSystem(), unquote(parsed.path)
+        else:
+            files, name = fs.FileSystem.from_uri(path)
+        yield from ds.dataset(name, filesystem=files, format="parquet").to_batches(batch_size=rows, batch_readahead=1, fragment_readahead=1)
+
+
 class Pile:
     """A staged table that grows by parts and reads back as one scan, however many parts it has."""
 

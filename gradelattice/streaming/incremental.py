@@ -1,74 +1,43 @@
 """Incremental maintenance of a cover relation.
 
-Sets arrive in batches; a batch touches only edges that involve a new set or
-that a new set now passes between.  The state is kept as per-batch deltas in the
-shared folder (new vertices, new edges, bypassed edges).  Sets are never taken
-back, so a bypassed edge never returns and the current edges are all added ones
-minus all bypassed ones.  A replayed batch overwrites its own delta only.  A
-marker is written after a delta, so an instance on the same folder goes on where
-the last complete batch ended.
+Vectors arrive in batches; a batch touches only edges that involve a new vector or that a new one now passes between.  The
+state is an append-only bitmap index of all vectors (``operators.dominance``) and deltas of edges added and bypassed, all in
+the shared folder.  A batch asks the index for the neighbours of its new vectors and reads neither old edges nor old
+vectors otherwise.  Vectors are never taken back, so a bypassed edge never returns and the current edges are all added ones
+minus all bypassed ones.  A replayed batch overwrites its own delta only.  A marker is written after a delta, so an instance
+on the same folder goes on where the last complete batch ended.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradelattice.functions import masks
-from gradelattice.operators.containment import cover_edges, minimal_supersets
-from gradelattice.session import stage
-
-
-def _flip(frame: DataFrame, cols: list[str], m: int) -> DataFrame:
-    """Complements: they turn subsets into supersets."""
-    full = masks.full_words(m)
-    return frame.select(*[F.bitwise_not(F.col(c)).bitwiseAND(F.lit(int(f))).alias(c) for c, f in zip(cols, full)])
-
-
-def insert_sets(vertices: DataFrame, edges: DataFrame, batch: DataFrame, m: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What a batch changes: new sets, new edges and bypassed edges (cols.., sup_cols..)."""
-    cols = masks.mask_cols(m)
-    sups = [f"sup_{c}" for c in cols]
-    new = stage(batch.select(*cols).distinct().join(vertices, cols, "left_anti"), "new-sets")
-    if new.isEmpty():
-        return new, edges.limit(0), edges.limit(0)
-    merged = vertices.select(*cols).unionByName(new)
-    up = minimal_supersets(new, merged, cols)
-    flipped = minimal_supersets(_flip(new, cols, m), _flip(merged, cols, m), cols)
-    full = masks.full_words(m)
-    def back(source: str, name: str, f):
-        return F.bitwise_not(F.col(source)).bitwiseAND(F.lit(int(f))).alias(name)
-    down = flipped.select(*[back(s, c, f) for s, c, f in zip(sups, cols, full)],
-                          *[back(c, s, f) for c, s, f in zip(cols, sups, full)])
-    fresh = stage(up.unionByName(down).distinct(), "new-edges")
-    # an old edge is bypassed when a new set covering its child lies strictly below its parent
-    mids = [f"mid_{c}" for c in cols]
-    risen = fresh.select(*cols, *[F.col(s).alias(x) for s, x in zip(sups, mids)]).join(
-        new.select(*[F.col(c).alias(x) for c, x in zip(cols, mids)]), mids, "left_semi")
-    test = masks.strict_subset([F.col(f"r.{x}") for x in mids], [F.col(f"e.{s}") for s in sups])
-    for c in cols:
-        test = test & (F.col(f"e.{c}") == F.col(f"r.{c}"))
-    bypassed = edges.alias("e").join(risen.alias("r"), test, "left_semi").select(*cols, *sups)
-    return new, fresh, bypassed
-
+from gradelattice.functions import kernels, masks
+from gradelattice.operators.closure import map_batches
+from gradelattice.operators.containment import cover_edges
+from gradelattice.operators.dominance import DominanceIndex
+from gradelattice.session import stage_observed
 
 COMPACT_EVERY = 16  # epochs between merged snapshots, so a read opens a bounded number of deltas
+PAIR = "kind int, grades array<int>, sup_grades array<int>"
+EDGE, BYPASSED = 0, 1
 
 
-class IncrementalLattice:
-    """Vertices and edges kept as deltas under a shared folder, fed by ``foreachBatch``.
+class IncrementalCovers:
+    """Cover relation of level vectors (``grades``) under a shared folder, fed by ``foreachBatch``.
 
     The folder outlives the instance: a new one continues with the state found there.
     """
 
-    def __init__(self, spark: SparkSession, m: int, folder: str):
-        self.spark, self.m = spark, m
-        self.cols = masks.mask_cols(m)
-        self.folder = folder
+    def __init__(self, spark: SparkSession, m: int, scale: int, folder: str):
+        self.spark, self.m, self.scale, self.folder = spark, m, scale, folder
         self.version = self._last_complete()
+        self._sizes: dict[int, int] = {}
 
     def _last_complete(self) -> int:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, "complete"))
@@ -78,60 +47,105 @@ class IncrementalLattice:
         return max((int(s.getPath().getName()[1:]) for s in files.listStatus(path)
                     if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))), default=-1)
 
-    def _schema(self, kind: str) -> str:
-        names = self.cols if kind == "vertices" else [*self.cols, *[f"sup_{c}" for c in self.cols]]
-        return ", ".join(f"{c} bigint" for c in names)
-
-    def _deltas(self, kind: str, version: int) -> DataFrame:
-        schema = self._schema(kind)
+    def _paths(self, kind: str, version: int) -> list[str]:
+        """Folders that together hold the state after epoch ``version``."""
         start = (version + 1) // COMPACT_EVERY * COMPACT_EVERY
-        paths = [os.path.join(self.folder, kind, f"v{v}") for v in range(start, version + 1)]
-        if start and kind != "bypassed":
-            paths.append(os.path.join(self.folder, kind, f"upto{start - 1}"))
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def _edges(self, version: int) -> DataFrame:
-        added = self._deltas("added", version)
-        return added.join(self._deltas("bypassed", version), added.columns, "left_anti")
+        paths = [os.path.join(self.folder, kind, f"upto{start - 1}")] if start else []
+        return paths + [os.path.join(self.folder, kind, f"v{v}") for v in range(start, version + 1)]
 
-    def _read(self, kind: str, version: int) -> DataFrame:
-        return self.spark.read.schema(self._schema(kind)).parquet(os.path.join(self.folder, kind, f"v{version}"))
+    def _size(self, version: int) -> int:
+        if version >= 0 and version not in self._sizes:
+            self._sizes[version] = self.spark.read.parquet(os.path.join(self.folder, "complete", f"v{version}")).first().size
+        return self._sizes.get(version, 0)
 
-    def _minus(self, edges: DataFrame, epoch: int) -> DataFrame:
-        """Edges before ``epoch`` with its delta applied."""
-        every = edges.unionByName(self._read("added", epoch))
-        return every.join(self._read("bypassed", epoch), every.columns, "left_anti")
+    def _vectors(self, paths: list[str]) -> DataFrame:
+        """``grades`` of all vertices, unpacked from parts of the index."""
+        m = self.m
+        if not paths:
+            return self.spark.createDataFrame([], "grades array<int>")
+        def fn(batch):
+            for cells in batch.column(0).to_pylist():
+                yield kernels.batch_of({"grades": kernels.grades_array(np.frombuffer(cells, np.int16).reshape(-1, m))})
+        return map_batches(self.spark.read.schema("cells binary").parquet(*paths), fn, "grades array<int>")
+
+    def _pairs(self, paths: list[str]) -> DataFrame:
+        """Edges added and not bypassed in the deltas of ``paths``."""
+        if not paths:
+            return self.spark.createDataFrame([], "grades array<int>, sup_grades array<int>")
+        every = self.spark.read.schema(PAIR).parquet(*paths)
+        edges, gone = (every.where(F.col("kind") == kind).drop("kind") for kind in (EDGE, BYPASSED))
+        return edges.join(gone, ["grades", "sup_grades"], "left_anti")
 
     @property
-    def vertices(self) -> DataFrame:
-        return self._deltas("vertices", self.version)
+    def grades(self) -> DataFrame:
+        return self._vectors(self._paths("index", self.version))
 
     @property
-    def edges(self) -> DataFrame:
-        return self._edges(self.version)
+    def covers(self) -> DataFrame:
+        """(grades, sup_grades), child below parent."""
+        return self._pairs(self._paths("pairs", self.version))
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
         """Add one batch as delta ``epoch``, on top of the deltas before it."""
-        old = self._deltas("vertices", epoch - 1), self._edges(epoch - 1)
-        for kind, delta in zip(("vertices", "added", "bypassed"), insert_sets(*old, batch, self.m)):
-            delta.write.mode("overwrite").parquet(os.path.join(self.folder, kind, f"v{epoch}"))
+        size = self._size(epoch - 1)
+        index = DominanceIndex(self.spark, self.m, self.scale, self._paths("index", epoch - 1))
+        asked, seen = stage_observed(batch.select("grades").distinct(), "batch", n=F.count(F.lit(1)))
+        fresh, seen = stage_observed(index.missing(asked, seen["n"] or 0, size), "new-vectors", n=F.count(F.lit(1)))
+        count = seen["n"] or 0
+        index.append(fresh, count, os.path.join(self.folder, "index", f"v{epoch}"), epoch)
+        found = index.neighbours(fresh, count, size + count, epoch)
+        found.write.mode("overwrite").parquet(os.path.join(self.folder, "pairs", f"v{epoch}"))
         if (epoch + 1) % COMPACT_EVERY == 0:
-            # the deltas since the last compaction, merged; later versions start from these
-            merged = {"vertices": old[0].unionByName(self._read("vertices", epoch)), "added": self._minus(old[1], epoch)}
-            for kind, frame in merged.items():
-                frame.write.mode("overwrite").parquet(os.path.join(self.folder, kind, f"upto{epoch}"))
-        marker = self.spark.createDataFrame([(epoch, self.m)], "epoch bigint, m int")
+            self._compact(epoch, size + count)
+        marker = self.spark.createDataFrame([(epoch, self.m, size + count)], "epoch bigint, m int, size bigint").coalesce(1)
         marker.write.mode("overwrite").parquet(os.path.join(self.folder, "complete", f"v{epoch}"))
-        self.version = epoch
+        self.version, self._sizes[epoch] = epoch, size + count
+
+    def _compact(self, epoch: int, size: int) -> None:
+        """Merge the deltas since the last compaction with what it left; later versions start from there."""
+        older = [[*self._paths(kind, epoch - 1), os.path.join(self.folder, kind, f"v{epoch}")] for kind in ("index", "pairs")]
+        every = self._vectors(older[0])
+        DominanceIndex(self.spark, self.m, self.scale).append(every, size, os.path.join(self.folder, "index", f"upto{epoch}"), epoch=-1)
+        kept = self._pairs(older[1]).select(F.lit(EDGE).alias("kind"), "grades", "sup_grades")
+        kept.write.mode("overwrite").parquet(os.path.join(self.folder, "pairs", f"upto{epoch}"))
+
+    def _incoming(self, stream: DataFrame) -> DataFrame:
+        return stream.select("grades")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Consume a stream of masks; ``trigger`` as for ``DataStreamWriter.trigger``."""
-        return (stream.select(*self.cols).writeStream.foreachBatch(self.apply)
+        """Consume a stream; ``trigger`` as for ``DataStreamWriter.trigger``."""
+        return (self._incoming(stream).writeStream.foreachBatch(self.apply)
                 .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
+class IncrementalLattice(IncrementalCovers):
+    """The same for attribute sets given as masks: vectors of the levels 0 and 1."""
+
+    def __init__(self, spark: SparkSession, m: int, folder: str):
+        super().__init__(spark, m, 1, folder)
+        self.cols = masks.mask_cols(m)
+
+    def _incoming(self, stream: DataFrame) -> DataFrame:
+        return stream.select(*self.cols)
+
+    def _masks(self, grades: Column, stem: str) -> list[Column]:
+        return masks.mask_where(grades, self.m, lambda g: g > 0, stem)
+
+    @property
+    def vertices(self) -> DataFrame:
+        return self.grades.select(*self._masks(F.col("grades"), "mask"))
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.covers.select(*self._masks(F.col("grades"), "mask"), *self._masks(F.col("sup_grades"), "sup_mask"))
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        """Add one batch of masks as delta ``epoch``."""
+        words = [F.col(c) for c in self.cols]
+        bits = [F.shiftright(words[j // masks.WORD_BITS], j % masks.WORD_BITS).bitwiseAND(F.lit(1)).cast("int") for j in range(self.m)]
+        super().apply(batch.select(F.array(*bits).alias("grades")), epoch)
+
+
 def batch_covers(sets: DataFrame, m: int) -> DataFrame:
     """What the incremental state must equal after all batches."""
     return cover_edges(sets.distinct(), masks.mask_cols(m))

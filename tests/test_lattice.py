@@ -3,11 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradelattice.functions.fuzzy import Implication
-from gradelattice.operators import containment, metrics
+from gradelattice.operators import containment, dominance, metrics
 from gradelattice.operators import enumerate as en
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure
 from gradelattice.streaming import incremental
-from gradelattice.streaming.incremental import IncrementalLattice, batch_covers
+from gradelattice.streaming.incremental import IncrementalCovers, IncrementalLattice, batch_covers
 from tests import brute
 
 
@@ -180,3 +180,47 @@ def test_fuzzy_join_closure(spark, make):
     pairs = spark.createDataFrame([(list(map(int, a)), list(map(int, b))) for a in gens for b in gens], "a array<int>, b array<int>")
     for r in containment.fuzzy_join(pairs, "a", "b", closure).collect():
         assert tuple(r.joined) == brute.fuzzy_closure(rows, tuple(map(max, r.a, r.b)), "lukasiewicz")
+
+
+def dominated(a, b):
+    return a != b and all(x <= y for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("every", [16, 2])
+def test_incremental_fuzzy_equals_batch(spark, monkeypatch, tmp_path, every):
+    monkeypatch.setattr(incremental, "COMPACT_EVERY", every)
+    rng = np.random.default_rng(4)
+    vectors = list({tuple(map(int, v)) for v in rng.integers(0, 5, (70, 3))})
+    lattice = IncrementalCovers(spark, 3, 4, str(tmp_path / "state"))
+    def batch(part):
+        return spark.createDataFrame([(list(v),) for v in part], "grades array<int>")
+    for epoch in range(3):
+        lattice.apply(batch(vectors[epoch::3] + vectors[:2]), epoch)
+    lattice.apply(batch(vectors[2::3]), 2)  # replayed
+    lattice.apply(batch([]), 3)
+    for state in (lattice, IncrementalCovers(spark, 3, 4, str(tmp_path / "state"))):
+        found = [(tuple(r.grades), tuple(r.sup_grades)) for r in state.covers.collect()]
+        assert len(found) == len(set(found)) and set(found) == brute.covers(vectors, dominated)
+        assert sorted(tuple(r.grades) for r in state.grades.collect()) == sorted(vectors)
+
+
+def test_dominance_index(spark):
+    rng = np.random.default_rng(6)
+    vectors = list({tuple(map(int, v)) for v in rng.integers(0, 7, (90, 4))})
+    asked = vectors[:20] + [tuple(map(int, v)) for v in rng.integers(0, 7, (30, 4))] + [(0,) * 4, (6,) * 4]
+    def frame(rows, schema="grades array<int>"):
+        return spark.createDataFrame([(list(v),) for v in rows], schema)
+    index = dominance.DominanceIndex(spark, 4, 6)
+    index.append(frame(vectors[:50]), 50, segment=16)
+    index.append(frame(vectors[50:]), len(vectors) - 50)
+    index.append(frame([]), 0)
+    questions = spark.createDataFrame([(k, list(v)) for k, v in enumerate(asked)], "q int, grades array<int>")
+    for upward in (True, False):
+        for strict in (True, False):
+            got = sorted((r.q, tuple(r.found)) for r in index.lookup(questions, 52, 90, upward=upward, strict=strict).collect())
+            def held(v, a):
+                low, high = (a, v) if upward else (v, a)
+                return all(x <= y for x, y in zip(low, high)) and (not strict or v != a)
+            assert got == sorted((k, v) for k, a in enumerate(asked) for v in vectors if held(v, a))
+    absent = sorted(r.q for r in index.missing(questions, 52, 1 << 30).collect())
+    assert absent == [k for k, a in enumerate(asked) if a not in vectors]
