@@ -110,26 +110,6 @@ def subset_counts(left: DataFrame, right: DataFrame, cols: list[str], label: str
     return right.join(counted, cols, "left").select(*right.columns, F.coalesce(label, F.lit(0).cast("bigint")).alias(label))
 
 
-def level_counts(right: DataFrame, pools: dict[str, np.ndarray], cols: list[str]) -> DataFrame:
-    """Append, per named pool of sets, how many of them each row contains; one pass, pools broadcast.
-
-    The caller vouches for the size of the pools.
-    """
-    keep, labels = list(right.columns), list(pools)
-    bc = right.sparkSession.sparkContext.broadcast(list(pools.values()))
-    def fn(batch):
-        sets = kernels.words_of(batch, cols)
-        counts = {}
-        for label, pool in zip(labels, bc.value):
-            n = np.zeros(len(sets), np.int64)
-            for part in kernels.chunks(len(sets), max(1, len(pool))):
-                n[part] = _contained(pool, sets[part]).sum(axis=0)
-            counts[label] = n
-        yield kernels.batch_of({c: batch.column(i) for i, c in enumerate(keep)} | counts)
-    schema = ", ".join([ddl(right, keep), *[f"{label} bigint" for label in labels]])
-    return map_batches(right, fn, schema)
-
-
 def _holds_any(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
     """For each row of ``outer``: does it contain some row of ``inner``?"""
     hit = np.zeros(len(outer), bool)

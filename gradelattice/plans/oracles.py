@@ -7,7 +7,7 @@ DataFrame operators.
 
 from __future__ import annotations
 
-ALPHA, TOP_LEVEL, SAMPLE_BUDGET, QUOTA = 7, 9, 120, 200
+ALPHA, TOP_LEVEL, SAMPLE_BUDGET, SAMPLE_LINES, QUOTA = 7, 9, 120, 20, 200
 
 
 def _case(col: str, values: tuple[str, ...]) -> str:
@@ -230,6 +230,35 @@ least_steps AS (SELECT mask, {_six('s{i}')} FROM steps a WHERE NOT EXISTS (SELEC
 covers AS (SELECT l.mask child, c.mask parent FROM least_steps l JOIN closed c ON {_six('s{i} = e{i}', ' AND ')})"""
 
 
+def sample(rows: str, m: int, maxn: int, key: str) -> str:
+    """``sampled``: the selection among ``rows`` (mask, card, key), one step for each cardinality.
+
+    ``quotas`` first takes a share for each stratum, then places from the largest one, the smallest card first, until they fit.
+    """
+    out = f"""h AS (SELECT card, count(*) n FROM {rows} GROUP BY 1),
+share AS (SELECT card, (CASE WHEN card = 0 THEN 1 ELSE least(n, greatest(1, floor(sqrt(n) / total * budget))) END)::BIGINT q
+  FROM h, (SELECT sum(sqrt(n)) FILTER (card > 0) total, {maxn} - max((card = 0)::INT) budget FROM h)),
+trimmed(c, q) AS (SELECT list(card ORDER BY card), list(q ORDER BY card) FROM share
+  UNION ALL SELECT c, list_transform(q, lambda x, i: x - (i = list_position(list_transform(q, lambda y, k: CASE WHEN c[k] = 0 THEN 0 ELSE y END),
+    list_max(list_transform(q, lambda y, k: CASE WHEN c[k] = 0 THEN 0 ELSE y END))))::BIGINT)
+  FROM trimmed WHERE list_sum(q) > {maxn} AND list_max(list_transform(q, lambda y, k: CASE WHEN c[k] = 0 THEN 0 ELSE y END)) > 1),
+quotas AS (SELECT unnest(c) card, unnest(q) quota FROM (SELECT * FROM trimmed ORDER BY list_sum(q) LIMIT 1)),
+keyed AS MATERIALIZED (SELECT *, md5('42:' || card || ':' || {key}) ord FROM {rows}),
+sampled_0 AS MATERIALIZED (SELECT *, 0::BIGINT links FROM keyed WHERE card = 0
+  QUALIFY row_number() OVER (ORDER BY ord, mask, {key}) <= (SELECT coalesce(max(quota), 0) FROM quotas WHERE card = 0)),"""
+    for c in range(1, m + 1):
+        out += f"""
+linked_{c} AS (SELECT k.*, count(p.mask) FILTER (p.card > l.top - 1) l1, count(p.mask) FILTER (p.card > l.top - 2) l2,
+    count(p.mask) FILTER (p.card > l.top - 3) l3
+  FROM (SELECT * FROM keyed WHERE card = {c}) k CROSS JOIN (SELECT max(card) top FROM sampled_{c - 1}) l
+    LEFT JOIN sampled_{c - 1} p ON (p.mask & ~k.mask) = 0 GROUP BY ALL),
+sampled_{c} AS MATERIALIZED (SELECT * FROM sampled_{c - 1} UNION ALL
+  SELECT * EXCLUDE (l1, l2, l3), CASE WHEN l1 > 0 THEN l1 WHEN l2 > 0 THEN l2 ELSE l3 END links FROM linked_{c}
+  QUALIFY row_number() OVER (ORDER BY CASE WHEN l1 > 0 THEN 0 WHEN l2 > 0 THEN 1 WHEN l3 > 0 THEN 2 ELSE 3 END, links DESC, ord, mask, {key})
+    <= (SELECT coalesce(max(quota), 0) FROM quotas WHERE card = {c})),"""
+    return out + f" sampled AS (SELECT * FROM sampled_{m})"
+
+
 def graph_select(body: str) -> str:
     return f"WITH RECURSIVE {CRISP_COVERS}, {LEVELS} {body}"
 
@@ -434,6 +463,14 @@ SELECT c.obj, array_to_string(r.g, ',') AS parent FROM c JOIN rows_ r ON {' AND
 t AS (SELECT sum(sqrt(n)) FILTER (card > 0) total, {SAMPLE_BUDGET} - max((card = 0)::INT) budget FROM h)
 SELECT card, n, (CASE WHEN card = 0 THEN 1 ELSE least(n, greatest(1, floor(sqrt(n) / total * budget))) END)::BIGINT quota FROM h, t""",
         "link_score": f"WITH {SEG_CLOSED} SELECT b.mask, count(*) links FROM closed a JOIN closed b ON (a.mask & ~b.mask) = 0 GROUP BY b.mask",
+        "quota_sample": f"""WITH RECURSIVE {SEG_CLOSED}, sized AS (SELECT mask, {CARD} card FROM closed),
+{sample('sized', 12, SAMPLE_BUDGET, 'mask')} SELECT mask, card, ord, links FROM sampled""",
+        "quota_sample_types": f"""WITH RECURSIVE {TYPE_CONCEPTS}, sized AS (SELECT mask, {CARD} card FROM closed),
+{sample('sized', 50, 5000, 'mask')} SELECT mask, card, ord, links FROM sampled""",
+        "sample_lines": f"""WITH RECURSIVE {fixpoints('nation_status', luk)}, t AS (SELECT *, {FUZZY_ORDER} p, {INTENT3} txt FROM fixed),
+listed AS (SELECT (y0 > 0)::BIGINT + 2 * (y1 > 0)::BIGINT + 4 * (y2 > 0)::BIGINT mask, p + 1 AS line,
+  'I' || CASE WHEN txt = '' THEN '' ELSE ' ' || txt END AS value, ((y0 > 0)::INT + (y1 > 0)::INT + (y2 > 0)::INT)::INT card FROM t),
+{sample('listed', 3, SAMPLE_LINES, 'line')} SELECT line, value, mask, card, links FROM sampled""",
         "dot_lines": dot,
         "dot_directed_lines": dot_directed,
         "edge_list": f"WITH {RANKED_EDGES} SELECT child pos, parent sub, child || ' ' || parent AS value FROM edges",

@@ -25,6 +25,7 @@ REGISTRY: dict[str, Query] = {}
 ALPHA = 7           # cut of the crisp brand context
 TOP_LEVEL = 9       # grades counted as characteristic of an object
 SAMPLE_BUDGET = 120
+SAMPLE_LINES = 20
 QUOTA = 200
 
 
@@ -697,6 +698,13 @@ def quota_sample(spark, sf):
     return sampling.quota_sample(en.concepts(ctx), ctx.m, SAMPLE_BUDGET)
 
 
+@query
+def sample_lines(spark, sf):
+    """Lines of an intent file, sampled by their supports; lines of one support stay apart."""
+    rows = text.scan_sample_input(spark, _intent_file(spark, sf))
+    return sampling.quota_sample(rows, 3, SAMPLE_LINES, key="line").select("line", "value", "mask", "card", "links")
+
+
 # ---------------------------------------------------------------- text formats
 
 

@@ -89,10 +89,21 @@ def test_sample(spark, monkeypatch, maxn, levels):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
-def test_sample_through_segments(spark, monkeypatch):
+def test_rows_of_one_set_stay_apart(spark):
+    rows = [(n, f"line {n}", brute.mask(s)) for n, s in enumerate(s for s in random_sets(6, 40, 5) for _ in range(3))]
+    frame = spark.createDataFrame(rows, "line bigint, value string, mask bigint").repartition(3)
+    got = sampling.quota_sample(frame, 5, 50, key="line").collect()
+    quotas = sampling.sqrt_quota(sampling.card_histogram(frame, 5), 50)
+    assert len({r.line for r in got}) == len(got) == sum(quotas.values())
+    assert all((r.line, r.value, r.mask) in set(rows) for r in got)
+    assert {c: sum(r.card == c for r in got) for c in quotas} == quotas
+    assert len({r.mask for r in got}) < len(got)
+    assert sampling.quota_sample(frame.limit(0), 5, 50, key="line").count() == 0
+
+
+def test_sample_by_rank(spark, monkeypatch):
     sets = random_sets(5, 80, 7)
-    frame = spark.createDataFrame([(brute.mask(s),) for s in sets], "mask bigint")
-    monkeypatch.setattr(sampling, "POOL_ROWS", 0)
+    frame = spark.createDataFrame([(brute.mask(s),) for s in sets], "mask bigint").repartition(4)
     monkeypatch.setattr(enumerate_, "TOP_ROWS", 2)
     got = {brute.members(r.mask) for r in sampling.quota_sample(frame, 7, 30).collect()}
     assert got == brute_sample(sets, 30, 42, 1)
