@@ -5,24 +5,27 @@ Fuzzy dominance is containment too: a level vector becomes the set of
 
 For a complete closure system the upper covers of a set come from closing its
 one-step enlargements; no two members are ever compared.  Any other family is
-ranked by size and packed into blocks of bounded length; a row for each pair of
-blocks whose sizes allow containment goes to the executors, which compare the
-two blocks where they are.  Neither the driver nor a broadcast sees a family.
+staged, in order of size once it is large; a task holds a block of sets and
+streams the other side past it from the staged table, without what its sizes
+rule out.  Neither the driver nor a broadcast nor a shuffle sees pairs, and what
+a set needs of the family comes together in the task that holds it.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelattice.functions import fuzzy, kernels, masks
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure, ddl, map_batches
-from gradelattice.operators.enumerate import ordered_rank
-from gradelattice.session import ship_package, stage, stage_observed
+from gradelattice.session import Observation, ship_package, stage, stage_path, staged_batches
 
-BLOCK_ROWS = 1 << 12  # members of a block; a pair of blocks is one unit of work
-MOST_TASKS = 1 << 14
+BLOCK_ROWS = 1 << 12    # sets that a task holds while the other side passes
+STREAM_ROWS = 1 << 14   # sets of the other side compared at once
+LEAST_WORK = 1 << 26    # pairs of sets that are worth a task
+SORTED_ROWS = 1 << 18   # families from this size on are staged in order of size
 
 
 def thermometer(grades: Column, m: int, scale: int, stem: str = "mask") -> list[Column]:
@@ -37,39 +40,43 @@ def from_thermometer(cols: list[str], m: int, scale: int) -> Column:
     return F.array(*[sum((held(j, level) for level in range(1, scale)), held(j, 0)) for j in range(m)])
 
 
-def _blocks(family: DataFrame, cols: list[str], side: str, block_rows: int) -> tuple[DataFrame, int]:
-    """(block, lo, hi, members) staged, and the number of blocks: members in order of size, with the sizes at both ends."""
-    sized = family.select(*cols, masks.card([F.col(c) for c in cols]).alias("_card"))
-    ranked = ordered_rank(sized, ["_card", *cols], "_rank")
-    block = F.expr(f"_rank div {max(1, block_rows // len(cols))}")
-    packed = ranked.groupBy(block.alias(f"{side}_block")).agg(
-        F.min("_card").alias(f"{side}_lo"), F.max("_card").alias(f"{side}_hi"),
-        F.collect_list(F.struct(*cols)).alias(f"{side}_members"))  # at most block_rows
-    out, seen = stage_observed(packed, f"blocks-{side}", n=F.count(F.lit(1)))
-    return out, seen["n"] or 0
+def _staged(family: DataFrame, cols: list[str], label: str) -> tuple[str, int]:
+    """Path of a table of the sets with their sizes (``_card``), and how many there are."""
+    spark = family.sparkSession
+    sized, path, seen = family.select(*cols, masks.card([F.col(c) for c in cols]).alias("_card")), stage_path(spark, label), Observation()
+    sized.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    n = seen.get["n"] or 0
+    if n >= SORTED_ROWS:
+        unsorted, path = spark.read.schema(sized.schema).parquet(path), stage_path(spark, label)
+        unsorted.repartitionByRange(-(-n // SORTED_ROWS), "_card", *cols).sortWithinPartitions("_card", *cols).write.parquet(path)
+    return path, n
 
 
-def _block_pairs(small: DataFrame, large: DataFrame, cols: list[str], block_rows: int, sizes_matter: bool = True) -> DataFrame:
-    """(a_members, b_members) for all pairs of blocks in which a set of ``small`` may lie inside one of ``large``."""
-    a, n_a = _blocks(small, cols, "a", block_rows)
-    b, n_b = _blocks(large, cols, "b", block_rows)
-    pairs = a.select("a_block", "a_lo").withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_b - 1)))))
-    pairs = pairs.join(b.select("b_block", "b_hi"), "b_block")
-    if sizes_matter:
-        pairs = pairs.where("b_hi >= a_lo")
-    joined = pairs.select("a_block", "b_block").join(a.select("a_block", "a_members"), "a_block").join(
-        b.select("b_block", "b_members"), "b_block")
-    return joined.select("a_members", "b_members").repartition(max(1, min(MOST_TASKS, n_a * n_b)))
+def _against(held: DataFrame, other: DataFrame, cols: list[str], fn, schema: str, block_rows: int, upward: bool | None = True) -> DataFrame:
+    """``fn(block, stream)`` for blocks of ``held``; ``stream()`` passes the words of ``other`` anew.
 
-
-def _words(members, cols: list[str]) -> np.ndarray:
-    """Word matrix of one packed block."""
-    return np.stack([members.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols], axis=1)
-
-
-def _each_pair(batch, cols: list[str]):
-    for a, b in zip(batch.column(0), batch.column(1)):
-        yield _words(a, cols), _words(b, cols)
+    With ``upward``, only sets of ``other`` at least as large as the smallest of the block come; if it is False, at most as
+    large as the largest; all of them if it is None.
+    """
+    spark = held.sparkSession
+    path, n_other = _staged(other, cols, "family")
+    held_path, n_held = (path, n_other) if held is other else _staged(held, cols, "sets")
+    def run(batches):
+        for batch in batches:
+            words = kernels.words_of(batch, cols)
+            for a in range(0, len(words), block_rows):
+                block = words[a:a + block_rows]
+                sizes = kernels.popcount(block)
+                near = None if upward is None else ds.field("_card") >= int(sizes.min()) if upward else ds.field("_card") <= int(sizes.max())
+                def stream():
+                    for part in staged_batches([path], STREAM_ROWS, near):
+                        if part.num_rows:
+                            yield kernels.words_of(part, cols)
+                yield from fn(block, stream)
+    tasks = max(1, min(-(-n_held // 64), n_held * n_other // LEAST_WORK))
+    rows = spark.read.schema(", ".join(f"{c} bigint" for c in cols)).parquet(held_path)
+    ship_package(spark)
+    return (rows.repartition(tasks) if tasks > 1 else rows.coalesce(1)).mapInArrow(run, schema)
 
 
 def _contained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,29 +91,30 @@ def subset_pairs(left: DataFrame, right: DataFrame, cols: list[str], strict: boo
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All (a, b) with a in ``left`` contained in b in ``right``; columns ``cols`` and ``sup_*``."""
     sups = [f"sup_{c}" for c in cols]
-    def fn(batch):
-        for a, b in _each_pair(batch, cols):
+    def fn(a, stream):
+        for b in stream():
             for part in kernels.chunks(len(a), max(1, len(b))):
                 inside = _contained(a[part], b)
                 if strict:
                     inside &= ~_contained(b, a[part]).T
                 i, k = np.nonzero(inside)
                 yield kernels.batch_of(kernels.word_dict(a[part][i], cols) | kernels.word_dict(b[k], sups))
-    return map_batches(_block_pairs(left, right, cols, block_rows), fn, ", ".join(f"{c} bigint" for c in [*cols, *sups]))
+    return _against(left, right, cols, fn, ", ".join(f"{c} bigint" for c in [*cols, *sups]), block_rows)
 
 
 def subset_counts(left: DataFrame, right: DataFrame, cols: list[str], label: str,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Append to ``right`` the number of ``left`` sets contained in each; no pairs are built, only counts by block."""
-    def fn(batch):
-        for a, b in _each_pair(batch, cols):
-            n = np.zeros(len(b), np.int64)
+    """Append to ``right`` the number of ``left`` sets contained in each; no pairs are built, and counts are whole where they are made."""
+    def fn(b, stream):
+        n = np.zeros(len(b), np.int64)
+        for a in stream():
             for part in kernels.chunks(len(b), max(1, len(a))):
-                n[part] = _contained(a, b[part]).sum(axis=0)
-            some = n > 0
-            yield kernels.batch_of(kernels.word_dict(b[some], cols) | {label: n[some]})
-    pairs = _block_pairs(left, right.select(*cols).distinct(), cols, block_rows)
-    counted = map_batches(pairs, fn, ", ".join(f"{c} bigint" for c in [*cols, label])).groupBy(*cols).agg(F.sum(label).alias(label))
+                n[part] += _contained(a, b[part]).sum(axis=0)
+        yield kernels.batch_of(kernels.word_dict(b, cols) | {label: n})
+    held = right if list(right.columns) == cols and right is left else right.select(*cols).distinct()
+    counted = _against(held, left, cols, fn, ", ".join(f"{c} bigint" for c in [*cols, label]), block_rows, upward=False)
+    if held is right:
+        return counted.select(*cols, label)
     return right.join(counted, cols, "left").select(*right.columns, F.coalesce(label, F.lit(0).cast("bigint")).alias(label))
 
 
@@ -139,57 +147,26 @@ def _minimal(sups: np.ndarray) -> np.ndarray:
 def minimal_supersets(sets: DataFrame, family: DataFrame, cols: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(cols.., sup_cols..): for each set, the minimal members of ``family`` strictly above it.
 
-    A pair of blocks keeps, for each set of one, the minimal supersets within the
-    other; what a set keeps from all blocks is then reduced once more.
+    While the family passes, a set keeps the minimal supersets met so far, which in the end are its covers: no list is
+    longer than those of one size.
     """
     sups = [f"sup_{c}" for c in cols]
-    schema = ", ".join(f"{c} bigint" for c in [*cols, *sups])
-    def rows(a, b):
-        return kernels.batch_of(kernels.word_dict(a, cols) | kernels.word_dict(b, sups))
-    def local(batch):
-        for a, b in _each_pair(batch, cols):
+    def fn(a, stream):
+        kept: list[np.ndarray] = [a[:0]] * len(a)
+        for b in stream():
             for part in kernels.chunks(len(a), max(1, len(b))):
-                base = a[part]
-                inside = _contained(base, b) & ~_contained(b, base).T
-                n = inside.sum(axis=1)
-                i, k = np.nonzero(inside & (n == 1)[:, None])
-                owners, found = [base[i]], [b[k]]
-                for i in np.nonzero(n > 1)[0]:
-                    least = _minimal(b[inside[i]])
-                    owners.append(np.repeat(base[i][None, :], len(least), axis=0))
-                    found.append(least)
-                yield rows(np.concatenate(owners), np.concatenate(found))
-    width = len(cols)
-    def reduced(words):
-        start = np.ones(len(words), bool)
-        start[1:] = (words[1:, :width] != words[:-1, :width]).any(axis=1)
-        at = np.append(np.nonzero(start)[0], len(words))
-        single = np.repeat(np.diff(at) == 1, np.diff(at))
-        out = [words[single]]
-        for lo, hi in zip(at[:-1], at[1:]):
-            if hi - lo > 1:
-                least = _minimal(words[lo:hi, width:])
-                out.append(np.concatenate([np.repeat(words[lo:lo + 1, :width], len(least), axis=0), least], axis=1))
-        return np.concatenate(out)
-    def overall(batches):
-        held = None
-        for batch in batches:
-            words = kernels.words_of(batch, [*cols, *sups])
-            words = words if held is None else np.concatenate([held, words])
-            if not len(words):
-                continue
-            same = (words[:, :width] == words[-1, :width]).all(axis=1)
-            cut = len(words) - int(same[::-1].argmin() or same.all() * len(words))  # the last set may go on
-            if cut:
-                done = reduced(words[:cut])
-                yield rows(done[:, :width], done[:, width:])
-            held = words[cut:]
-        if held is not None and len(held):
-            done = reduced(held)
-            yield rows(done[:, :width], done[:, width:])
-    found = stage(map_batches(_block_pairs(sets, family, cols, block_rows), local, schema), "local-covers")
-    ship_package(found.sparkSession)
-    return stage(found.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(overall, schema), "covers")
+                inside = _contained(a[part], b) & ~_contained(b, a[part]).T
+                for i in np.nonzero(inside.any(axis=1))[0]:
+                    old, new = kept[part.start + i], b[inside[i]]
+                    if len(old):
+                        new = new[~_holds_any(old, new)]
+                        if not len(new):
+                            continue
+                    kept[part.start + i] = _minimal(np.concatenate([old, new]))
+        n = [len(k) for k in kept]
+        yield kernels.batch_of(kernels.word_dict(np.repeat(a, n, axis=0), cols) | kernels.word_dict(np.concatenate(kept), sups))
+    found = _against(sets, family, cols, fn, ", ".join(f"{c} bigint" for c in [*cols, *sups]), block_rows)
+    return stage(found, "covers")
 
 
 def cover_edges(family: DataFrame, cols: list[str], **limits) -> DataFrame:
@@ -297,14 +274,14 @@ def _joined(start: DataFrame, cols: list[str], close, block_rows: int) -> DataFr
     """
     seen = stage(start.select(*cols).distinct(), "joins")
     base, delta = seen, seen
-    def fn(batch):
-        for a, b in _each_pair(batch, cols):
+    def fn(a, stream):
+        for b in stream():
             for part in kernels.chunks(len(a), max(1, len(b)) * a.shape[1]):
                 both = (a[part, None, :] | b[None, :, :]).reshape(-1, a.shape[1])
                 yield kernels.batch_of(kernels.word_dict(np.unique(both, axis=0), cols))
     while not delta.isEmpty():
-        pairs = _block_pairs(delta, base, cols, block_rows, sizes_matter=False)
-        closed = close(map_batches(pairs, fn, ", ".join(f"{c} bigint" for c in cols)).distinct()).distinct()
+        unions = _against(delta, base, cols, fn, ", ".join(f"{c} bigint" for c in cols), block_rows, upward=None)
+        closed = close(unions.distinct()).distinct()
         delta = stage(closed.join(seen, cols, "left_anti"), "joins-new")
         seen = seen.unionByName(delta)
     return seen

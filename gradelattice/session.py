@@ -100,15 +100,15 @@ def stage_observed(df: DataFrame, label: str, **values: Column) -> tuple[DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
-def staged_batches(paths: list[str], rows: int):
-    """Record batches of staged tables, read inside a task."""
+def staged_batches(paths: list[str], rows: int, where: ds.Expression | None = None):
+    """Record batches of staged tables, read inside a task; ``where`` also skips row groups by their statistics."""
     for path in paths:
         parsed = urlparse(path)
         if parsed.scheme in ("", "file"):
             files, name = fs.LocalFileSystem(), unquote(parsed.path)
         else:
             files, name = fs.FileSystem.from_uri(path)
-        yield from ds.dataset(name, filesystem=files, format="parquet").to_batches(batch_size=rows, batch_readahead=1, fragment_readahead=1)
+        yield from ds.dataset(name, filesystem=files, format="parquet").to_batches(filter=where, batch_size=rows, batch_readahead=1, fragment_readahead=1)
 
 
 class Pile:
