@@ -230,6 +230,19 @@ least_steps AS (SELECT mask, {_six('s{i}')} FROM steps a WHERE NOT EXISTS (SELEC
 covers AS (SELECT l.mask child, c.mask parent FROM least_steps l JOIN closed c ON {_six('s{i} = e{i}', ' AND ')})"""
 
 
+def real(m: int) -> str:
+    """``real(obj, attr, q)``: the first components of the vectors, as they are."""
+    return f"real AS (SELECT vec_id obj, j::INT attr, embedding[j + 1]::DOUBLE q FROM embeddings, range({m}) r(j))"
+
+
+# Nominal scaling of the types' sizes: concepts by the set of six objects their attributes reach.
+WIDE = f"""{scaled('type_size')}, numbered AS (SELECT obj, dense_rank() OVER (ORDER BY obj) - 1 o FROM (SELECT DISTINCT obj FROM type_size)),
+cols AS (SELECT crisp_attr, sum(1::BIGINT << o)::BIGINT ext FROM type_size JOIN smap ON attr = fuzzy_attr AND q = value JOIN numbered USING (obj) GROUP BY 1),
+reach AS (SELECT o.range, bit_or(ext) mask, string_agg(crisp_attr::VARCHAR, ',' ORDER BY crisp_attr) attrs, count(crisp_attr)::INT card
+  FROM range(64) o LEFT JOIN cols ON (ext & ~o.range) = 0 GROUP BY 1),
+closed AS (SELECT DISTINCT coalesce(mask, 0) mask, coalesce(attrs, '') attrs, card FROM reach)"""
+
+
 def sample(rows: str, m: int, maxn: int, key: str) -> str:
     """``sampled``: the selection among ``rows`` (mask, card, key), one step for each cardinality.
 
@@ -471,6 +484,18 @@ SELECT card, n, (CASE WHEN card = 0 THEN 1 ELSE least(n, greatest(1, floor(sqrt(
 listed AS (SELECT (y0 > 0)::BIGINT + 2 * (y1 > 0)::BIGINT + 4 * (y2 > 0)::BIGINT mask, p + 1 AS line,
   'I' || CASE WHEN txt = '' THEN '' ELSE ' ' || txt END AS value, ((y0 > 0)::INT + (y1 > 0)::INT + (y2 > 0)::INT)::INT card FROM t),
 {sample('listed', 3, SAMPLE_LINES, 'line')} SELECT line, value, mask, card, links FROM sampled""",
+        "concepts_real": f"WITH {real(10)}, {closures('real', 10)} {concept_rows}",
+        "closure_real": f"""WITH {real(10)}, {closures('real', 10)} SELECT obj, mask, cl closure
+FROM (SELECT obj, sum(CASE WHEN q >= 0.1::DOUBLE THEN 1::BIGINT << attr ELSE 0 END)::BIGINT mask FROM real GROUP BY obj) JOIN cltab USING (mask)""",
+        "extents_real": f"""WITH {real(4)}, {closures('real', 4)}
+SELECT mask, obj, max(CASE WHEN ((mask >> attr) & 1) = 1 AND q > 0 THEN q ELSE 0 END)::DOUBLE ext FROM closed, real GROUP BY mask, obj""",
+        "scaling_map_real": f"""WITH {real(4)} SELECT row_number() OVER (ORDER BY attr, q) - 1 AS crisp_attr, attr fuzzy_attr, q AS value
+FROM (SELECT DISTINCT attr, q FROM real WHERE q > 1e-9::DOUBLE)""",
+        "scan_real": f"""WITH {real(6)} SELECT dense_rank() OVER (ORDER BY obj) - 1 AS obj, attr, (q >= 0.0625::DOUBLE)::INT q FROM real""",
+        "concepts_wide": f"WITH {WIDE} SELECT attrs, card FROM closed",
+        "hasse_edges_wide": f"WITH {WIDE}, {covers('closed')} SELECT a.attrs child, b.attrs parent FROM covers JOIN closed a ON a.mask = child "
+                            "JOIN closed b ON b.mask = parent",
+        "lattice_metrics_wide": f"WITH RECURSIVE {WIDE}, {covers('closed')}, {LEVELS} {METRICS}",
         "dot_lines": dot,
         "dot_directed_lines": dot_directed,
         "edge_list": f"WITH {RANKED_EDGES} SELECT child pos, parent sub, child || ' ' || parent AS value FROM edges",

@@ -15,6 +15,7 @@ from gradelattice.operators import enumerate as en
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure
 from gradelattice.operators.context import Context
 from gradelattice.operators.dominance import DominanceIndex
+from gradelattice.operators.real import RealContext, real_closure, real_extents
 from gradelattice.session import stage, stage_observed, stage_path
 from gradelattice.sources import tables, text, writers
 from gradelattice.streaming.incremental import IncrementalCovers, IncrementalLattice
@@ -462,6 +463,78 @@ def forced_bounds(spark, sf):
     return en.forced_bounds(tables.supplier_flag(spark, sf)).select("bound", joined("grades").alias("grades"))
 
 
+def _real_vectors(spark, sf, m: int) -> RealContext:
+    """Vectors x their first ``m`` components, as they are."""
+    return RealContext.of_vectors(tables.table(spark, sf, "embeddings"), F.col("vec_id"), F.slice("embedding", 1, m), m)
+
+
+@query
+def concepts_real(spark, sf):
+    """Concepts of real grades, without rounding."""
+    ctx = _real_vectors(spark, sf, 10).coded().staged()
+    return _sized(en.concepts(ctx))
+
+
+@query
+def closure_real(spark, sf):
+    """Closure of the components at which each vector has its largest grades."""
+    real = _real_vectors(spark, sf, 10).staged()
+    sets = real.alpha_cut(0.1).frame.select("obj", *masks.mask_where(F.col("grades"), 10, lambda g: g > 0))
+    return real_closure(real).close(sets)
+
+
+@query
+def extents_real(spark, sf):
+    real = _real_vectors(spark, sf, 4).staged()
+    return real_extents(en.concepts(real.coded()), real)
+
+
+@query
+def scaling_map_real(spark, sf):
+    return _real_vectors(spark, sf, 4).scaling_map()
+
+
+@query
+def scan_real(spark, sf):
+    """A text file of real grades, cut at a threshold that is on no level grid."""
+    path, real = stage_path(spark, "real-text"), _real_vectors(spark, sf, 6)
+    numbered = stage(en.ordered_rank(real.frame, ["obj"], "position"), "numbered").select(F.col("position").alias("obj"), "values")
+    writers.write_lines(writers.real_lines(RealContext(numbered, real.m)), path)
+    cells, _, m = text.scan_cells(spark, path)
+    return RealContext.of_cells(cells, m).alpha_cut(0.0625).long()
+
+
+def _wide_lattice(spark, sf) -> tuple[DataFrame, DataFrame, int]:
+    """Concepts and covers of a scaled context of more attributes than one mask word holds."""
+    closure = ModalClosure(cx.nominal_scaling(tables.type_size(spark, sf)).staged())
+    concepts = stage(en.concepts(closure.ctx, closure), "concepts")
+    return concepts, stage(containment.modal_covers(concepts, closure), "cover-edges"), closure.m
+
+
+def _attrs(m: int, stem: str = "mask") -> Column:
+    return joined(masks.members([F.col(c) for c in masks.mask_cols(m, stem)], m))
+
+
+@query
+def concepts_wide(spark, sf):
+    concepts, _, m = _wide_lattice(spark, sf)
+    return concepts.select(_attrs(m).alias("attrs"), masks.card([F.col(c) for c in concepts.columns]).alias("card"))
+
+
+@query
+def hasse_edges_wide(spark, sf):
+    _, covers, m = _wide_lattice(spark, sf)
+    return covers.select(_attrs(m).alias("child"), _attrs(m, "sup_mask").alias("parent"))
+
+
+@query
+def lattice_metrics_wide(spark, sf):
+    concepts, covers, m = _wide_lattice(spark, sf)
+    cols = masks.mask_cols(m)
+    vertices = concepts.select(F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(cols)]).alias("id"))
+    return metrics.lattice_metrics(vertices, metrics.edge_frame(covers, cols, masks.mask_cols(m, "sup_mask")))
+
+
 # ---------------------------------------------------------------- containment and lattices
 
 

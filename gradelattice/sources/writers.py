@@ -14,6 +14,7 @@ from gradelattice.functions import masks
 from gradelattice.operators.context import Context
 from gradelattice.operators.derivation import concept_extents
 from gradelattice.operators.enumerate import ordered_rank
+from gradelattice.operators.real import RealContext
 
 # Words of the text formats.
 CONCEPT_WORD = "FDMConcept"
@@ -45,6 +46,15 @@ def _grade(q: Column, scale: int) -> Column:
     return F.format_string(f"%.{digits}f", q.cast("double") / scale)
 
 
+def real_lines(ctx: RealContext) -> DataFrame:
+    """Header ``n m`` and one row of real grades per object, each with all its digits."""
+    header = ctx.frame.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("pos"), F.concat_ws(" ", F.col("n").cast("string"), F.lit(str(ctx.m))).alias("value"))
+    rows = ordered_rank(ctx.frame, ["obj"], "pos").select(
+        F.lit(1).alias("section"), "pos", F.array_join(F.transform("values", lambda v: v.cast("string")), " ").alias("value"))
+    return header.unionByName(rows)
+
+
 def context_lines(ctx: Context) -> DataFrame:
     """Header ``n m`` and one row of values per object, in object order."""
     ctx = ctx.staged()  # read by the count, the range sampling and the sort
