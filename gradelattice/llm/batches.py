@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -19,7 +21,7 @@ SLICE_BYTES = 8 << 20  # working set of a task: text handled at once, longer onl
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes, or one row if a single row is longer.
 
-    At the end, memory that Arrow holds in reserve goes back, as Python workers live on from task to task.
+    At the end, memory held in reserve goes back, as Python workers live on from task to task.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -29,7 +31,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch
+    release()
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library keep in reserve back to the system."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 @contextmanager

@@ -15,13 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gradelattice.llm.batches import slices, texts
+from gradelattice.llm.batches import release, slices, texts
 from gradelattice.session import ship_package
 
 MARK = "▁"
 BARRED = -1e8  # pieces scored at or below are never chosen, but for single characters
 UNKNOWN_PENALTY = 10.0  # a character in bytes scores this much below the worst piece
-WORDS_KEPT = 400_000  # words a worker remembers (some 100 MB); beyond, it starts anew
+CACHE_BYTES = 64 << 20  # what a task remembers of words, by the sizes below; beyond, it starts anew
+ENTRY_BYTES = 180  # of an entry besides its text and ids
+LONGEST_KEPT = 64  # longer words are not remembered, nor searched together with others
+TOGETHER = 4096
 TEXT_BYTES = 2 << 20
 BPE, NORMAL, BYTE = 2, 1, 6  # fixed values of the model file
 
@@ -113,7 +116,14 @@ class Pieces:
         self.is_byte = np.zeros(len(pieces), bool)
         self.is_byte[list(self.bytes.values())] = True
         self.mark_bytes = self._packed([self.bytes[b] for b in MARK.encode()])
+        self.tables = tuple(np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self.scores = np.array(self.score)
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)], np.uint32)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -125,7 +135,7 @@ class Pieces:
         return cls([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type == BPE)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {"": b""}}
+        return self.__dict__ | {"known": {"": b""}, "held": 0}
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -165,23 +175,82 @@ class Pieces:
             at = a
         return [k for ids in reversed(out) for k in ids]
 
-    def _words(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > WORDS_KEPT:
-                self.known = {"": b""}
-            self.known.update((w, self._packed(self.best(w))) for w in set(words).difference(self.known))
-            return b"".join(map(self.known.__getitem__, words))
+    def best_of_many(self, words: list[bytes]) -> list[bytes]:
+        """``best`` of words of similar length, packed: all of them take each step of the search at once."""
+        base, check, value = self.tables
+        size = np.array([len(w) for w in words])
+        width, count = int(size.max()), len(words)
+        data = np.zeros((count, width), np.int32)
+        data[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        top = np.full((count, width + 4), -1e300)
+        back, piece = np.zeros((count, width + 4), np.int32), np.full((count, width + 4), -1, np.int32)
+        top[:, 0] = 0.0
+        for a in range(width):
+            rows = np.flatnonzero((top[:, a] > -1e300) & (a < size) & (data[:, a] & 0xC0 != 0x80))
+            at, state = rows, np.zeros(len(rows), np.int32)
+            for k in range(a, width):
+                child = base[state] + data[at, k] + 1
+                on = (check[child] == state) & (k < size[at])
+                at, state = at[on], child[on]
+                if not len(at):
+                    break
+                found = value[state]
+                ends = np.flatnonzero(found >= 0)
+                total = top[at[ends], a] + self.scores[found[ends]]
+                ends, total = (x[total > top[at[ends], k + 1]] for x in (ends, total))
+                top[at[ends], k + 1], back[at[ends], k + 1], piece[at[ends], k + 1] = total, a, found[ends]
+            lead = data[rows, a]
+            end = a + 1 + (lead >= 0x80).astype(int) + (lead >= 0xE0) + (lead >= 0xF0)
+            total = top[rows, a] + self.unknown
+            better = total > top[rows, end]
+            rows, end = rows[better], end[better]
+            top[rows, end], back[rows, end], piece[rows, end] = total[better], a, -1
+        row, at, steps = np.arange(count), size, []
+        while len(row):
+            before = back[row, at]
+            steps.append(np.stack([row, before, at, piece[row, at]]))
+            row, at = row[before > 0], before[before > 0]
+        row, start, end, found = (x := np.concatenate(steps, axis=1))[:, np.lexsort((x[2], x[0]))]
+        n = np.where(found >= 0, 1, end - start)
+        first = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(first, n)
+        spread = np.repeat(np.arange(len(n)), n)
+        ids = np.where(found[spread] >= 0, found[spread], self.byte_ids[data[row[spread], np.minimum(start[spread] + inner, width - 1)]]).astype("<u4").tobytes()
+        bounds = np.searchsorted(row[spread], np.arange(count + 1)) * 4
+        return [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Remember words; returns the ids of those too long for that."""
+        coded = sorted(((w.encode(), w) for w in words.difference(self.known)), key=lambda c: len(c[0]))
+        if self.held > CACHE_BYTES:
+            self.forget()
+            coded = sorted(((w.encode(), w) for w in words if w), key=lambda c: len(c[0]))
+        short = [c for c in coded if len(c[0]) <= LONGEST_KEPT]
+        for a in range(0, len(short), TOGETHER):
+            part = short[a:a + TOGETHER]
+            ids = self.best_of_many([c for c, _ in part])
+            self.known.update(zip((w for _, w in part), ids))
+            self.held += sum(len(c) for c, _ in part) + sum(map(len, ids)) + ENTRY_BYTES * len(part)
+        return {w: self._packed(self.best(w)) for _, w in coded[len(short):]}
+
+    @staticmethod
+    def _split(text: str) -> list[list[str]]:
+        """The words of a text, in parts between the markers that stand in it."""
         parts = []
         for k, part in enumerate(text.split(MARK)):
             spaced = part.replace(" ", " " + MARK).replace("\n", " \n ")
-            parts += [self.mark_bytes, self._words(spaced.split(" "))] if k else [self._words((MARK + spaced).split(" "))]
-        return np.frombuffer(b"".join(parts), np.uint32)
+            parts.append((spaced if k else MARK + spaced).split(" "))
+        return parts
+
+    def encode_all(self, whole: list[str | None]) -> list[np.ndarray]:
+        """Piece ids of texts; the words that are new are searched together."""
+        split = [self._split(t) if t else [] for t in whole]
+        long = self.learn({w for parts in split for words in parts for w in words})
+        look = self.known.__getitem__ if not long else lambda w: long[w] if w in long else self.known[w]
+        return [np.frombuffer(self.mark_bytes.join([b"".join(map(look, words)) for words in parts]), np.uint32) for parts in split]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.plain.__getitem__, ids))
@@ -206,7 +275,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
         model = shared.value
         for batch in slices(batches, text, TEXT_BYTES):
             whole = texts(batch, text)
-            found = [model.encode(t) if t else np.empty(0, np.uint32) for t in whole]
+            found = model.encode_all(whole)
             ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
             flat = np.concatenate(found)
             fallback = np.concatenate([[0], np.cumsum(model.is_byte[flat])])
@@ -217,6 +286,8 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
                 same = [t is None or model.decode(f.tolist()) == t for t, f in zip(whole, found)]
                 out = out.append_column(check_into, pa.array(same, pa.bool_()))
             yield out
+        model.forget()
+        release()
 
     return docs.mapInArrow(run, schema)
 

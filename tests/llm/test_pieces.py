@@ -77,3 +77,23 @@ def test_tables(spark, model):
     assert all(r.n_pieces == len(r.ids or []) and 0 <= r.n_bytes <= r.n_pieces for r in got)
     assert [r.ids for r in got if r.text is None] == [None]
     assert decode(encode(docs.limit(0), model), model).count() == 0
+
+
+def test_words_searched_together_are_cut_as_alone(model):
+    rng = random.Random(3)
+    signs = ["a", "e", "t", "h", "in", "é", "字", MARK, "🎉", "\x00", "s", "ing", "ñ", "<0x41>", "1"]
+    for each in (model, toy()[0]):
+        words = sorted({"".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(1500)}, key=lambda w: len(w.encode()))
+        assert each.best_of_many([w.encode() for w in words]) == [each._packed(each.best(w)) for w in words]
+
+
+def test_unspaced_lines_and_forgetting(model, monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij字") for _ in range(400)) + "\n" + " ".join("".join(rng.choice("abc") for _ in range(9)) for _ in range(30))
+             for _ in range(40)]
+    want = [model.encode(t).tolist() for t in texts]
+    monkeypatch.setattr("gradelattice.llm.pieces.CACHE_BYTES", 4000)
+    model.forget()
+    assert [model.encode(t).tolist() for t in texts] == want
+    assert model.held < 4000 + 40 * (180 + 9 + 40)  # a text's words at most beyond the bound
+    assert max(map(len, model.known)) <= 64
