@@ -14,6 +14,7 @@ def _case(col: str, values: tuple[str, ...]) -> str:
     return "CASE " + " ".join(f"WHEN {col} = '{v}' THEN {i}" for i, v in enumerate(values)) + " END"
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 FACTS = {
     "brand_size": (10, "SELECT p_brand obj, (p_size - 1) // 5 attr FROM part"),
     "type_size": (50, "SELECT p_type obj, p_size - 1 attr FROM part"),
@@ -496,6 +497,12 @@ FROM (SELECT DISTINCT attr, q FROM real WHERE q > 1e-9::DOUBLE)""",
         "hasse_edges_wide": f"WITH {WIDE}, {covers('closed')} SELECT a.attrs child, b.attrs parent FROM covers JOIN closed a ON a.mask = child "
                             "JOIN closed b ON b.mask = parent",
         "lattice_metrics_wide": f"WITH RECURSIVE {WIDE}, {covers('closed')}, {LEVELS} {METRICS}",
+        "windowed_context": f"""WITH e AS (SELECT (epoch(ts)::BIGINT // 604800) * 604800 AS start, user_id obj, {_case('event_type', EVENT_TYPES)} attr FROM events),
+n AS (SELECT start, obj, attr, count(*) n FROM e GROUP BY ALL),
+d AS (SELECT o.start, o.obj, a.attr, coalesce(n.n, 0) n FROM (SELECT DISTINCT start, obj FROM e) o CROSS JOIN (SELECT range::INT attr FROM range(5)) a
+  LEFT JOIN n ON n.start = o.start AND n.obj = o.obj AND n.attr = a.attr),
+q AS (SELECT start, obj, attr, (10 * n) // max(n) OVER (PARTITION BY start, obj) q FROM d)
+SELECT start, obj, string_agg(q::INT::VARCHAR, ',' ORDER BY attr) grades FROM q GROUP BY start, obj""",
         "dot_lines": dot,
         "dot_directed_lines": dot_directed,
         "edge_list": f"WITH {RANKED_EDGES} SELECT child pos, parent sub, child || ' ' || parent AS value FROM edges",

@@ -19,6 +19,7 @@ from gradelattice.operators.real import RealContext, real_closure, real_extents
 from gradelattice.session import stage, stage_observed, stage_path
 from gradelattice.sources import tables, text, writers
 from gradelattice.streaming.incremental import IncrementalCovers, IncrementalLattice
+from gradelattice.streaming.windowed import WindowedContexts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -737,6 +738,19 @@ def incremental_hasse_restart(spark, sf):
     return IncrementalLattice(spark, ctx.m, state).edges
 
 
+@query
+def windowed_context(spark, sf):
+    """Users x event type for each week of the events, streamed in file by file in order of time."""
+    folder, events = stage_path(spark, "event-stream"), tables.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    events.repartitionByRange(3, "ts").write.parquet(folder)
+    weeks = WindowedContexts(spark, len(tables.EVENT_TYPES), stage_path(spark, "windowed-context"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # The files may be picked up in any order, so events may come as late as the whole table is long.
+    weeks.start(stream, stage_path(spark, "stream-progress"), time="ts", window="7 days", late="36500 days", obj=F.col("user_id"),
+                attr=tables.rank_of("event_type", tables.EVENT_TYPES)).awaitTermination()
+    return weeks.grades.select(F.unix_timestamp("start").alias("start"), "obj", joined("grades").alias("grades"))
+
+
 # ---------------------------------------------------------------- sampling
 
 
