@@ -6,9 +6,13 @@ map-side.  Two exact ways to apply it follow:
 
 * resident: the shrunk rows pass a size check, are broadcast, and candidate sets
   are closed where they are;
+* streamed: there are more rows, but a bounded number of candidates: they are
+  staged, every task of the rows reads them and folds its rows into one partial
+  closure per candidate, and only those move;
 * fragmented: rows and candidates are hashed into blocks of bounded size, each
-  pair of blocks is one task giving one partial closure per candidate, and the
-  partials are combined (AND or MIN) per candidate.
+  pair of blocks is one task giving one partial closure per candidate.
+
+Partial closures are combined (AND or MIN) per candidate.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from pyspark.sql.types import StructType
 from gradelattice.functions import kernels, masks
 from gradelattice.functions.fuzzy import Implication, Rounding
 from gradelattice.operators.context import Context
-from gradelattice.session import ship_package, stage
+from gradelattice.session import Observation, ship_package, stage, stage_path, staged_batches
 
 RESIDENT_BYTES = 64 << 20   # largest broadcast of shrunk rows
 BLOCK_ROWS = 1 << 15        # rows of either side in one fragment
+STREAM_SETS = 1 << 18       # candidates that a task of the rows holds with their partial closures
 PRUNE_PIVOTS = 2048         # smallest masks used to drop implied ones
 
 
@@ -80,6 +85,32 @@ def fragment_join(left: DataFrame, right: DataFrame, fn, schema: str, block_rows
     return l.cogroup(r).applyInArrow(cell, schema)
 
 
+def _stage_distinct(sets: DataFrame, label: str) -> tuple[DataFrame, str, int]:
+    """The distinct rows of ``sets`` staged, where they are, and how many."""
+    path, seen, distinct = stage_path(sets.sparkSession, label), Observation(), sets.distinct()
+    distinct.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return sets.sparkSession.read.schema(distinct.schema).parquet(path), path, seen.get["n"] or 0
+
+
+def fold_rows(rows: DataFrame, path: str, load, start, fold, emit, schema: str) -> DataFrame:
+    """Per task of ``rows``: ``start(candidates)``, ``fold`` for every batch of rows, then ``emit`` the partial closures.
+
+    The candidates are read from their table; the rows stay where they are.
+    """
+    def run(batches):
+        held = [load(b) for b in staged_batches([path], 1 << 14) if b.num_rows]
+        if not held:
+            return
+        sets = np.concatenate(held)
+        partial = start(sets)
+        for batch in batches:
+            if batch.num_rows:
+                fold(partial, sets, batch)
+        yield emit(sets, partial)
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def ddl(frame: DataFrame, cols: list[str]) -> str:
     types = {f.name: f.dataType.simpleString() for f in frame.schema.fields}
     return ", ".join(f"`{c}` {types[c]}" for c in cols)
@@ -128,6 +159,7 @@ class ModalClosure:
     ctx: Context
     resident_bytes: int = RESIDENT_BYTES
     block_rows: int = BLOCK_ROWS
+    stream_sets: int = STREAM_SETS
 
     @property
     def _spark(self):
@@ -199,10 +231,18 @@ class ModalClosure:
             for c, col in kernels.word_dict(opened, outs).items():
                 left = left.append_column(c, pa.array(col))
             return left.select(keep + outs)
-        distinct = stage(sets.select(*cols).distinct(), "candidate-sets")
+        distinct, path, n = _stage_distinct(sets.select(*cols), "candidate-sets")
         part_schema = ddl(sets, cols) + ", " + ", ".join(f"{c} bigint" for c in outs)
         keep_outer, keep = keep, cols
-        parts = fragment_join(distinct, self._prepared[1], fn, part_schema, self.block_rows)
+        if n <= self.stream_sets:
+            def fold(opened, held, batch):
+                opened |= kernels.modal_open(held, kernels.words_of(batch, need), kernels.words_of(batch, attr))
+            def emit(held, opened):
+                some = opened.any(axis=1)
+                return kernels.batch_of(kernels.word_dict(held[some], cols) | kernels.word_dict(opened[some], outs))
+            parts = fold_rows(self._prepared[1], path, lambda b: kernels.words_of(b, cols), np.zeros_like, fold, emit, part_schema)
+        else:
+            parts = fragment_join(distinct, self._prepared[1], fn, part_schema, self.block_rows)
         opened = parts.groupBy(*cols).agg(*[F.bit_or(c).alias(c) for c in outs])
         closed = opened.select(*cols, *[F.lit(int(f)).bitwiseAND(F.bitwise_not(F.col(c))).alias(c)
                                         for f, c in zip(full, outs)])
@@ -223,6 +263,7 @@ class FuzzyClosure:
     rounding: Rounding = Rounding.FLOOR
     resident_bytes: int = RESIDENT_BYTES
     block_rows: int = BLOCK_ROWS
+    stream_sets: int = STREAM_SETS
 
     def __post_init__(self):
         if self.rounding is Rounding.NONE:
@@ -266,8 +307,17 @@ class FuzzyClosure:
         def fn(left, right):
             closed = kernels.fuzzy_close(kernels.grades_of(left, "grades", m), kernels.grades_of(right, "grades", m), table)
             return left.select(["grades"]).append_column(out, kernels.grades_array(closed))
-        distinct = stage(sets.select("grades").distinct(), "candidate-intents")
-        parts = fragment_join(distinct, self._prepared[1], fn, f"grades array<int>, {out} array<int>", self.block_rows)
+        distinct, path, n = _stage_distinct(sets.select("grades"), "candidate-intents")
+        schema = f"grades array<int>, {out} array<int>"
+        if n <= self.stream_sets:
+            scale = self.scale
+            def fold(closed, held, batch):
+                np.minimum(closed, kernels.fuzzy_close(held, kernels.grades_of(batch, "grades", m), table), out=closed)
+            def emit(held, closed):
+                return kernels.batch_of({"grades": kernels.grades_array(held), out: kernels.grades_array(closed)})
+            parts = fold_rows(self._prepared[1], path, lambda b: kernels.grades_of(b, "grades", m), lambda held: np.full_like(held, scale), fold, emit, schema)
+        else:
+            parts = fragment_join(distinct, self._prepared[1], fn, schema, self.block_rows)
         mins = parts.groupBy("grades").agg(*[F.min(F.col(out)[j]).alias(f"c{j}") for j in range(m)])
         closed = mins.select("grades", F.array(*[f"c{j}" for j in range(m)]).alias(out))
         top = F.array_repeat(F.lit(self.scale), m)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradelattice.session import Pile, stage_observed
+from gradelattice.operators.enumerate import ordered_rank
+from gradelattice.session import Observation, Pile, stage_observed, stage_path
 
 
 def edge_frame(covers: DataFrame, child: list[str], parent: list[str]) -> DataFrame:
@@ -57,6 +59,47 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
+def topological_levels(vertices: DataFrame, edges: DataFrame, rank) -> tuple[DataFrame, int]:
+    """(id, level) as by ``levels``, and how many edge rows were read: each edge once.
+
+    ``rank`` gives an integer column of a vertex that grows along every edge, such as the size of a set.  Vertices and edges
+    are laid out by the rank of the vertex and of the child.  Ranks are finished from the lowest on: a vertex is freed with
+    the largest level its children have sent it, and only the edges of freed vertices are read, to send levels on to
+    tables laid out by the rank of the parent.  To the driver come the distinct ranks only.
+    """
+    spark = edges.sparkSession
+    root = stage_path(spark, "topological")
+    vertices.select("id", rank(F.col("id")).cast("int").alias("r")).write.partitionBy("r").parquet(f"{root}/vertices")
+    laid = edges.select("child", "parent", rank(F.col("child")).cast("int").alias("r"), rank(F.col("parent")).cast("int").alias("p"))
+    bad = F.when(F.col("p") <= F.col("r"), F.raise_error("an edge does not go up in rank").cast("int")).otherwise(F.col("r"))
+    laid.withColumn("r", bad).write.partitionBy("r").parquet(f"{root}/edges")
+    ranks, sources = ({x.r for x in spark.read.parquet(f"{root}/{kind}").select("r").distinct().collect()} if some else set()
+                      for kind, some in (("vertices", not vertices.isEmpty()), ("edges", not edges.isEmpty())))
+    vertex, edge = vertices.select("id").schema, edges.select("child", "parent").schema.add("p", T.IntegerType())
+    sent = edges.select(F.col("parent").alias("id"), F.lit(0).alias("level")).schema
+    done, read, targets = Pile(spark, "topological-levels", vertices.select("id", F.lit(0).alias("level")).schema), 0, {}
+    for r in sorted(ranks):
+        freed = spark.read.schema(vertex).parquet(f"{root}/vertices/r={r}")
+        inbox = [f"{root}/sent/{q}/p={r}" for q, to in targets.items() if r in to]
+        level = F.lit(0)
+        if inbox:
+            most = spark.read.schema(sent).parquet(*inbox).groupBy("id").agg(F.max("level").alias("most"))
+            freed, level = freed.join(most, "id", "left"), F.coalesce("most", F.lit(0))
+        known, _ = done.add(freed.select("id", level.alias("level")))
+        if r in sources:
+            out = spark.read.schema(edge).parquet(f"{root}/edges/r={r}").join(known, F.col("child") == F.col("id"))
+            seen = Observation()
+            out.select(F.col("parent").alias("id"), (F.col("level") + 1).alias("level"), "p").observe(
+                seen, F.count(F.lit(1)).alias("n"), F.collect_set("p").alias("to")).write.partitionBy("p").parquet(f"{root}/sent/{r}")
+            targets[r], read = set(seen.get["to"]), read + seen.get["n"]
+    return done.all, read
+
+
+def topological_order(vertices: DataFrame, edges: DataFrame, rank) -> DataFrame:
+    """(id, level, position): positions in which every child comes before its parents, by level and then by id."""
+    return ordered_rank(topological_levels(vertices, edges, rank)[0], ["level", "id"], "position")
+
+
 def height(levels_: DataFrame) -> DataFrame:
     """Vertices on the longest chain; 0 when there are none."""
     return levels_.agg(F.coalesce(F.max("level") + 1, F.lit(0)).cast("bigint").alias("height"))

@@ -450,6 +450,8 @@ UNION ALL SELECT 'max_intent', u0 || ',' || u1 || ',' || u2 FROM ups WHERE y0 =
         "hasse_rows_fuzzy": f"WITH {USER_STEPS}, {covers('steps')} SELECT child mask, parent sup_mask FROM covers",
         "degree_stats": deg,
         "lattice_levels": graph_select("SELECT id, level::INT AS level FROM levels"),
+        "topological_order": graph_select("SELECT id, level::INT AS level, row_number() OVER (ORDER BY level, id) - 1 AS position FROM levels"),
+        "topological_order_types": f"WITH RECURSIVE {TYPE_COVERS}, {LEVELS} SELECT level::INT AS level, count(*) n, true each_edge_once FROM levels GROUP BY level",
         "lattice_height": graph_select("SELECT (max(level) + 1)::BIGINT height FROM levels"),
         "width_levels": graph_select("SELECT max(n) width_levels FROM (SELECT count(*) n FROM levels GROUP BY level)"),
         "lattice_metrics": graph_select(METRICS),
@@ -503,6 +505,11 @@ d AS (SELECT o.start, o.obj, a.attr, coalesce(n.n, 0) n FROM (SELECT DISTINCT st
   LEFT JOIN n ON n.start = o.start AND n.obj = o.obj AND n.attr = a.attr),
 q AS (SELECT start, obj, attr, (10 * n) // max(n) OVER (PARTITION BY start, obj) q FROM d)
 SELECT start, obj, string_agg(q::INT::VARCHAR, ',' ORDER BY attr) grades FROM q GROUP BY start, obj""",
+        "closure_large": f"WITH {ctx('supplier_month')}, {closures('supplier_month', 12)} SELECT obj, mask, cl closure "
+                         f"FROM ({object_masks('supplier_month', TOP_LEVEL)}) JOIN cltab USING (mask)",
+        "fuzzy_closure_large": f"""WITH {DOWN}, dwn AS (SELECT y.obj sid, c.obj g, min({luk('y.q', 'c.q')}) d FROM nation_month y JOIN supplier_month c USING (attr) GROUP BY 1, 2),
+ups AS (SELECT sid, c.attr, min({luk('d', 'c.q')}) q FROM dwn JOIN supplier_month c ON c.obj = g GROUP BY 1, 2)
+SELECT sid set_id, string_agg(q::VARCHAR, ',' ORDER BY attr) closure FROM ups GROUP BY sid""",
         "dot_lines": dot,
         "dot_directed_lines": dot_directed,
         "edge_list": f"WITH {RANKED_EDGES} SELECT child pos, parent sub, child || ' ' || parent AS value FROM edges",

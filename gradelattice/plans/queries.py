@@ -230,6 +230,21 @@ def modal_closure_suppliers(spark, sf):
     return ModalClosure(ctx).close(cx.object_sets(ctx, TOP_LEVEL))
 
 
+@query
+def closure_large(spark, sf):
+    """As for suppliers above, with the object rows streamed past the candidate sets instead of broadcast."""
+    ctx = tables.supplier_month(spark, sf).staged()
+    return ModalClosure(ctx, resident_bytes=0).close(cx.object_sets(ctx, TOP_LEVEL))
+
+
+@query
+def fuzzy_closure_large(spark, sf):
+    """Closure of each nation's months against all suppliers, whose rows are streamed past."""
+    ctx = tables.supplier_month(spark, sf).staged()
+    closed = FuzzyClosure(ctx, resident_bytes=0).close(nation_sets(spark, sf))
+    return closed.select("set_id", joined("closure").alias("closure"))
+
+
 @query
 def dm_closure_crisp(spark, sf):
     sets = cx.object_sets(tables.brand_size(spark, sf), TOP_LEVEL)
@@ -628,6 +643,21 @@ def lattice_levels(spark, sf):
     return metrics.levels(*_graph(spark, sf))
 
 
+@query
+def topological_order(spark, sf):
+    return metrics.topological_order(*_graph(spark, sf), F.bit_count)
+
+
+@query
+def topological_order_types(spark, sf):
+    """Tens of thousands of vertices, each edge read once."""
+    concepts, covers = _type_lattice(spark, sf)
+    covers, seen = stage_observed(covers, "cover-edges", n=F.count(F.lit(1)))
+    edges = metrics.edge_frame(covers, ["mask"], ["sup_mask"])
+    levels, read = metrics.topological_levels(concepts.withColumnRenamed("mask", "id"), edges, F.bit_count)
+    return levels.groupBy("level").agg(F.count(F.lit(1)).alias("n")).withColumn("each_edge_once", F.lit(read == seen["n"]))
+
+
 @query
 def lattice_height(spark, sf):
     return metrics.height(metrics.levels(*_graph(spark, sf)))

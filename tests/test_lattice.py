@@ -99,6 +99,20 @@ def test_metrics(spark, seed):
     assert (row.n_vertices, row.n_edges) == (len(sets), len(brute.covers(sets, below)))
 
 
+def test_topological_order(spark):
+    sets = random_family(11, 40, 6)
+    vertices, edges = graph(spark, sets)
+    found, read = metrics.topological_levels(vertices, edges, F.bit_count)
+    assert {r.id: r.level for r in found.collect()} == {r.id: r.level for r in metrics.levels(vertices, edges).collect()}
+    assert read == edges.count()
+    at = {r.id: r.position for r in metrics.topological_order(vertices, edges, F.bit_count).collect()}
+    assert sorted(at.values()) == list(range(len(sets))) and all(at[r.child] < at[r.parent] for r in edges.collect())
+    assert metrics.topological_order(vertices.limit(0), edges.limit(0), F.bit_count).count() == 0
+    assert metrics.topological_levels(vertices, edges.limit(0), F.bit_count)[0].where("level = 0").count() == len(sets)
+    with pytest.raises(Exception, match="does not go up"):
+        metrics.topological_levels(vertices, edges.select(F.col("parent").alias("child"), F.col("child").alias("parent")), F.bit_count)
+
+
 def test_width_needs_augmenting_paths(spark):
     """Level sizes say 2, the widest antichain has 3 members."""
     sets = [frozenset(s) for s in ({0}, {0, 1}, {0, 1, 2}, {5}, {6, 7}, {6, 7, 8}, {5, 6, 7, 8})]

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +7,9 @@ from gradelattice.functions import fuzzy, masks
 from gradelattice.functions.fuzzy import Implication, Rounding
 from gradelattice.operators import context as cx
 from gradelattice.operators import derivation
+from gradelattice.operators import closure as closure_module
 from gradelattice.operators.closure import FuzzyClosure, ModalClosure
+from gradelattice.session import stage
 from tests import brute
 
 ROWS = np.random.default_rng(11).integers(0, 11, (9, 5))
@@ -48,7 +51,9 @@ def test_derivations(spark, make, kind, rounding):
     closed = {r.set_id: tuple(r.closure) for r in FuzzyClosure(ctx, kind, rounding).close(frame).collect()}
     for r in derivation.derive_up(down, ctx, kind, rounding).collect():
         assert tuple(r.grades) == closed[r.set_id] == brute.fuzzy_closure(ROWS, dict(sets)[r.set_id], kind.value, nearest=near)
-    apart = FuzzyClosure(ctx, kind, rounding, resident_bytes=0, block_rows=4).close(frame)
+    apart = FuzzyClosure(ctx, kind, rounding, resident_bytes=0, block_rows=4, stream_sets=0).close(frame)
+    streamed = FuzzyClosure(ctx, kind, rounding, resident_bytes=0).close(frame)
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, apart.collect()))
     assert {r.set_id: tuple(r.closure) for r in apart.collect()} == closed
 
 
@@ -140,3 +145,20 @@ def test_unlisted_values_fail_and_constant_vectors_do_not(spark):
     assert {r.obj: r.grades for r in grade_vectors(vectors, F.col("i"), F.col("v"), 2).frame.collect()} == {1: [0, 0], 2: [0, 10]}
     with pytest.raises(Exception, match="2 components"):
         grade_vectors(vectors, F.col("i"), F.col("v"), 3).frame.collect()
+
+
+def test_object_rows_stay_where_they_are(spark, make):
+    """Partial closures come out of the scan of the rows: they pass no exchange before."""
+    rng = np.random.default_rng(2)
+    ctx = make(rng.integers(0, 11, (60, 6)))
+    sets = spark.createDataFrame([(k,) for k in range(64)], "mask bigint")
+    plain = {r.mask: r.closure for r in ModalClosure(ctx).close(sets).collect()}
+    for closure in (ModalClosure(ctx, resident_bytes=0), ModalClosure(ctx, resident_bytes=0, stream_sets=0, block_rows=9)):
+        assert {r.mask: r.closure for r in closure.close(sets).collect()} == plain
+    staged = ModalClosure(ctx, resident_bytes=0)._prepared[1].repartition(5)
+    path = closure_module._stage_distinct(sets, "sets")[1]
+    rows = stage(staged, "rows")
+    partial = closure_module.fold_rows(rows, path, lambda b: np.asarray(b.column(0)), np.zeros_like, lambda *a: None,
+                                       lambda held, x: pa.RecordBatch.from_arrays([pa.array(held)], names=["mask"]), "mask bigint")
+    assert "Exchange" not in partial._jdf.queryExecution().executedPlan().toString()
+    assert partial.count() == 64 * rows.rdd.getNumPartitions()
