@@ -21,7 +21,7 @@ from gradelattice.session import ship_package
 MARK = "▁"
 BARRED = -1e8  # pieces scored at or below are never chosen, but for single characters
 UNKNOWN_PENALTY = 10.0  # a character in bytes scores this much below the worst piece
-CACHE_BYTES = 64 << 20  # what a task remembers of words, by the sizes below; beyond, it starts anew
+CACHE_BYTES = 40 << 20  # what a task remembers of words, by the sizes below; beyond, it starts anew
 ENTRY_BYTES = 180  # of an entry besides its text and ids
 LONGEST_KEPT = 64  # longer words are not remembered, nor searched together with others
 TOGETHER = 4096
