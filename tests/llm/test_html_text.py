@@ -1,5 +1,7 @@
 import html as H
+import random
 import re
+import time
 
 import pytest
 
@@ -24,6 +26,19 @@ CASES = {
 }
 
 
+CASES |= {
+    "words of another attribute": (f'<div title="the hidden truth"><p>{LONG}</p></div>', [LONG]),
+    "a name around the article": (f'<body><div class="legal-news"><h1>T</h1><p>{LONG}</p></div><div class="acme-footer"><p>foot</p></div>', ["T", LONG]),
+    "marked inline element left open": (f'<article><p>{LONG}</p><p>Second {LONG} <span class="share">x</p><p>third</p></article>', [LONG, "Second " + LONG, "third"]),
+    "inline advert": (f'<article><p>{LONG} <span class="ad">BUY NOW</span>on</p></article>', [LONG + " on"]),
+    "drawing inside a paragraph": (f"<article><p>{LONG} <svg><g><text>no</text></g></svg>goes on</p></article>", [LONG + " goes on"]),
+    "two articles": (f"<body><article><p>{LONG}</p></article><nav>n</nav><article><p>{LONG} two</p></article>", [LONG, LONG + " two"]),
+    "a teaser": (f"<body><article><p>{LONG * 5}</p></article><article><p>More</p></article>", [LONG * 5]),
+    "quote left open": (f'<article><p>{LONG}</p><p><a href="x>link</a> on</p><p>{LONG} after</p></article>', [LONG, "link on", LONG + " after"]),
+    "names in other spellings": (f"<article><p>{LONG}</p><div id=relatedPosts>no</div><div class='js-share-buttons'>no</div><p data-x='ad'>yes</p></article>", [LONG, "yes"]),
+}
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_pages(name):
     page, want = CASES[name]
@@ -38,6 +53,37 @@ def test_odd_pages():
     assert main_text(long) == "\n\n".join([LONG] * 20_000)
 
 
+@pytest.mark.parametrize("unit", ["<div><p>hi", '<a b="', "<", "</x>", "<span><li>", "<!--", "<a b='>", '<p title="', "<b>", "</b>", "<td><b>", "<dt><i>"])
+def test_time_grows_with_the_page_only(unit):
+    def took(copies):
+        start = time.process_time()
+        main_text(unit * copies)
+        return time.process_time() - start
+    few = took(5_000)
+    assert took(40_000) < 16 * few + 0.5
+
+
+def test_blocks_against_a_plain_segmenter():
+    """Pages of well-formed paragraphs in nested holders: every block of the article comes, once and in order."""
+    rnd = random.Random(5)
+    for _ in range(60):
+        want = [" ".join(rnd.choice(["word", "other,", "stop.", "&amp;", "é"]) for _ in range(rnd.randint(12, 40))) for _ in range(rnd.randint(3, 12))]
+        body, opened = "", []
+        for text in want:
+            while rnd.random() < 0.4:
+                opened.append(rnd.choice(["div", "section", "blockquote"]))
+                body += f"<{opened[-1]}>"
+            cut = text.split(" ")
+            k = rnd.randrange(len(cut))
+            cut[k] = f"<b>{cut[k]}</b>" if rnd.random() < 0.5 else cut[k]
+            body += f"<p>{rnd.choice(['', chr(10), '  '])}{' '.join(cut)}{rnd.choice(['', '</p>'])}"
+            while opened and rnd.random() < 0.4:
+                body += f"</{opened.pop()}>"
+        body += "".join(f"</{t}>" for t in reversed(opened))
+        side = "<nav><a href=x>Home</a></nav>" if rnd.random() < 0.5 else f"<div class=sidebar><p>{LONG * 3}</p></div>"
+        assert main_text(f"<body>{side}<article>{body}</article><footer>{LONG}</footer>") == "\n\n".join(H.unescape(w) for w in want)
+
+
 def test_extract_on_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
