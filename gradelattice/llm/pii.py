@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from gradelattice.session import stage, stage_observed
 
-KEY = "surrogates"
+KEY = "surrogates"  # used where neither the caller nor the session names one: then anyone can repeat the surrogates
+KEY_SETTING = "spark.gradelattice.pii.key"
 MAX_DRAWS = 40
 LENGTHEN = 8  # draws after which surrogates grow, as all of their format may be taken
 
@@ -29,11 +30,14 @@ PHONE = (r"(?<![\p{L}\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\
          r"|(?<![\p{L}\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])")
 CARD = r"(?<![\d-])\d{13,19}(?![\d-])|(?<![\d-])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}(?![\d-])"
 SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*\d)(?=[\d_-]*[A-Za-z])[A-Za-z0-9_-]{24,}+"
+# Country codes of telephone numbers; all others have three digits.
+COUNTRY_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 # Forms of address by gender.
 MALE = ("Mr.", "Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr.", "господин", "κύριος")
 FEMALE = ("Mrs.", "Mrs", "Ms.", "Ms", "Frau", "Madame", "Mme", "Señora", "Sra.", "госпожа", "κυρία")
 _TITLES = "|".join(t.replace(".", r"\.") for t in MALE + FEMALE)
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES}) \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
+WORD = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 ENTITY = "|".join((EMAIL, IP, SSN, IBAN, PHONE, CARD, SECRET, NAME))
 
 _SYLLABLES = {  # beginnings and endings that names are made of, by script
@@ -66,20 +70,27 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, r"\D", "")
 
 
+def _dialled(m: Column) -> Column:
+    """A telephone number as all its spellings share it: digits, behind a plus if it has one."""
+    return F.concat(F.when(m.startswith("+"), "+").otherwise(""), _digits(m))
+
+
 def _parts(m: Column) -> Column:
     """What of an entity is replaced as a unit: ``array<struct<kind, value>>``, in a form that all spellings share."""
     kind = _kind(m)
     _, gender, given, family = _name_parts(m)
     return (F.when(kind == "email", F.array(_part("local", F.lower(m)), _part("domain", F.lower(F.substring_index(m, "@", -1)))))
             .when(kind == "name", F.when(given != "", F.array(_part(gender, given), _part("family", family))).otherwise(F.array(_part("family", family))))
-            .when(kind.isin("phone", "card", "ssn"), F.array(_part(kind, _digits(m))))
+            .when(kind == "phone", F.array(_part(kind, _dialled(m))))
+            .when(kind.isin("card", "ssn"), F.array(_part(kind, _digits(m))))
             .when(kind == "iban", F.array(_part("iban", F.translate(m, " ", ""))))
             .otherwise(F.array(_part(kind, m))))
 
 
 def _drawn(kind: Column, value: Column, draw: Column, key: str) -> Column:
-    """A stream of 128 numbers 0-255 for an entity, by keyed hashes."""
-    blocks = [F.sha2(F.concat_ws("|", F.lit(key), kind, value, draw.cast("string"), F.lit(str(k))), 256) for k in range(4)]
+    """A stream of 128 numbers 0-255 for an entity, by keyed hashes: the key goes into an inner and an outer one."""
+    inner = [F.sha2(F.concat_ws("|", F.lit("inner"), F.lit(key), kind, value, draw.cast("string"), F.lit(str(k))), 256) for k in range(4)]
+    blocks = [F.sha2(F.concat_ws("|", F.lit("outer"), F.lit(key), x), 256) for x in inner]
     hexes = F.concat(*blocks)
     return F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substr(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
 
@@ -120,6 +131,22 @@ def _card(value: Column, stream: Column) -> Column:
     return F.concat(body, last.cast("string"))
 
 
+def _remainder(signs: Column) -> Column:
+    """An account number, country and check digits moved behind, as a number (A = 10, ...) modulo 97."""
+    def step(r: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), r * 10 + c.try_cast("int")).otherwise(r * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(signs, ""), F.lit(0), lambda r, c: F.coalesce(step(r, c), F.lit(0)).cast("int"))
+
+
+def _iban(value: Column, stream: Column) -> Column:
+    """An account number of the same country and form, with valid check digits if the original's are."""
+    other = _substituted(value, stream, 2)
+    moved = lambda of, check: F.concat(F.substr(of, F.lit(5)), F.substr(of, F.lit(1), F.lit(2)), check)
+    valid = _remainder(moved(value, F.substr(value, F.lit(3), F.lit(2)))) == 1
+    check = F.lpad((98 - _remainder(moved(other, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(valid, F.concat(F.substr(other, F.lit(1), F.lit(2)), check, F.substr(other, F.lit(5)))).otherwise(other)
+
+
 def _name(kind: Column, value: Column, stream: Column) -> Column:
     def made(script: str) -> Column:
         first, middle, female, family = (x.split() for x in _SYLLABLES[script])
@@ -140,8 +167,8 @@ def _surrogate(kind: Column, value: Column, draw: Column, stream: Column) -> Col
     plain = (F.when(kind == "local", _substituted(F.substring_index(value, "@", 1), stream))
              .when(kind == "domain", F.concat(_substituted(_lettered(head), stream), grown, tail))
              .when(kind == "ip", F.concat_ws(".", octet(1, 1, 254), octet(2, 0, 256), octet(3, 0, 256), octet(4, 1, 254)))
-             .when(kind == "card", _card(value, stream)).when(kind == "phone", _substituted(value, stream, 1))
-             .when(kind == "iban", _substituted(value, stream, 2))
+             .when(kind == "card", _card(value, stream)).when(kind == "phone", _substituted(value, stream, F.greatest(F.length(F.regexp_extract(value, COUNTRY_CODE, 0)), F.lit(1))))
+             .when(kind == "iban", _iban(value, stream))
              .when(kind.isin("given-m", "given-f", "family"), _name(kind, value, stream)).otherwise(_substituted(value, stream)))
     more = (F.when(kind.isin("given-m", "given-f", "family"), named).when(kind == "domain", F.lit(""))
             .when(kind == "ip", F.when(longer != "", F.concat(F.lit("."), longer)).otherwise("")).otherwise(longer))
@@ -189,19 +216,31 @@ def _replaced(m: Column, known: Column) -> Column:
     joint = F.regexp_extract(m, r"\p{L}([ -])\p{L}+$", 1)
     return (F.when(kind == "email", F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(mail)).otherwise(mail))
             .when(kind == "name", F.concat(title, F.when(given != "", F.concat(get(gender, given), joint)).otherwise(""), get("family", family)))
-            .when(kind.isin("phone", "card", "ssn"), _woven(m, "[0-9]")(get(kind, _digits(m))))
+            .when(kind == "phone", _woven(m, "[0-9]")(F.translate(get(kind, _dialled(m)), "+", "")))
+            .when(kind.isin("card", "ssn"), _woven(m, "[0-9]")(get(kind, _digits(m))))
             .when(kind == "iban", _woven(m, "[A-Z0-9]")(get("iban", F.translate(m, " ", ""))))
             .otherwise(get(kind, m)))
 
 
-def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY, count_into: str | None = None) -> DataFrame:
+def _recalled(between: Column, known: Column) -> Column:
+    """Text between entities, with the names that the document gives behind a form of address replaced wherever they recur."""
+    def one(word: Column) -> Column:
+        return F.coalesce(*[F.element_at(known, F.concat(F.lit(f"{kind}:"), word)) for kind in ("family", "given-m", "given-f")], word)
+    words, gaps = F.regexp_extract_all(between, F.lit(WORD), F.lit(0)), F.split(between, WORD, -1)
+    return F.array_join(F.zip_with(gaps, F.transform(words, one), lambda gap, word: F.concat(gap, F.coalesce(word, F.lit("")))), "")
+
+
+def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | None = None, count_into: str | None = None) -> DataFrame:
     """``docs`` with all entities in ``text`` replaced, and how many there were in ``count_into`` if that is named.
 
     Found are e-mail addresses, IPv4 addresses, social security and bank account numbers, telephone and card numbers,
-    long keys of letters and digits, and names behind a form of address.  Null texts stay null and empty ones empty; texts
+    long keys of letters and digits, and names behind a form of address; such a name is also replaced where the same text
+    has its words again without one.  ``key`` is the caller's secret, by default that of the session setting
+    ``KEY_SETTING``.  Whole texts are searched, however long.  Null texts stay null and empty ones empty; texts
     without entities keep every byte.  Surrogates depend on ``key`` and the entities of the table only, so repeated rows
     stay equal.  Other columns are kept; a column named like ``count_into`` is replaced.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     columns = [c for c in docs.columns if c != count_into]
     taken = {c.lower() for c in docs.columns}
     row, found, known = (next(n for n in (f"{x}{k}" for k in range(len(taken) + 1)) if n.lower() not in taken) for x in ("row_", "found_", "known_"))
@@ -214,7 +253,9 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY, count_i
     by_row = (mentions.join(names, ["kind", "value"]).groupBy(row)
               .agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "value"), F.col("surrogate")))).alias(known)))
     new = F.transform(F.col(found), lambda m: _replaced(m, F.col(known)))
+    named = F.exists(F.map_keys(F.col(known)), lambda k: k.startswith("family:"))
     between = F.split(F.col(text), ENTITY, -1)
+    between = F.when(named, F.transform(between, lambda b: _recalled(b, F.col(known)))).otherwise(between)
     whole = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     extra = [F.size(found).cast("bigint").alias(count_into)] if count_into else []
     pick = lambda t: [t.alias(text) if c == text else F.col(c) for c in columns] + extra

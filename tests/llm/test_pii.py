@@ -92,3 +92,43 @@ def test_addresses_grow_when_their_format_is_taken(spark):
     row = spark.range(1).select(F.lit("ip").alias("kind"), F.lit("10.1.2.3").alias("value"), F.lit(pii.LENGTHEN + 3).alias("draw"))
     stream = pii._drawn(F.col("kind"), F.col("value"), F.col("draw"), "k")
     assert re.fullmatch(r"(\d+\.){4}\d{3}", row.select(pii._surrogate(F.col("kind"), F.col("value"), F.col("draw"), stream)).first()[0])
+
+
+def changed(spark, text):
+    return pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().text
+
+
+def test_names_recur_without_their_title(spark):
+    text = "Mr. Abel Stone called. Later Stone said that Abel agreed. Stonehenge stood; stone fell. Abel Stone left, Abel-Stone's too."
+    got = changed(spark, text)
+    given, family = re.match(r"Mr\. (\w+) (\w+) called", got).groups()
+    assert got == text.replace("Abel", given).replace("Stonehenge", "#").replace("Stone", family).replace("#", "Stonehenge")
+    assert "Abel" not in got and not re.search(r"\bStone\b", got)
+    other = changed(spark, "Stone and Abel are no names here, write to a@b.com")
+    assert other.startswith("Stone and Abel are no names here")
+
+
+def test_country_codes_and_account_checks(spark):
+    for number, code in (("+44 20 7946 0958", "+44 "), ("+1 212 555 0100", "+1 "), ("+353 21 555 0100", "+353 "), ("+4915112345678", "+49")):
+        got = changed(spark, f"call {number} now")
+        assert got.startswith(f"call {code}") and got != f"call {number} now" and len(got) == len(f"call {number} now")
+    same = changed(spark, "+44 20 7946 0958 or +442079460958").split(" or ")
+    assert re.sub(r"\D", "", same[0]) == re.sub(r"\D", "", same[1])
+
+    def valid(iban):
+        moved = re.sub(" ", "", iban)[4:] + re.sub(" ", "", iban)[:4]
+        return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"):
+        got = changed(spark, f"to {iban}.")[3:-1]
+        assert valid(iban) and valid(got) and got != iban and got[:2] == iban[:2]
+
+
+def test_the_key_is_the_callers(spark):
+    docs = spark.createDataFrame([(1, "mail jo@host.com")], "doc_id bigint, text string")
+    texts = {k: pii.pseudonymise(docs, key=k).first().text for k in (None, "a", "b")}
+    assert len(set(texts.values())) == 3
+    spark.conf.set(pii.KEY_SETTING, "a")
+    try:
+        assert pii.pseudonymise(docs).first().text == texts["a"]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
