@@ -26,6 +26,7 @@ HEADLINE = [
     "fuzzy_subset_pairs", "degree_stats", "lattice_metrics", "join_closure", "link_score", "quota_sample",
     "scan_context", "concept_listing", "dot_lines",
     "lattice_metrics_types", "link_score_types", "incremental_hasse", "incremental_hasse_restart", "scan_context_lenient",
+    "fuzzy_concepts_quota", "dominance_lookup", "incremental_hasse_fuzzy", "closure_large", "concepts_real", "sample_lines", "windowed_context",
 ]
 
 
