@@ -271,7 +271,7 @@ def identify(docs: DataFrame, identifier: Identifier, *, text: str = "text", pre
     """``docs`` with columns ``<prefix>pred, <prefix>score, <prefix>accepted, <prefix>bits`` (replacing columns of those names).
 
     Whole texts count.  A null text or one without a letter is ``und`` with score 0 and not accepted.  Ties go to the
-    language first in alphabetical order.
+    language first in alphabetical order.  Repeated rows are told alike.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the sample it was fitted on

@@ -260,7 +260,7 @@ class Pieces:
 def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "ids", check_into: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of ``text`` in ``into`` and, in ``n_pieces`` and ``n_bytes``, how many ids and byte pieces.
 
-    Whole texts are encoded.  A null text has null ids and counts of 0, an empty one no ids.  With ``check_into``, ids are
+    Whole texts are encoded, however long, and repeated rows alike.  A null text has null ids and counts of 0, an empty one no ids.  With ``check_into``, ids are
     decoded where they are made, and that column tells whether they give the text back (null ids give a null text).
     Columns named as the results are replaced.
     """

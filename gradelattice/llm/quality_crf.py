@@ -265,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, id:
 def score(docs: DataFrame, model: LineModel, *, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 in ``into`` (replacing a column of that name).
 
-    Whole texts are scored.  Null, empty and blank texts get the share of label 1 among all labels.
+    Whole texts are scored, in slices by bytes: a long text of very short lines takes memory by its lines.  Null, empty and
+    blank texts get the share of label 1 among all labels.  Repeated rows are scored alike.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes

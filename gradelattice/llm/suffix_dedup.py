@@ -383,7 +383,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     Texts are UTF-8 bytes, matches end at the text's, and all are judged on the input.  Returns ``doc_id, n_bytes, spans,
     kept`` for each row: maximal removed runs as ``array<struct<start, end>>`` and the bytes that remain.  A null text is
     empty; a row without id neither loses anything nor counts for others; rows of one id are not earlier than each other.
-    Other columns are ignored.  ``length`` is 24 to 79.
+    Whole texts are judged, however long.  Other columns are ignored.  ``length`` is 24 to 79.
     """
     if not TRIGGER + 8 <= length <= TRIGGER + 63:
         raise ValueError("strings of 24 to 79 bytes can be compared")
