@@ -422,7 +422,6 @@ closed AS (SELECT DISTINCT mask FROM (SELECT o, coalesce(sum(1::BIGINT << crisp_
         "fuzzy_fixpoints_nearest": f"WITH {fixpoints('nation_status', goguen_nearest)} {grades3}",
         "fuzzy_concepts_quota": f"WITH {fixpoints('user_event', luk)} SELECT {JOINED3} || ',' || y3 || ',' || y4 grades FROM fixed "
                                 f"ORDER BY y0, y1, y2, y3, y4 LIMIT {QUOTA}",
-        "fuzzy_quota_work": f"WITH {fixpoints('user_event', luk)} SELECT least({QUOTA}, count(*)) intents, true few_closures FROM fixed",
         "fuzzy_counters": f"WITH {NATION_TRIES} SELECT concepts, tried, rejected FROM counters",
         "metrics_log": f"""WITH RECURSIVE {NATION_TRIES}, {NATION_COVERS},
 lv(id, d) AS (SELECT mask, 0 FROM f UNION SELECT parent, d + 1 FROM lv JOIN covers ON child = id),
