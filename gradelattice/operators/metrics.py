@@ -7,7 +7,7 @@ lattice and cut by staged tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,19 @@ from gradelattice.operators.enumerate import ordered_rank
 from gradelattice.session import Observation, Pile, stage_observed, stage_path
 
 
+def _key(cols: list[str], name: str) -> Column:
+    """One key column as it is; several become one struct."""
+    return (F.col(cols[0]) if len(cols) == 1 else F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(cols)])).alias(name)
+
+
+def vertex_frame(sets: DataFrame, cols: list[str]) -> DataFrame:
+    """id column, of the same type as the ends of ``edge_frame``."""
+    return sets.select(_key(cols, "id"))
+
+
 def edge_frame(covers: DataFrame, child: list[str], parent: list[str]) -> DataFrame:
     """child/parent columns; several key columns become one struct."""
-    def key(cols, name):
-        return (F.col(cols[0]) if len(cols) == 1 else F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(cols)])).alias(name)
-    return covers.select(key(child, "child"), key(parent, "parent"))
+    return covers.select(_key(child, "child"), _key(parent, "parent"))
 
 
 def _stage_counted(frame: DataFrame, label: str) -> tuple[DataFrame, int]:

@@ -547,8 +547,7 @@ def hasse_edges_wide(spark, sf):
 def lattice_metrics_wide(spark, sf):
     concepts, covers, m = _wide_lattice(spark, sf)
     cols = masks.mask_cols(m)
-    vertices = concepts.select(F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(cols)]).alias("id"))
-    return metrics.lattice_metrics(vertices, metrics.edge_frame(covers, cols, masks.mask_cols(m, "sup_mask")))
+    return metrics.lattice_metrics(metrics.vertex_frame(concepts, cols), metrics.edge_frame(covers, cols, masks.mask_cols(m, "sup_mask")))
 
 
 # ---------------------------------------------------------------- containment and lattices
