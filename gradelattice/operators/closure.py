@@ -5,7 +5,7 @@ up-set masks (modal) or distinct grade rows (residuated), both pre-aggregated
 map-side.  Two exact ways to apply it follow:
 
 * resident: the shrunk rows pass a size check, are broadcast, and candidate sets
-  are closed where they are;
+  are closed where they are (residuated: each distinct one once);
 * streamed: there are more rows, but a bounded number of candidates: they are
   staged, every task of the rows reads them and folds its rows into one partial
   closure per candidate, and only those move;
@@ -37,6 +37,8 @@ RESIDENT_BYTES = 64 << 20   # largest broadcast of shrunk rows
 BLOCK_ROWS = 1 << 15        # rows of either side in one fragment
 STREAM_SETS = 1 << 18       # candidates that a task of the rows holds with their partial closures
 PRUNE_PIVOTS = 2048         # smallest masks used to drop implied ones
+LEAST_WORK = 1 << 22        # pairs of a candidate and a row that are worth a task
+SMALL_SETS = 1 << 16        # closed candidates that are broadcast to those that asked
 
 
 def stage_bounded(frame: DataFrame, label: str, max_rows: int) -> tuple[DataFrame, pa.Table | None]:
@@ -294,9 +296,17 @@ class FuzzyClosure:
     def broadcast(self):
         return self._prepared[0]
 
-    def close(self, sets: DataFrame, out: str = "closure") -> DataFrame:
-        """Append the closure of each ``grades`` array as ARRAY<INT> ``out``."""
+    def close(self, sets: DataFrame, out: str = "closure", distinct: bool = False) -> DataFrame:
+        """Append the closure of each ``grades`` array as ARRAY<INT> ``out``.
+
+        Each distinct array is closed once, unless the caller knows that they are ``distinct`` already.
+        """
         keep, m = list(sets.columns), self.m
+        if self.broadcast is not None and not distinct:
+            once, _, n = _stage_distinct(sets.select("grades"), "candidate-intents")
+            tasks = max(1, min(n, n * len(self.broadcast.value[0]) // LEAST_WORK))
+            closed = stage(self.close(once.repartition(tasks), out, distinct=True), "closed-intents")
+            return sets.join(F.broadcast(closed) if n <= SMALL_SETS else closed, "grades", "left").select(*keep, out)
         if self.broadcast is not None:
             bc = self.broadcast
             def fn(batch):
@@ -307,7 +317,7 @@ class FuzzyClosure:
         def fn(left, right):
             closed = kernels.fuzzy_close(kernels.grades_of(left, "grades", m), kernels.grades_of(right, "grades", m), table)
             return left.select(["grades"]).append_column(out, kernels.grades_array(closed))
-        distinct, path, n = _stage_distinct(sets.select("grades"), "candidate-intents")
+        once, path, n = _stage_distinct(sets.select("grades"), "candidate-intents")
         schema = f"grades array<int>, {out} array<int>"
         if n <= self.stream_sets:
             scale = self.scale
@@ -317,7 +327,7 @@ class FuzzyClosure:
                 return kernels.batch_of({"grades": kernels.grades_array(held), out: kernels.grades_array(closed)})
             parts = fold_rows(self._prepared[1], path, lambda b: kernels.grades_of(b, "grades", m), lambda held: np.full_like(held, scale), fold, emit, schema)
         else:
-            parts = fragment_join(distinct, self._prepared[1], fn, schema, self.block_rows)
+            parts = fragment_join(once, self._prepared[1], fn, schema, self.block_rows)
         mins = parts.groupBy("grades").agg(*[F.min(F.col(out)[j]).alias(f"c{j}") for j in range(m)])
         closed = mins.select("grades", F.array(*[f"c{j}" for j in range(m)]).alias(out))
         top = F.array_repeat(F.lit(self.scale), m)

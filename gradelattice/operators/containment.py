@@ -304,7 +304,7 @@ def fuzzy_join_closure(generators: DataFrame, closure: FuzzyClosure, block_rows:
     cols = masks.mask_cols(m * scale)
     def close(sets):
         vectors = sets.select(from_thermometer(cols, m, scale).alias("grades"))
-        return closure.close(vectors).select(*thermometer(F.col("closure"), m, scale))
+        return closure.close(vectors, distinct=True).select(*thermometer(F.col("closure"), m, scale))
     family = _joined(generators.select(*thermometer(F.col("grades"), m, scale)), cols, close, block_rows)
     return family.select(from_thermometer(cols, m, scale).alias("grades"))
 

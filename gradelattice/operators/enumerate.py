@@ -372,7 +372,7 @@ def fuzzy_fixpoints(ctx: Context, kind: Implication, rounding: Rounding) -> Data
         raise ValueError("too many level vectors to test one by one")
     digits = F.array(*[F.expr(f"cast((id div {base ** (ctx.m - 1 - j)}) % {base} as int)") for j in range(ctx.m)])
     every = ctx.frame.sparkSession.range(base ** ctx.m).select(digits.alias("grades"))
-    return FuzzyClosure(ctx, kind, rounding).close(every).where("closure = grades").select("grades")
+    return FuzzyClosure(ctx, kind, rounding).close(every, distinct=True).where("closure = grades").select("grades")
 
 
 def _first_before(sets: np.ndarray, bound: np.ndarray) -> np.ndarray:

@@ -1,6 +1,12 @@
 """Queries over tables whose sizes change the form of what they build."""
 
+import numpy as np
+
+from gradelattice.functions.fuzzy import Implication
+from gradelattice.operators import closure as closure_module
+from gradelattice.operators.closure import FuzzyClosure
 from gradelattice.plans.queries import REGISTRY
+from tests import brute
 
 
 def test_wide_lattice_of_one_mask_word(spark, tmp_path):
@@ -11,3 +17,20 @@ def test_wide_lattice_of_one_mask_word(spark, tmp_path):
     got = REGISTRY["lattice_metrics_wide"](spark, str(tmp_path)).first()
     # extents {}, {PROMO, SMALL}, {LARGE}, {LARGE, SMALL} and all
     assert (got.n_vertices, got.n_edges, got.height) == (5, 5, 4)
+
+
+def test_repeated_candidates_are_closed_once(spark, make, monkeypatch):
+    """The work follows the distinct candidates, however many ask for them; all of them get their answer."""
+    rows = np.random.default_rng(4).integers(0, 11, (30, 4))
+    asked = [(k, [10 * (k % 3 == j) for j in range(4)]) for k in range(400)]
+    sets = spark.createDataFrame(asked, "set_id int, grades array<int>").repartition(5)
+    given, plain = [], closure_module.map_batches
+
+    def counted(frame, fn, schema):
+        given.append(frame.count())
+        return plain(frame, fn, schema)
+
+    monkeypatch.setattr(closure_module, "map_batches", counted)
+    got = FuzzyClosure(make(rows), Implication.GOGUEN).close(sets).collect()
+    assert sorted(r.set_id for r in got) == list(range(400)) and given == [3]
+    assert all(tuple(r.closure) == brute.fuzzy_closure(rows.tolist(), r.grades, "goguen") for r in got)
