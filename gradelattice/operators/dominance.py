@@ -4,25 +4,28 @@ The index is a table of segments of at most ``SEGMENT`` vectors.  A segment hold
 list of its vectors that reach the level.  The vectors above a given one are the AND of one list per attribute; those below
 are the AND of the complements one level higher.  Segments are appended and never rewritten.  A task holds some of the
 vectors asked for and streams the segments past them, skipping those whose largest (or smallest) grades rule them out; no
-two tables are joined and no pair of vectors is compared to find who lies above whom.
+two tables are joined and no pair of vectors is compared to find who lies above whom.  Equal vectors are asked once, and
+their answers then joined to all that ask.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelattice.functions import kernels
-from gradelattice.operators.closure import ddl
-from gradelattice.session import ship_package, stage_path, staged_batches
+from gradelattice.operators.closure import SMALL_SETS, ddl
+from gradelattice.session import ship_package, stage_observed, stage_path, staged_batches
 
 SEGMENT = 1 << 16
 ASKED = 1 << 12         # vectors that a task holds while segments pass
 LEAST_WORK = 1 << 26    # pairs of vectors that are worth a task
+ANSWER_WORK = 1 << 24   # the same, where many of the pairs are answers
+TASK_ROWS = 1 << 23     # rows of a look-up that one task hands out
 
 
 class Segment:
@@ -121,7 +124,7 @@ class DominanceIndex:
         self.paths.append(path)
         return path
 
-    def _asked(self, vectors: DataFrame, fn, schema: str, count: int, size: int) -> DataFrame:
+    def _asked(self, vectors: DataFrame, fn, schema: str, count: int, size: int, least: int = LEAST_WORK) -> DataFrame:
         """``fn(batch, grades, segments)`` for the vectors of each task; ``segments()`` streams the index anew."""
         paths, m, scale = self.paths, self.m, self.scale
         ship_package(self.spark)
@@ -134,21 +137,38 @@ class DominanceIndex:
                 for a in range(0, whole.num_rows, ASKED):
                     batch = whole.slice(a, ASKED)
                     yield from fn(batch, kernels.grades_of(batch, "grades", m), segments)
-        tasks = max(1, min(-(-count // 64), count * max(1, size) // LEAST_WORK))
+        tasks = max(1, min(-(-count // 64), count * max(1, size) // least))
         return (vectors.repartition(tasks) if tasks > 1 else vectors.coalesce(1)).mapInArrow(run, schema)
 
-    def lookup(self, vectors: DataFrame, count: int, size: int, *, upward: bool = True, strict: bool = True, out: str = "found") -> DataFrame:
-        """A row for each vector asked for and each indexed one above it (or below), whose grades stand in ``out``.
+    def lookup(self, vectors: DataFrame, count: int, size: int, *, upward: bool = True, strict: bool = True, out: str = "found",
+               of: Callable[[Column], Column] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+        """A row for each vector asked for and each indexed one above it (or below), whose grades, or ``of`` them, are ``out``.
 
-        ``count`` and ``size``, the numbers of vectors asked for and indexed, only decide how many tasks there are.
+        ``of`` is evaluated once for the answers to all equal vectors.  The rows that each task hands out are bounded by
+        ``task_rows``: the answers are counted first, and those to the most frequent vectors spread.  ``count`` and ``size``,
+        the numbers of vectors asked for and indexed, only decide how many tasks look.
         """
         keep = [c for c in vectors.columns if c != out]
+        once = vectors.groupBy("grades").agg(F.count(F.lit(1)).alias("_times")).withColumn("_asked", F.monotonically_increasing_id())
+        once, seen = stage_observed(once, "asked-once", n=F.count(F.lit(1)))
         def fn(batch, asked, segments):
             for segment in segments():
                 for row, at in segment.hits(asked, upward, strict):
                     some = batch.take(pa.array(row))
-                    yield kernels.batch_of({c: some.column(c) for c in keep} | {out: kernels.grades_array(segment.cells[at])})
-        return self._asked(vectors, fn, ddl(vectors, keep) + f", {out} array<int>", count, size)
+                    yield kernels.batch_of({c: some.column(c) for c in ("_asked", "_times")} | {out: kernels.grades_array(segment.cells[at])})
+        found = self._asked(once, fn, f"_asked bigint, _times bigint, {out} array<int>", min(count, seen["n"]), size, ANSWER_WORK)
+        answers, given = stage_observed(found.withColumn(out, of(F.col(out))) if of else found, "answers", rows=F.sum("_times"))
+        asking = vectors.select(*keep).join(F.broadcast(once) if seen["n"] <= SMALL_SETS else once, "grades").select(*keep, "_asked")
+        on, tasks = ["_asked"], -(-(given["rows"] or 0) // task_rows)
+        if tasks > 1:
+            most = answers.groupBy("_asked").agg(F.sum("_times").alias("rows")).agg(F.max("rows")).first()[0]
+            shares = -(-most // task_rows)
+            if shares > 1:
+                on = ["_asked", "_share"]
+                answers = answers.withColumn("_share", F.pmod(F.xxhash64(out), F.lit(shares)).cast("int"))
+                asking = asking.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+            answers, asking = answers.repartition(tasks, *on), asking.repartition(tasks, *on)
+        return answers.drop("_times").join(asking, on).select(*keep, out)
 
     def missing(self, vectors: DataFrame, count: int, size: int) -> DataFrame:
         """The vectors asked for that the index does not hold."""

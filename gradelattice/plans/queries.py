@@ -747,8 +747,8 @@ def dominance_lookup(spark, sf):
     asked, customers = stage_observed(tables.customer_priority(spark, sf).frame, "customer-rows", n=F.count(F.lit(1)))
     index = DominanceIndex(spark, ctx.m, ctx.scale)
     index.append(rows, seen["n"])
-    found = index.lookup(asked, customers["n"], seen["n"])
-    return found.select("obj", joined("found").alias("parent"))
+    found = index.lookup(asked, customers["n"], seen["n"], out="parent", of=joined)
+    return found.select("obj", "parent")
 
 
 @query

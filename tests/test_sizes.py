@@ -5,7 +5,8 @@ import numpy as np
 from gradelattice.functions.fuzzy import Implication
 from gradelattice.operators import closure as closure_module
 from gradelattice.operators.closure import FuzzyClosure
-from gradelattice.plans.queries import REGISTRY
+from gradelattice.operators.dominance import DominanceIndex
+from gradelattice.plans.queries import REGISTRY, joined
 from tests import brute
 
 
@@ -34,3 +35,25 @@ def test_repeated_candidates_are_closed_once(spark, make, monkeypatch):
     got = FuzzyClosure(make(rows), Implication.GOGUEN).close(sets).collect()
     assert sorted(r.set_id for r in got) == list(range(400)) and given == [3]
     assert all(tuple(r.closure) == brute.fuzzy_closure(rows.tolist(), r.grades, "goguen") for r in got)
+
+
+def test_repeated_vectors_are_looked_up_once(spark, monkeypatch):
+    """Equal vectors share their answers, also where those are spread over more tasks than there are vectors."""
+    vectors = [[a, b, c] for a in range(5) for b in range(5) for c in range(5)]
+    index = DominanceIndex(spark, 3, 4)
+    index.append(spark.createDataFrame([(v,) for v in vectors], "grades array<int>"), len(vectors), segment=40)
+    asked = [(k if k % 11 else None, [[0, 0, 0], [1, 2, 3], [4, 4, 4]][k % 3]) for k in range(300)]
+    questions = spark.createDataFrame(asked, "q int, grades array<int>").repartition(3)
+    given, plain = [], DominanceIndex._asked
+
+    def counted(self, frame, *rest):
+        given.append(frame.count())
+        return plain(self, frame, *rest)
+
+    monkeypatch.setattr(DominanceIndex, "_asked", counted)
+    expected = sorted((str(q), ",".join(map(str, v))) for q, a in asked for v in vectors if v != a and all(x >= y for x, y in zip(v, a)))
+    for task_rows in (1 << 23, 1000):
+        found = index.lookup(questions, 300, 125, of=joined, task_rows=task_rows)
+        assert found.columns == ["q", "grades", "found"]
+        assert sorted((str(r.q), r.found) for r in found.collect()) == expected
+    assert given == [3, 3]
