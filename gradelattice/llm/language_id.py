@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradelattice.llm.batches import slices, texts
+from gradelattice.llm.batches import release, slices, texts
 from gradelattice.session import ship_package, stage
 
 ORDER = 5
@@ -264,6 +264,8 @@ def fit(docs: DataFrame, learn: Column | None = None, *, text: str = "text", lan
             long = own[own["size"] >= 200]["bits"]
             spread[k] = max(SPREAD_FLOOR, float(np.sqrt(np.mean((long - usual[k]) ** 2))) if len(long) else 0.0)
     usual = np.where(np.isnan(usual), np.nanmean(usual) if len(seen) else np.log2(32), usual)
+    del grams, counts, seen
+    release()  # the driver lives on, too
     return Identifier(model, usual, spread)
 
 
